@@ -6,20 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe
-from factloom.llm.common import read_table
+from factloom.llm import bpe, decontam, langid, pii, quality, toxicity
+from factloom.llm.common import crc_bucket, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_bucket("doc_id", 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(quality.ledger(docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_bucket("doc_id", 3) == 1)
+    labels = read_table(spark, sf_dir, "labels").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
+def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digests(decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op9_byte_bpe, op10_benchmark_matches]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

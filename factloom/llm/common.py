@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -52,13 +52,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start, step)
 
 
-def map_column(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def map_column(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], keep_column: bool = True) -> DataFrame:
     """Adds fields to df, computed from one column in Arrow batches; columns of df with those names are replaced.
 
+    The column itself stays, unless keep_column is False.
     make() runs once in each task and returns a function from a list of values (None for null) to one list for each field.
     """
     names = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
+    kept = [c for c in df.columns if c.lower() not in names and (keep_column or c != column)]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
     source = "__text__"
     while source in df.columns:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity
+from factloom.llm import bpe, decontam, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity
 from factloom.llm.common import crc_bucket, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -42,6 +42,10 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(docs))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digests(line_dedup.drop_recurring_lines(docs))
@@ -63,7 +67,7 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches]
+    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches]
     return {f.__name__: f for f in found}
 
 

@@ -34,7 +34,7 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: After a cue: an optional "number" word, a separator, then the value.
 VALUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|num\.?|#|id))?\s*[:=#]?\s*[\"']?([A-Za-z0-9][A-Za-z0-9._/+-]{3,})", re.I)
-STREET = re.compile(r"[0-9]{1,5}(?:\x20[A-Z][\w'.-]*){1,4}\x20(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Square|Sq)\b\.?")
+STREET = re.compile(r"[0-9]{1,5}(?:\x20[A-Z][\w'.-]*){1,4}\x20(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Square|Sq)\b")
 #: Cues for accounts and for secrets, and how secrets of known issuers begin.
 ACCOUNT_CUES = ["account", "acct", "iban", "passport", "customer id", "konto", "compte", "cuenta"]
 SECRET_CUES = ["token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "private_key", "pwd"]

@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are in no group and stay. Repeated rows of one id and text are all the least: one of them stays.
     """
-    return near_dedup.near_duplicates(docs).where("kept").dropDuplicates(docs.columns).select(docs.columns)
+    return near_dedup.near_duplicates(docs, merge_rows=True).where("kept").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

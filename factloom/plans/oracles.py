@@ -142,7 +142,24 @@ _clauses = " UNION ALL ".join(
     for name, patterns in rules.items()
 )
 
+_verdicts = f"""{CYCLES}, secure AS (SELECT DISTINCT case_id FROM f WHERE (kind = 'unknown' OR actor IS NULL) AND {any_of('lower(action)', SECURITY_WORDS)}),
+  reasons AS (SELECT DISTINCT case_id, 'RULE_CONSTRAINT_VIOLATION' AS reason FROM v UNION SELECT case_id, 'RULE_CAUSAL_TEMPORAL_CYCLE' FROM reach WHERE a = b UNION SELECT case_id, 'RULE_WORLD_UNKNOWNS_SECURITY' FROM secure),
+  by_case AS (SELECT case_id, array_to_string(list_sort(list(reason)), ',') AS reasons, bool_or(reason <> 'RULE_WORLD_UNKNOWNS_SECURITY') AS failed FROM reasons GROUP BY 1),
+  verdicts AS (SELECT c.case_id, CASE WHEN failed THEN 'FAIL' WHEN reasons IS NOT NULL THEN 'NEEDS_INFO' ELSE 'OK' END AS status, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT case_id FROM f) c LEFT JOIN by_case b ON b.case_id = c.case_id)"""
+_n = lambda source, name: f"{name} AS (SELECT case_id, count(*) AS n FROM ({source}) GROUP BY 1)"
+
 SQL = {
+    "constraint_narrative": f"""WITH {WORLD}, ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY type, a, b) AS rank FROM v),
+      made AS (SELECT case_id, count(*) AS n, count(*) FILTER (type = 'POLICY_CONFLICT') AS p, count(*) FILTER (type = 'TEMPORAL_CONFLICT') AS t, count(*) FILTER (type = 'STATE_CONFLICT') AS s,
+        string_agg('- ' || type || ': ' || a || ', ' || b, chr(10) ORDER BY rank) FILTER (rank <= 4) AS lines FROM ranked GROUP BY 1)
+      SELECT case_id, 'Constraint Summary' || chr(10) || 'Violations: ' || n || chr(10) || 'Policy: ' || p || chr(10) || 'Temporal: ' || t || chr(10) || 'Causal: 0' || chr(10) || 'State: ' || s || chr(10) || chr(10) || 'Violations' || chr(10) || lines AS text FROM made""",
+    "casefile_summary": f"""WITH RECURSIVE {WORLD}, {_verdicts}, {_n(_entities('f'), 'n1')}, {_n('SELECT case_id FROM f', 'n2')}, {_n(_unknowns('f', 'object'), 'n3')}, {_n("SELECT case_id FROM f GROUP BY case_id, object HAVING count(DISTINCT state) > 1", 'n4')}, {_n('SELECT case_id FROM v', 'n5')}, {_n('SELECT case_id FROM e', 'n6')},
+      c AS (SELECT d.case_id, status, coalesce(n1.n, 0) AS n_entities, coalesce(n2.n, 0) AS n_events, coalesce(n3.n, 0) AS n_unknowns, coalesce(n4.n, 0) AS n_conflicts, coalesce(n5.n, 0) AS n_violations, coalesce(n6.n, 0) AS n_edges
+        FROM verdicts d LEFT JOIN n1 ON n1.case_id = d.case_id LEFT JOIN n2 ON n2.case_id = d.case_id LEFT JOIN n3 ON n3.case_id = d.case_id LEFT JOIN n4 ON n4.case_id = d.case_id LEFT JOIN n5 ON n5.case_id = d.case_id LEFT JOIN n6 ON n6.case_id = d.case_id)
+      SELECT *, sha256(concat_ws('|', status, n_entities, n_events, n_unknowns, n_conflicts, n_violations, n_edges)) AS casefile_sha256 FROM c""",
+    "repair_actions": f"""WITH RECURSIVE {WORLD}, {_verdicts} SELECT case_id, 'ADD_WORLD_ENRICHMENT' AS kind, 'low' AS risk, CAST(10 AS BIGINT) AS priority FROM verdicts WHERE status = 'NEEDS_INFO'
+      UNION ALL SELECT case_id, 'APPLY_WORLD_PATCH', 'high', 20 FROM verdicts WHERE status = 'FAIL' AND contains(reasons, 'RULE_CONSTRAINT_VIOLATION')
+      UNION ALL SELECT case_id, 'APPLY_WORLD_PATCH', 'high', 25 FROM verdicts WHERE status = 'FAIL' AND contains(reasons, 'RULE_CAUSAL_TEMPORAL_CYCLE')""",
     "doc_inventory": f"WITH {DOCS} SELECT relpath, 'doc:' || sha256(text) AS doc_key, CAST(strlen(text) AS BIGINT) AS bytes FROM docs",
     "chunk_documents": f'WITH {CHUNKS} SELECT doc_id, "index", offset_start, offset_end, chunk_id FROM named',
     "chunks_keyword": f'WITH {CHUNKS} SELECT doc_id, "index", chunk_id FROM named WHERE ' + " AND ".join(f"contains(lower(text), '{t}')" for t in KEYWORDS),

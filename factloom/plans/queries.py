@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from factloom.functions.text import rendered
-from factloom.operators import claims, domains, evidence, graph, service, versions, world
+from factloom.operators import claims, domains, evidence, extraction, graph, reports, service, versions, world
 from factloom.sources import records
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,10 +246,64 @@ def rate_limit_admission(s, d):
     return service.admissions(records.requests(s, d))
 
 
+def text_sentences(s, d):
+    return extraction.sentences(records.documents(s, d))
+
+
+def text_clauses(s, d):
+    docs = records.documents(s, d)
+    return extraction.clauses(docs, graph.kept(extraction.sentences(docs)))
+
+
+def placed(s, d, label: str, pattern: str, spans: DataFrame) -> DataFrame:
+    return extraction.in_spans(extraction.find_all(records.documents(s, d), {label: pattern}), spans, "start")
+
+
+def text_references(s, d):
+    spans = graph.kept(extraction.sentences(records.documents(s, d)))
+    pronouns, mentions = (placed(s, d, n, p, spans) for n, p in (("pronoun", extraction.PRONOUN), ("mention", extraction.MENTION)))
+    return extraction.references(pronouns, mentions)
+
+
+def text_frames(s, d):
+    spans = graph.kept(text_clauses(s, d))
+    verbs, mentions = (placed(s, d, n, p, spans) for n, p in (("verb", extraction.VERB), ("mention", extraction.MENTION)))
+    return extraction.frames(verbs, mentions)
+
+
+def text_utterances(s, d):
+    return extraction.utterances(records.documents(s, d))
+
+
+def text_time_markers(s, d):
+    docs = records.documents(s, d)
+    return extraction.find_all(docs, {"time": extraction.TIME_MARKERS})
+
+
+def verdicts_of(events: DataFrame) -> DataFrame:
+    edges = world.typed_edges(events)
+    return world.verify(events, world.violations(events, edges), graph.cycle_nodes(edges.where("type = 'before'")))
+
+
+def constraint_narrative(s, d):
+    return reports.constraint_narrative(found_violations(focused(s, d)), max_lines=12)
+
+
+def casefile_summary(s, d):
+    events = focused(s, d)
+    edges = world.typed_edges(events)
+    return reports.casefile(events, edges, world.violations(events, edges), graph.kept(verdicts_of(events)))
+
+
+def repair_actions(s, d):
+    return reports.repair_actions(verdicts_of(focused(s, d)))
+
+
 ALL = [doc_inventory, chunk_documents, chunks_keyword, evidence_topk_chunks, claim_fingerprints, claim_duplicates, claim_duplicate_groups, claim_contradictions, claim_support_edges, bullet_claims, claim_closure, support_tree]
 ALL += [event_types, world_entities, world_relations, world_unknowns, world_state_conflicts, world_value_conflicts, event_focus_topk, causal_before_edges, causal_fan_out, critical_events, causal_typed_edges, causal_cycle_nodes, causal_order]
 ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, world_diff_events, world_diff_entities, constraint_diff, counterfactual_unknowns, world_patch, world_enrich]
 ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
+ALL += [text_sentences, text_clauses, text_references, text_frames, text_utterances, text_time_markers, constraint_narrative, casefile_summary, repair_actions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -223,6 +223,8 @@ SQL = {
       sentences AS (SELECT doc_id, lang, lower(unnest(s)) AS sentence, unnest(range(1, len(s) + 1)) AS position FROM kept) {_clauses}""",
     "contract_fields": f"""WITH {CONTRACTS} SELECT contract_id, day AS effective_date, CASE WHEN has_law THEN n_name END AS jurisdiction, CASE WHEN has_end THEN 'Either party may terminate this Agreement on notice.' END AS termination, CAST(1 AS BIGINT) AS n_terms,
       concat_ws(',', CASE WHEN NOT has_law THEN 'governing_law_not_found' END, CASE WHEN NOT has_end THEN 'termination_conditions_not_found' END) AS warnings FROM contracts""",
+    "contract_obligations": f"""WITH {CONTRACTS} SELECT contract_id, CAST(1 AS BIGINT) AS position, licensor AS party, 'Licensor shall deliver the goods.' AS sentence FROM contracts
+      UNION ALL SELECT contract_id, 2, licensee, 'Licensee must pay within thirty days.' FROM contracts""",
     "fact_validation": f"""WITH {APPLICANTS} SELECT applicant_id AS id, 'decision' AS key, CASE WHEN applicant_id % 6 = 0 THEN 'denied' ELSE decision END AS claimed, CASE WHEN applicant_id % 6 = 0 AND decision <> 'denied' THEN 'mismatch' ELSE 'ok' END AS verdict FROM credit
       UNION ALL SELECT applicant_id, 'risk_tier', risk_tier, 'ok' FROM credit UNION ALL SELECT applicant_id, 'colour', 'blue', 'unknown' FROM credit WHERE applicant_id % 4 = 0""",
     "placeholder_render": f"WITH {APPLICANTS} SELECT applicant_id, 'Applicant ' || applicant_id || ': ' || decision || ', collateral ' || CASE WHEN applicant_id % 2 = 0 THEN 'house' ELSE '{{missing:collateral_type}}' END || '.' AS text FROM credit",

@@ -36,7 +36,7 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
 
 def support_edges(claims: DataFrame, links: int = SUPPORT_LINKS) -> DataFrame:
-    """A chain within each document: a claim supports the next; the first `links` of them, which is the reference form of a chain."""
+    """A chain within each document: a claim supports the next; the first `links` of them, by definition of the chain."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = claims.select("doc_id", "claim_id", F.lead("claim_id").over(w).alias("to_id"), F.row_number().over(w).alias("seq"))
     return rows.where(f"to_id is not null and seq <= {int(links)}").select("doc_id", F.col("claim_id").alias("from_id"), "to_id", "seq")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 3000
+LONG = "alpha beta gamma delta epsilon zeta eta theta kappa lambda mu nu " * 3000
 ROWS = [(1, None, "en"), (2, "", None), (3, LONG, "en"), (4, "Some words of a plain text, no more.", "en"), (4, "Some words of a plain text, no more.", "en"), (None, "No id here but ten words or more to be read.", "fr")]
 
 

@@ -5,9 +5,10 @@ If two signatures differ in at most THRESHOLD = 2 * CHUNKS - 1 symbols, then by
 in at most one symbol; so each chunk is looked up under every choice of one allowed error, the symbol there left out.
 All pairs within the threshold meet under such a key (pairs beyond it may), and links are confirmed on full sets.
 
-Texts with one set are one class and are never compared. Under a key all classes are compared with one leader, which is
-enough to join most of them; only classes that are then still in different components are compared one by one. So the
-number of comparisons grows with the number of classes, not of pairs in a group.
+Texts with one set are one class and are never compared. Under a key all classes are compared with one leader; then, some
+times over, those outside the key's largest component with one of its members, another one under each of their keys. Of
+classes that are still in different components after that, those pairs are compared that a prefix filter over their
+differences from a common reference can't exclude. So comparisons don't grow with the pairs of a group, and no link is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SYMBOLS = CHUNK * CHUNKS
 THRESHOLD = 2 * CHUNKS - 1
 #: Two sets are linked if 100 * shared >= SIMILARITY * all.
 SIMILARITY = 80
+#: How often classes are compared with a leader of each key before those left apart are compared one by one.
+TURNS = 1
 #: Shingles that are hashed together, and words whose hashes a task remembers.
 AT_ONCE, CACHE_SIZE = 1 << 14, 500_000
 _draw = np.random.default_rng(20240229)
@@ -145,19 +148,77 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
 
 
 def split_groups(grouped: DataFrame, found: DataFrame) -> DataFrame:
-    """Of (key, node) the rows under keys whose nodes are in two components or more, with their components."""
+    """Of (key, node) the rows under keys whose nodes are in two components or more, with their component, the key's most
+    frequent component (main) and one node of that, another under each key (leader)."""
     labelled = grouped.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return labelled.join(open_keys, "key")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("leader"))
+    heads = parts.groupBy("key").agg(F.max_by(F.struct("component", "leader"), F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
+    heads = heads.where("parts > 1").select("key", F.col("m.component").alias("main"), F.col("m.leader").alias("leader"))
+    return labelled.join(heads, "key")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
+def differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """For members (ref, node, component): n, the size of the node's set, and away, the elements in which it differs from ref's."""
+
+    def run(batches):
+        shingles = Shingler(shingle)
+        last, x = None, None
+        for batch in slices(batches, "y"):
+            n, away = [], []
+            for ref, s, t in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+                if ref != last:  # rows come by ref
+                    last, x = ref, shingles(s)
+                y = shingles(t)
+                n.append(len(y))
+                away.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(away, pa.list_(pa.int64()))], names=["ref", "node", "component", "n", "away"])
+
+    left = texts.select(F.col("node").alias("ref"), F.col("text").alias("x"))
+    right = texts.select("node", F.col("text").alias("y"))
+    return members.join(right, "node").join(left, "ref").select("ref", "node", "component", "x", "y").mapInArrow(run, "ref bigint, node bigint, component bigint, n bigint, away array<bigint>")
+
+
+def close_pairs(grouped: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key and are in different components: none is left out that is linked, and few others are in.
+
+    All nodes under a key are described by how they differ from one of them, the reference: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+    With q = (100 - similarity) / (100 + similarity), x and y are linked if that is at most q (|x| + |y|), that is, if dx and dy
+    share (fx + fy) / 2 elements, where f = |d| - q n is how far a node is beyond its allowance. If fx + fy <= 0 they are linked
+    anyway; then both are linked with the node of the least f, so pairs with that one will do. Otherwise elements are put in
+    order, rarest first: of sets that share t elements, the first |d| - t + 1 share one. Nodes are divided by f, as t, and with
+    it the number of elements under which a node is looked up, depends on both.
+    """
+    refs = grouped.groupBy("key").agg(F.min("node").alias("ref"))
+    members = grouped.join(refs, "key").select("ref", "node", "component").distinct()
+    q = (100 - similarity) / (100 + similarity)
+    far = F.size("away") - F.lit(q) * F.col("n")
+    rows = stored(differences(members, texts, shingle).withColumn("far", far - 1e-6), "differences")
+    width = F.greatest(F.lit(4.0), F.max("n") / 20)
+    heads = rows.groupBy("ref").agg(F.min("far").alias("nearest"), F.min_by(F.struct("node", "component"), "far").alias("head"), width.alias("width"))
+    placed = rows.join(heads, "ref").withColumn("part", F.floor(F.col("far") / F.col("width")))
+    linked = placed.where("far + nearest <= 0 and component <> head.component").select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    parts = placed.groupBy("ref").agg(F.collect_set("part").alias("parts"))  # as many as the greatest difference has widths
+    single = placed.select("ref", "node", F.explode("away").alias("e"))
+    often = single.groupBy("ref", "e").agg(F.count("*").alias("n_e"))
+    ordered = single.join(often, ["ref", "e"]).groupBy("ref", "node").agg(F.array_sort(F.collect_list(F.struct("n_e", "e"))).alias("es"))
+    looked = placed.select("ref", "node", "component", "far", "part", "width").join(ordered, ["ref", "node"]).join(parts, "ref").withColumn("other", F.explode("parts"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("other") * F.col("width")) / 2))
+    first = F.filter(F.slice("es", 1, F.greatest(F.size("es") - shared + 1, F.lit(0)).cast("int")), lambda e: e["n_e"] > 1)
+    keyed = looked.select("ref", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component", F.explode(first).alias("e"))
+    keyed = keyed.select("ref", "low", "high", "e.e", "part", "node", "component")
+    x = keyed.where("part = low")
+    y = keyed.where("part = high").withColumnsRenamed({"node": "node_2", "component": "component_2"}).drop("part")
+    met = x.join(y, ["ref", "low", "high", "e"]).where("component <> component_2 and node <> node_2")
+    return linked.union(met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: int = SIMILARITY, merge_rows: bool = False) -> DataFrame:
     """docs with n_shingles (size of the set), component_id (least id reachable over links, itself included) and kept.
 
     kept says whether the row's id is its component's. A text without words, or null, has an empty set, is linked with
     nothing and is its own component. Links are between texts: rows with one set are one class whatever their ids, and
     rows with one id and different texts are told apart. A null id takes part, is never the least, and is kept only if its
-    component has no other id. Other columns stay (columns with the three names are replaced); an empty table gives an
+    component has no other id. With merge_rows, of rows with one id and text one is returned. Other columns stay (columns with the three names are replaced); an empty table gives an
     empty one.
     """
     added = {"n_shingles", "component_id", "kept"}
@@ -179,24 +240,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     links = stored(confirm(pairs, texts, shingle, similarity), "links")
     found = stored(components(links), "components")
     tried, grouped = pairs, grouped.select("key", "node")
-    for everything in (False, True):
-        grouped = stored(split_groups(grouped, found).select("key", "node", "component"), "keys")
+    for turn in range(TURNS + 1):
+        grouped = stored(split_groups(grouped, found), "keys")
         if grouped.isEmpty():
             break
-        if everything:
-            other = grouped.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = grouped.join(other, "key").where("component <> other and node < b").select(F.col("node").alias("a"), "b")
-        else:  # other leaders: the first in another order
-            leader = grouped.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node")).alias("leader"))
-            pairs = grouped.join(leader, "key").where("component <> leader.component").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+        if turn < TURNS:
+            pairs = grouped.where("component <> main").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        else:
+            pairs = close_pairs(grouped, texts, shingle, similarity)
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(stored(confirm(pairs, texts, shingle, similarity), "links"))
-        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+        fresh = stored(confirm(pairs, texts, shingle, similarity), "links")
+        if not fresh.isEmpty():
+            found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh)), "components")
         tried, grouped = tried.union(pairs), grouped.select("key", "node")
 
     named = signed.where("set_key is not null").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     result = named.select("text_key", "n_shingles", "component").distinct().join(least, "component").select(F.col("text_key").alias("__key"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__component"))
     joined = docs.select(*[F.col(f"`{c}`") for c in columns], text_key.alias("__key")).join(result, "__key", "left")
+    if merge_rows:
+        joined = joined.dropDuplicates([id_col, "__key"])
     component = F.when(F.col("__n").isNull(), F.col(f"`{id_col}`")).otherwise(F.col("__component"))
     return joined.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_shingles"), component.alias("component_id"), F.col(f"`{id_col}`").eqNullSafe(component).alias("kept"))

@@ -201,10 +201,15 @@ def close_pairs(grouped: DataFrame, texts: DataFrame, shingle: int, similarity:
     single = placed.select("ref", "node", F.explode("away").alias("e"))
     often = single.groupBy("ref", "e").agg(F.count("*").alias("n_e"))
     ordered = single.join(often, ["ref", "e"]).groupBy("ref", "node").agg(F.array_sort(F.collect_list(F.struct("n_e", "e"))).alias("es"))
-    looked = placed.select("ref", "node", "component", "far", "part", "width").join(ordered, ["ref", "node"]).join(parts, "ref").withColumn("other", F.explode("parts"))
-    shared = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("other") * F.col("width")) / 2))
-    first = F.filter(F.slice("es", 1, F.greatest(F.size("es") - shared + 1, F.lit(0)).cast("int")), lambda e: e["n_e"] > 1)
-    keyed = looked.select("ref", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component", F.explode(first).alias("e"))
+    looked = placed.select("ref", "node", "component", "far", "part", "width").join(ordered, ["ref", "node"]).join(parts, "ref")
+
+    def looked_up(other):  # the elements under which a node meets those of another part; elements of one node only meet nobody
+        shared = F.greatest(F.lit(1), F.ceil((F.col("far") + other * F.col("width")) / 2))
+        first = F.slice("es", 1, F.greatest(F.size("es") - shared + 1, F.lit(0)).cast("int"))
+        return F.struct(other.alias("other"), F.filter(first, lambda e: e["n_e"] > 1).alias("es"))
+
+    places = F.explode(F.filter(F.transform("parts", looked_up), lambda p: F.size(p["es"]) > 0)).alias("p")
+    keyed = looked.select("ref", "node", "component", "part", places).select("ref", F.least("part", "p.other").alias("low"), F.greatest("part", "p.other").alias("high"), "part", "node", "component", F.explode("p.es").alias("e"))
     keyed = keyed.select("ref", "low", "high", "e.e", "part", "node", "component")
     x = keyed.where("part = low")
     y = keyed.where("part = high").withColumnsRenamed({"node": "node_2", "component": "component_2"}).drop("part")

@@ -5,8 +5,8 @@ digit, addresses, links) generalised. Below that a line has a template of all it
 lines of LONG tokens or more also belong to the templates in which one half of the line is a variable field. Templates
 that recur across documents are dropped; the first document that has a template keeps it.
 
-A copied document has nothing but recurring lines, which says nothing about its lines: a template counts as recurring
-only by the texts of which at most half of the lines are shared with others.
+A copied document has nothing but recurring lines, which says nothing about its lines: near copies, which are the
+components of near_dedup, count as one text. Whole long lines recur from two such texts on, other templates from three.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import slices, stored
+from factloom.llm.near_dedup import near_duplicates
 
 #: Leading tokens that place a line in the tree.
 DEPTH = 3
-#: Texts in which a template must occur to recur.
-MIN_TEXTS = 3
+#: Texts in which a template must occur to recur, near copies counted once; for whole lines of LONG tokens or more, two will do.
+MIN_TEXTS, MIN_TEXTS_LONG = 3, 2
 #: Lines of so many tokens also have templates with a variable half.
 LONG = 16
 VARIABLE = re.compile(r"[0-9@]|://")
@@ -56,41 +57,51 @@ def text_key(text: str) -> bytes:
 
 
 def parse_lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """A row for each line that is not blank: id, text_key, n_lines (such lines in the text), line (place in the text), keys."""
+    """A row for each line that is not blank: id, text_key, line (place in the text), keys."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text_key", T.BinaryType()), T.StructField("n_lines", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("text_key", T.BinaryType()), T.StructField("line", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in slices(batches, "t"):
-            row, key, n, at, keys = [], [], [], [], []
+            row, key, at, keys = [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if BLACK.search(x)]
                 if not lines:
                     continue
                 row += [r] * len(lines)
                 key += [text_key(text)] * len(lines)
-                n += [len(lines)] * len(lines)
                 at += [k for k, _ in lines]
                 keys += [template_keys(x) for _, x in lines]
-            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.binary()), pa.array(at, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema)
 
 
+def near_copies(docs: DataFrame, text_col: str, carriers: DataFrame) -> DataFrame:
+    """(text_key, class) for the texts in carriers (text_key): near copies, by word shingles, are one class."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text"))
+    rows = stored(rows.join(carriers, "text_key", "left_semi"), "carriers")
+    return near_duplicates(rows, id_col="text_key").select("text_key", F.col("component_id").alias("class")).distinct()
+
+
 def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_texts: int = MIN_TEXTS) -> DataFrame:
     """For each text that loses lines: id, text_key and dropped, the sorted places of those lines.
 
-    Texts are told apart by their content, so exact copies count once. Tables with a row for each line or template are
-    only grouped and joined by hashed keys; a template that a third of all lines have is summed up within tasks first.
+    Texts are told apart by their content, so exact copies count once, and so do near copies. Tables with a row for each
+    line or template are only grouped and joined by hashed keys; a template that a third of all lines have is summed up
+    within tasks first. Texts are compared only if they have a template that enough texts have.
     """
-    lines = stored(parse_lines(docs, text_col, id_col).select("id", "text_key", "n_lines", "line", F.explode("keys").alias("key")), "lines")
-    texts = lines.groupBy("key", "text_key").agg(F.min("id").alias("id"))
-    shared = texts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_texts).select("key", "first_id")
+    need = F.when((F.col("place") == 0) & (F.size("keys") > 1), F.lit(min(min_texts, MIN_TEXTS_LONG))).otherwise(F.lit(min_texts))
+    parsed = parse_lines(docs, text_col, id_col).select("id", "text_key", "line", "keys", F.posexplode("keys").alias("place", "key"))
+    lines = stored(parsed.select("id", "text_key", "line", "key", need.alias("need")), "lines")
+    texts = lines.groupBy("key", "need", "text_key").agg(F.min("id").alias("id"))
+    shared = texts.groupBy("key", "need").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n >= need").select("key", "first_id")
     found = stored(lines.join(shared, "key"), "shared-lines")
-    own = found.groupBy("text_key", "line").agg(F.first("n_lines").alias("n_lines"))
-    mixed = own.groupBy("text_key").agg((2 * F.count("*") <= F.first("n_lines")).alias("mixed")).where("mixed").select("text_key")
-    recurring = found.select("key", "text_key").distinct().join(mixed, "text_key").groupBy("key").count().where(F.col("count") >= min_texts).select("key")
+    classes = stored(near_copies(docs, text_col, found.select("text_key").distinct()), "classes")
+    carried = found.select("key", "need", "text_key").distinct().join(classes, "text_key").select("key", "need", "class").distinct()
+    recurring = carried.groupBy("key", "need").count().where("count >= need").select("key")
     lost = found.where(~F.col("id").eqNullSafe(F.col("first_id"))).join(recurring, "key")
     return lost.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 

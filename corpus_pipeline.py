@@ -38,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs. With an empty benchmark all stay."""
-    found = decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark"), near=False)
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    """Documents in which no window of a benchmark item occurs, nor nearly occurs. With an empty benchmark all stay."""
+    found = decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.where((F.size("hits") == 0) & (F.size("near_items") == 0)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The index is split by documents: each task holds the postings (term, position) o
 the benchmark. A benchmark window is looked up from its rarest term, by counts over all documents: the postings of that
 term, less the term's offset, are possible starts; they are intersected with the offset-adjusted postings of the window's
 other terms, rarest first. What is left are exact phrase matches. Starts where most terms lie near their place are
-proximity matches. The benchmark is handled in blocks of bounded size, so what is sent to the tasks is bounded as well.
+proximity matches; for these a window is looked up from one rare term more than may be lost, so one of them is there.
+The benchmark is handled in blocks of bounded size, so what is sent to the tasks is bounded as well.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark takes more passes over the documents.
 BLOCK_CHARS = 8_000_000
-#: Proximity: so many words may be lost from a window, and the others may be displaced by so many places.
+#: Proximity: so many words may be lost from a window, and the others may be displaced by so many places; in proportion for short items.
 LOST, SLOP = 2, 3
 #: Postings that are looked at together.
 AT_ONCE = 200_000
@@ -57,16 +58,29 @@ class Windows:
             self.terms[k, : len(ids)] = [ids[j] for j in order]
             self.offsets[k, : len(ids)] = order
         self.owners = list(found.values())
-        # windows by their rarest term: those of term t are by_term[first[t] : first[t + 1]]
-        self.by_term = np.argsort(self.terms[:, 0], kind="stable") if found else np.zeros(0, np.int64)
-        self.first = np.searchsorted(self.terms[self.by_term, 0], np.arange(len(self.vocabulary) + 1)) if found else np.zeros(1, np.int64)
+        self.lost, self.slop = LOST * self.length // window, SLOP * self.length // window
+        self.bits = np.ascontiguousarray(np.where(self.terms >= 0, bit_of(self.terms), np.uint64(0)).T)  # by turn, as they are read
+        self.places = np.ascontiguousarray(self.offsets.T)
+        self.rarest = self.anchors(0)
+        self.rare = self.anchors(LOST)
+
+    def anchors(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows by their rarest terms, `most` besides the first, but no more than may be lost: (window, which of its terms) by
+        term; those of term t are first[t] to first[t + 1]."""
+        own = [np.flatnonzero((self.lost >= j) & (self.length > j)) if j else np.arange(len(self.length)) for j in range(most + 1)]
+        window, which = np.concatenate(own), np.repeat(np.arange(most + 1), [len(x) for x in own])
+        order = np.argsort(self.terms[window, which], kind="stable")
+        window, which = window[order], which[order]
+        return window, which, np.searchsorted(self.terms[window, which], np.arange(len(self.vocabulary) + 1))
 
     def lookup(self, ids: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and windows of exact matches in ids (terms, -1 for other words), and near ones as (start, window) rows."""
+        """Starts and windows of exact matches in ids (terms, -1 for other words), and near ones as (place of a term, window) rows."""
         exact, close = [], []
+        by_term, turn, first = self.rare if near else self.rarest
         postings = np.flatnonzero(ids >= 0)
-        fan = np.zeros(len(postings), np.int64) if not len(self.by_term) else self.first[ids[postings] + 1] - self.first[ids[postings]]
+        fan = first[ids[postings] + 1] - first[ids[postings]]
         postings, fan = postings[fan > 0], fan[fan > 0]
+        around = bits_around(ids) if near else None
         cuts = np.searchsorted(np.cumsum(fan), np.arange(AT_ONCE, int(fan.sum()) + AT_ONCE, AT_ONCE), side="right")
         low = 0
         for high in [*dict.fromkeys(cuts.tolist())]:
@@ -75,39 +89,62 @@ class Windows:
             low = high
             if not len(at):
                 continue
-            which = np.repeat(self.first[ids[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            window = self.by_term[which]
-            start = np.repeat(at, n) - self.offsets[window, 0]
-            inside = (start >= 0) & (start + self.length[window] <= len(ids))
-            start, window = start[inside], window[inside]
-            whole_start, whole_window = start, window
+            which = np.repeat(first[ids[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            window, anchor, at = by_term[which], turn[which], np.repeat(at, n)
+            start = at - self.offsets[window, anchor]
+            inside = (anchor == 0) & (start >= 0) & (start + self.length[window] <= len(ids))
+            whole_start, whole_window = start[inside], window[inside]
             for j in range(1, self.window):
-                same = (self.terms[window, j] < 0) | (ids[start + self.offsets[window, j]] == self.terms[window, j])
-                start, window = start[same], window[same]
-            exact.append(np.stack((start, window)))
-            if near and len(whole_start):
-                close.append(self.nearby(ids, whole_start, whole_window))
+                same = (self.terms[whole_window, j] < 0) | (ids[whole_start + self.offsets[whole_window, j]] == self.terms[whole_window, j])
+                whole_start, whole_window = whole_start[same], whole_window[same]
+            exact.append(np.stack((whole_start, whole_window)))
+            if near:
+                close.append(self.nearby(ids, around, at, start, window, anchor))
         join = lambda x: np.concatenate(x, 1) if x else np.zeros((2, 0), np.int64)
         hits = join(exact)
         return hits[0], hits[1], join(close)
 
-    def nearby(self, ids: np.ndarray, start: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """Of the possible starts, those where all but LOST terms are found at most SLOP from their places, but not all in place."""
+    def nearby(self, ids: np.ndarray, around: np.ndarray, at: np.ndarray, start: np.ndarray, window: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Of the possible starts, those where all but LOST terms are found at most SLOP from their places, but not all in place.
+
+        at is where the anchor stands, which is in the text, as the start need not be; the gaps around a text are wider than a
+        window and SLOP. Bits rule most starts out first."""
+        lost = np.zeros(len(start), np.int8)
+        for j in range(self.window):
+            bits = self.bits[j].take(window)
+            lost += (bits > 0) & ((around.take(start + self.places[j].take(window)) & bits) == 0)
+            if j >= 2:  # with less nearly all would stay
+                going = np.flatnonzero(lost <= self.lost.take(window))
+                at, start, window, anchor, lost = at.take(going), start.take(going), window.take(going), anchor.take(going), lost.take(going)
         lost = np.zeros(len(start), np.int64)
         moved = np.zeros(len(start), bool)
-        for j in range(1, self.window):
+        again = np.zeros(len(start), bool)  # found from a rarer anchor
+        for j in range(self.window):
             term, place = self.terms[window, j], start + self.offsets[window, j]
-            here = ids[place.clip(0, len(ids) - 1)] == term
-            beside = np.zeros(len(start), bool)
-            for d in range(-SLOP, SLOP + 1):
-                beside |= ids[(place + d).clip(0, len(ids) - 1)] == term
+            here = ids[place] == term
+            beside = here.copy()
+            for d in range(1, SLOP + 1):
+                beside |= (d <= self.slop[window]) & ((ids[place + d] == term) | (ids[place - d] == term))
             lost += (term >= 0) & ~beside
             moved |= (term >= 0) & ~here
-            going = lost <= LOST
-            if not going.all():
-                start, window, lost, moved = start[going], window[going], lost[going], moved[going]
-        moved &= self.length[window] == self.window
-        return np.stack((start[moved], window[moved]))
+            again |= (j < anchor) & here
+        found = moved & ~again & (lost <= self.lost[window])
+        return np.stack((at[found], window[found]))
+
+
+def bit_of(terms: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each term."""
+    return np.uint64(1) << ((terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+
+
+def bits_around(ids: np.ndarray) -> np.ndarray:
+    """For each place the bits of the terms at most SLOP from it."""
+    own = np.where(ids >= 0, bit_of(ids), np.uint64(0))
+    out = own.copy()
+    for d in range(1, SLOP + 1):
+        out[d:] |= own[:-d]
+        out[:-d] |= own[d:]
+    return out
 
 
 def term_counts(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
@@ -163,8 +200,8 @@ def find_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
                 out = [[], [], [], []]
                 for low in range(0, len(texts), 256):
                     docs = [words_of(t) for t in texts[low : low + 256]]
-                    gap = [-1] * (index.window + SLOP)  # windows don't reach from one document into the next
-                    ids, starts = [], []
+                    gap = [-1] * (index.window + SLOP)  # windows don't reach from one document into the next, nor out of the first
+                    ids, starts = [*gap], []
                     for words in docs:
                         starts.append(len(ids))
                         ids += [get(w, -1) for w in words]

@@ -1,6 +1,6 @@
 """Cases that a review found left out."""
 
-from factloom.llm import line_dedup
+from factloom.llm import decontam, line_dedup
 
 
 def words(k, n):
@@ -33,3 +33,38 @@ def test_op7_near_copies_count_once(spark):
     lines = [words(k, 12) for k in range(40)]
     copies = ["\n".join(lines[:k] + [words(500 + k, 12)] + lines[k + 1 :]) for k in range(6)]
     assert dropped(spark, copies) == dict.fromkeys(range(6), 0)
+
+
+def near_items(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["doc_id"]: (r["items"], r["near_items"]) for r in decontam.find_matches(df, bench).collect()}
+
+
+def test_op10_rarest_word_lost(spark):
+    item = [f"common{'abcdefghijklmnop'[j]}" for j in range(16)]
+    item[8] = "rare"
+    changed = [*item[:8], "other", *item[9:]]
+    filler = " ".join(w for w in item if w != "rare")
+    found = near_items(spark, " ".join(item), [" ".join(changed), " ".join(item), " ".join(changed[1:]), *[" ".join(reversed(filler.split()))] * 3])
+    assert found[0] == ([], ["1"]) == found[2] and found[1] == (["1"], []) and found[3] == ([], [])
+
+
+def test_op10_short_item(spark):
+    found = near_items(spark, "one two three four five six seven eight", ["one two three xx five six seven eight", "one two xx xx five six seven eight", "one two three four five six seven eight"])
+    assert found == {0: ([], ["1"]), 1: ([], []), 2: (["1"], [])}
+
+
+def test_op10_words_lost_where_a_text_begins(spark):
+    item = "one two three four five six seven eight nine ten"
+    found = near_items(spark, item, ["nothing here", "three four five six seven eight nine ten", "one two three four five six seven eight"])
+    assert found == {0: ([], []), 1: ([], ["1"]), 2: ([], ["1"])}
+
+
+def test_pipeline_near_matches_go(spark, tmp_path):
+    import corpus_pipeline
+
+    item = [f"common{'abcdefghijklmnop'[j]}" for j in range(16)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join([*item[:8], "other", *item[9:]])), (2, "nothing of the kind")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [2]

@@ -27,6 +27,8 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 RAW_END = {tag: re.compile(rf"</{tag}[^>]*>", re.I) for tag in RAW}
 UNSEEN = frozenset("head script style title noscript template iframe textarea select option svg math object audio video canvas noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What stands in a head; a text that is not blank, and the start of any other element, closes an open one.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template noframes".split())
 #: Which open elements an element closes when it begins, up to the nearest of its scopes.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSE_P = BLOCKS - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"}
@@ -71,11 +73,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag in BLOCKS:
                 out.append((-1, ""))
 
+    def leave_head(start: int, end: int) -> None:
+        if nodes[stack[-1]].tag == "head" and page[start:end].strip():
+            close(len(stack) - 1)
+
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
+            leave_head(at, n)
             write(at, n)
             break
+        leave_head(at, m.start())
         write(at, m.start())
         at = m.end()
         tag = m.group(2)
@@ -90,6 +98,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if nodes[stack[depth]].tag in ("td", "th", "table") and tag in ("p", "div", "b", "i", "span", "a"):
                     break
             continue
+        if tag not in IN_HEAD:
+            for depth in range(len(stack) - 1, 0, -1):
+                if nodes[stack[depth]].tag == "head":
+                    close(depth)
+                    break
+                if nodes[stack[depth]].tag in UNSEEN:
+                    break
         if tag in CLOSE_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "p":

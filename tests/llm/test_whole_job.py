@@ -1,6 +1,6 @@
 """Cases that a review found left out."""
 
-from factloom.llm import decontam, line_dedup
+from factloom.llm import decontam, html_extract, line_dedup
 
 
 def words(k, n):
@@ -68,3 +68,16 @@ def test_pipeline_near_matches_go(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, " ".join([*item[:8], "other", *item[9:]])), (2, "nothing of the kind")], "doc_id bigint, text string")
     assert [r["doc_id"] for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_op6_head_without_end_tag():
+    model = html_extract.train(html_extract.labelled_pages())
+    sentence = "A sentence of the article with a number of words in it, as articles have. "
+    article = f"<article><h1>Heading of it</h1><p>{sentence * 4}</p><p>{sentence * 3}</p></article>"
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p{}</style><script>1</script>"
+    want = html_extract.extract(f"{head}</head><body>{article}</body></html>", model)
+    assert sentence.strip() in want
+    for page in (f"{head}<body>{article}</body></html>", f"{head}\n{article}</html>", f"{head}<noscript><p>y</p></noscript><body>{article}"):
+        assert html_extract.extract(page, model) == want
+    seen = [text for k, text in html_extract.parse("<head><title>x</title>\n Words &amp; more")[1] if k >= 0]
+    assert "".join(seen).split() == ["Words", "&", "more"]

@@ -7,13 +7,20 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds at once, whatever the size of Arrow's batches.
 SLICE_BYTES = 16 << 20
+#: Words whose hashes a task remembers.
+CACHE_SIZE = 500_000
+#: Bytes with A-Z in lower case: as they are, and with all but digits, letters and what is not ASCII as spaces.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+WORDS_ONLY = bytes(LOWER[c] if 48 <= c <= 57 or 97 <= LOWER[c] <= 122 or c > 127 else 32 for c in range(256))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +28,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir. In local mode a temporary one will do; elsewhere
+    it must be set, as executors can't see each other's own folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,11 +53,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Words(dict):
+    """Words of texts as 64-bit hashes. Bytes of UTF-8 are mapped by a table, then split at ASCII white space, \\x20 and \\x09-\\x0D.
+
+    Words are hashed once for each task, as long as they fit."""
+
+    def __init__(self, table: bytes):
+        self.table = table
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE_SIZE:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "surrogatepass").translate(self.table).split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids count as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, in capitals or not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about SLICE_BYTES of the named column, so that long texts don't add up."""
     for batch in batches:
@@ -68,9 +105,7 @@ def map_column(df: DataFrame, column: str, fields: list[T.StructField], make: Ca
     names = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in names and (keep_column or c != column)]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
-    source = "__text__"
-    while source in df.columns:
-        source += "_"
+    source = free_name("text", df)
     types = [to_arrow(f.dataType) for f in fields]
 
     def run(batches):

@@ -14,20 +14,16 @@ differences from a common reference can't exclude. So comparisons don't grow wit
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import map_column, slices, stored
+from factloom.llm.common import LOWER, Words, free_name, map_column, slices, stored
 from factloom.llm.graph import components
 
-WORD = re.compile(r"[^\x20\t-\r]+")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CHUNK, CHUNKS = 6, 12
 SYMBOLS = CHUNK * CHUNKS
 THRESHOLD = 2 * CHUNKS - 1
@@ -35,36 +31,25 @@ THRESHOLD = 2 * CHUNKS - 1
 SIMILARITY = 80
 #: How often classes are compared with a leader of each key before those left apart are compared one by one.
 TURNS = 1
-#: Shingles that are hashed together, and words whose hashes a task remembers.
-AT_ONCE, CACHE_SIZE = 1 << 14, 500_000
+#: Shingles that are permuted together.
+AT_ONCE = 1 << 10
 _draw = np.random.default_rng(20240229)
-FACTORS = _draw.integers(1, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
-SHIFTS = _draw.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
+FACTORS = _draw.integers(1, 1 << 32, (SYMBOLS, 1), dtype=np.uint32) | np.uint32(1)
+SHIFTS = _draw.integers(0, 1 << 32, (SYMBOLS, 1), dtype=np.uint32)
 
 
 class Shingler:
-    """Sets of 64-bit hashes of word shingles. Words are hashed once for each task."""
+    """Sets of 64-bit hashes of word shingles."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def hash_of(self, word: str) -> int:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE_SIZE:
-                self.known.clear()
-            found = self.known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
+        self.size, self.words = size, Words(LOWER)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes; with fewer words than a shingle has, the whole sequence is one; none without words."""
-        if not text:
-            return np.zeros(0, np.uint64)
-        words = WORD.findall(text.lower() if text.isascii() else text.translate(UPPER))
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hash_of, words), np.uint64, len(words))
-        n = min(self.size, len(words))
+        h = self.words.of(text)
+        if not len(h):
+            return h
+        n = min(self.size, len(h))
         mixed = h[: len(h) - n + 1].copy()
         for k in range(1, n):
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
@@ -76,10 +61,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     h = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
     low = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), AT_ONCE):
-        x = h[at : at + AT_ONCE, None] * FACTORS + SHIFTS
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        low = np.minimum(low, x.min(0))
+        x = FACTORS * h[None, at : at + AT_ONCE]
+        x += SHIFTS
+        np.minimum(low, x.min(1), out=low)
     return (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
 
 
@@ -97,19 +81,19 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(rows: DataFrame, shingle: int) -> DataFrame:
-    """Replaces the column text with set_key (bigint, names the set; null if it is empty), n_shingles and signature."""
+    """Replaces the column text with set_key (16 bytes, name the set; null if it is empty), n_shingles and signature."""
 
     def make():
         shingles = Shingler(shingle)
 
         def work(texts):
             sets = [shingles(t) for t in texts]
-            names = [int.from_bytes(hashlib.md5(s.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True) if len(s) else None for s in sets]
+            names = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets]
             return names, [len(s) for s in sets], [signature(s).tobytes() if len(s) else None for s in sets]
 
         return work
 
-    fields = [T.StructField("set_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.BinaryType())]
+    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("signature", T.BinaryType())]
     return map_column(rows, "text", fields, make, keep_column=False)
 
 
@@ -120,10 +104,10 @@ def index(classes: DataFrame) -> DataFrame:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SYMBOLS)
             keys = keys_of(sig)
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, keys.shape[1]))], names=["key", "node"])
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node], names=["key", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "key bigint, node bigint")
+    return classes.select("node", "signature").mapInArrow(run, "key bigint, node binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -144,7 +128,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def split_groups(grouped: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,45 +159,54 @@ def differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
 
     left = texts.select(F.col("node").alias("ref"), F.col("text").alias("x"))
     right = texts.select("node", F.col("text").alias("y"))
-    return members.join(right, "node").join(left, "ref").select("ref", "node", "component", "x", "y").mapInArrow(run, "ref bigint, node bigint, component bigint, n bigint, away array<bigint>")
+    return members.join(right, "node").join(left, "ref").select("ref", "node", "component", "x", "y").mapInArrow(run, "ref binary, node binary, component binary, n bigint, away array<bigint>")
 
 
 def close_pairs(grouped: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a key and are in different components: none is left out that is linked, and few others are in.
 
-    All nodes under a key are described by how they differ from one of them, the reference: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+    Nodes that keys tie together are a cluster, and all of a cluster are described by how they differ from its least node, the
+    reference, so that each node is described once: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
     With q = (100 - similarity) / (100 + similarity), x and y are linked if that is at most q (|x| + |y|), that is, if dx and dy
     share (fx + fy) / 2 elements, where f = |d| - q n is how far a node is beyond its allowance. If fx + fy <= 0 they are linked
     anyway; then both are linked with the node of the least f, so pairs with that one will do. Otherwise elements are put in
     order, rarest first: of sets that share t elements, the first |d| - t + 1 share one. Nodes are divided by f, as t, and with
-    it the number of elements under which a node is looked up, depends on both.
+    it the number of elements under which a node is looked up, depends on both. As |x ^ y| >= ||dx| - |dy||, fy is between
+    fx - 2 q |y| and fx + 2 q |x|, and only those divisions are looked up; |y| is at most |x| / similarity. Nodes of the cluster's
+    largest component are not compared with each other, so elements that none of the others has are nobody's as well.
     """
-    refs = grouped.groupBy("key").agg(F.min("node").alias("ref"))
-    members = grouped.join(refs, "key").select("ref", "node", "component").distinct()
     q = (100 - similarity) / (100 + similarity)
+    refs = grouped.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(grouped.select("key", F.col("node").alias("a")).join(refs, "key").select("a", "b").distinct())
+    members = grouped.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "ref"), "node").select("ref", "node", "component")
+    sizes = members.groupBy("ref", "component").count().groupBy("ref").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     far = F.size("away") - F.lit(q) * F.col("n")
     rows = stored(differences(members, texts, shingle).withColumn("far", far - 1e-6), "differences")
     width = F.greatest(F.lit(4.0), F.max("n") / 20)
     heads = rows.groupBy("ref").agg(F.min("far").alias("nearest"), F.min_by(F.struct("node", "component"), "far").alias("head"), width.alias("width"))
-    placed = rows.join(heads, "ref").withColumn("part", F.floor(F.col("far") / F.col("width")))
+    placed = rows.join(heads, "ref").join(sizes, "ref").withColumn("part", F.floor(F.col("far") / F.col("width"))).withColumn("small", F.col("component") != F.col("main"))
     linked = placed.where("far + nearest <= 0 and component <> head.component").select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     parts = placed.groupBy("ref").agg(F.collect_set("part").alias("parts"))  # as many as the greatest difference has widths
-    single = placed.select("ref", "node", F.explode("away").alias("e"))
-    often = single.groupBy("ref", "e").agg(F.count("*").alias("n_e"))
-    ordered = single.join(often, ["ref", "e"]).groupBy("ref", "node").agg(F.array_sort(F.collect_list(F.struct("n_e", "e"))).alias("es"))
-    looked = placed.select("ref", "node", "component", "far", "part", "width").join(ordered, ["ref", "node"]).join(parts, "ref")
-
-    def looked_up(other):  # the elements under which a node meets those of another part; elements of one node only meet nobody
+    single = placed.select("ref", "node", "small", F.explode("away").alias("e"))
+    often = single.groupBy("ref", "e").agg(F.count("*").alias("n_e"), F.count_if("small").alias("n_small")).where("n_e > 1 and n_small > 0")
+    # elements that make no pair come first, and need no rows
+    ordered = single.join(often, ["ref", "e"]).groupBy("ref", "node").agg(F.array_sort(F.collect_list(F.struct("n_small", "n_e", "e"))).alias("es"))
+    looked = placed.select("ref", "node", "component", "small", "far", "part", "width", "n", F.size("away").alias("n_away")).join(ordered, ["ref", "node"]).join(parts, "ref")
+    lowest = F.floor((F.col("far") - F.lit(2 * q * 100 / similarity) * F.col("n") - 1e-6) / F.col("width"))
+    highest = F.floor((F.col("far") + F.lit(2 * q) * F.col("n") + 1e-6) / F.col("width"))
+
+    def looked_up(other):  # the elements under which a node meets those of another part
         shared = F.greatest(F.lit(1), F.ceil((F.col("far") + other * F.col("width")) / 2))
-        first = F.slice("es", 1, F.greatest(F.size("es") - shared + 1, F.lit(0)).cast("int"))
-        return F.struct(other.alias("other"), F.filter(first, lambda e: e["n_e"] > 1).alias("es"))
-
-    places = F.explode(F.filter(F.transform("parts", looked_up), lambda p: F.size(p["es"]) > 0)).alias("p")
-    keyed = looked.select("ref", "node", "component", "part", places).select("ref", F.least("part", "p.other").alias("low"), F.greatest("part", "p.other").alias("high"), "part", "node", "component", F.explode("p.es").alias("e"))
-    keyed = keyed.select("ref", "low", "high", "e.e", "part", "node", "component")
-    x = keyed.where("part = low")
-    y = keyed.where("part = high").withColumnsRenamed({"node": "node_2", "component": "component_2"}).drop("part")
-    met = x.join(y, ["ref", "low", "high", "e"]).where("component <> component_2 and node <> node_2")
+        own = F.col("n_away") - F.size("es")
+        return F.struct(other.alias("other"), F.slice("es", 1, F.greatest(F.col("n_away") - shared + 1 - own, F.lit(0)).cast("int")).alias("es"))
+
+    near = F.filter("parts", lambda p: (p >= lowest) & (p <= highest))
+    places = F.explode(F.filter(F.transform(near, looked_up), lambda p: F.size(p["es"]) > 0)).alias("p")
+    keyed = looked.select("ref", "node", "component", "small", "part", places).select("ref", F.least("part", "p.other").alias("low"), F.greatest("part", "p.other").alias("high"), "part", "small", "node", "component", F.explode("p.es").alias("e"))
+    keyed = stored(keyed.select("ref", "low", "high", "e.e", "part", "small", "node", "component"), "places")
+    x = keyed.where("small").drop("small")
+    y = keyed.withColumnsRenamed({"node": "node_2", "component": "component_2", "part": "part_2"}).drop("small")
+    met = x.join(y, ["ref", "low", "high", "e"]).where("component <> component_2 and part + part_2 = low + high")
     return linked.union(met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")))
 
 
@@ -261,9 +254,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     named = signed.where("set_key is not null").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    result = named.select("text_key", "n_shingles", "component").distinct().join(least, "component").select(F.col("text_key").alias("__key"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__component"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns], text_key.alias("__key")).join(result, "__key", "left")
+    key, own = free_name("text_key", docs), free_name("own", docs)
+    result = named.select("text_key", "n_shingles", "component").distinct().join(least, "component").select(F.col("text_key").alias(key), F.struct("n_shingles", "component_id").alias(own))
+    joined = docs.select(*[F.col(f"`{c}`") for c in columns], text_key.alias(key)).join(result, key, "left")
     if merge_rows:
-        joined = joined.dropDuplicates([id_col, "__key"])
-    component = F.when(F.col("__n").isNull(), F.col(f"`{id_col}`")).otherwise(F.col("__component"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_shingles"), component.alias("component_id"), F.col(f"`{id_col}`").eqNullSafe(component).alias("kept"))
+        joined = joined.dropDuplicates([id_col, key])
+    component = F.when(F.col(own).isNull(), F.col(f"`{id_col}`")).otherwise(F.col(f"{own}.component_id"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(f"{own}.n_shingles", F.lit(0)).cast("bigint").alias("n_shingles"), component.alias("component_id"), F.col(f"`{id_col}`").eqNullSafe(component).alias("kept"))

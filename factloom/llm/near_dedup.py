@@ -97,19 +97,43 @@ def sign(rows: DataFrame, shingle: int) -> DataFrame:
     return map_column(rows, "text", fields, make, keep_column=False)
 
 
-def index(classes: DataFrame) -> DataFrame:
-    """(key, node) for each class and key."""
+def index(classes: DataFrame, every: int = 1) -> DataFrame:
+    """(key, node) for each class and key; or for one key in `every`."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SYMBOLS)
-            keys = keys_of(sig)
+            keys = keys_of(sig)[:, ::every]
             node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node], names=["key", "node"])
 
     return classes.select("node", "signature").mapInArrow(run, "key bigint, node binary")
 
 
+def estimated_classes(rows: DataFrame, name_col: str, shingle: int = 5) -> DataFrame:
+    """(name_col, class) for rows (name_col, text): near copies have one class, as far as signatures tell, without a look at full sets.
+
+    Texts under a key are compared with its leader and linked if at most THRESHOLD symbols of their signatures differ; classes
+    are the components. A text without words is a class of its own. This is for counting copies once where that will do.
+    """
+    signed = stored(sign(rows, shingle), "signatures")
+    sets = signed.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min("signature").alias("signature"))
+    keyed = index(sets, every=CHUNK)
+    led = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    pairs = keyed.join(led, "key").where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = (sets.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+
+    def alike(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) <= THRESHOLD))
+
+    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary"), "links")
+    found = stored(components(links), "components").withColumnRenamed("node", "set_key")
+    named = signed.select(name_col, "set_key").join(found, "set_key", "left")
+    return named.select(name_col, F.coalesce("component", "set_key", name_col).alias("class")).distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; texts: (node, text)."""
 

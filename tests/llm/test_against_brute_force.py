@@ -168,16 +168,70 @@ def test_op6_other_layouts():
 
 
 def test_op7_templates(spark):
-    keys = line_dedup.template_keys
-    assert keys("user 17 logged in")[0] == keys("user 4711 logged in")[0] != keys("user 17 logged out")[0]
-    boiler = ["Page {} of our site, all rights reserved", "Contact us at any time"]
-    texts = [f"own line {'abcdefgh'[k]} one\nown line {'abcdefgh'[k]} two\n{boiler[0].format(k)}" for k in range(6)] + ["the same text\nin three lines\nagain and again"] * 4 + [None, ""]
+    keys = line_dedup.template_keys(["user 17 logged in", "user 4711 logged in", "user 17 logged out", "user alice logged in", "user bob logged in", "user alice logged out", "one two three"])[0].tolist()
+    assert keys[0] == keys[1] and keys[0][0] != keys[2][0]
+    assert keys[3][1] == keys[4][1] == keys[0][1] != keys[5][1] and keys[3][0] != keys[4][0]  # the second token is variable
+    assert line_dedup.template_keys(["one two three"])[1].tolist() == [[3, 0, 0, 0]]
+    boiler = ["Page {} of our site, all rights reserved", "Posted by {} in News today"]
+    names = "Alice Bob Carol Dan Eve Frank".split()
+    texts = [f"own line {'abcdefgh'[k]} one\nan other line {'abcdefgh'[k]} two\n{boiler[0].format(k)}\n{boiler[1].format(names[k])}" for k in range(6)] + ["the same text\nin three lines\nagain and again"] * 4 + [None, ""]
+    texts = [t.replace("own line", f"{'mnopqr'[k]} line").replace("an other", f"{'mnopqr'[k]} other") if t and k < 6 else t for k, t in enumerate(texts)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(df).collect()}
-    assert [found[k]["n_dropped"] for k in range(6)] == [0, 1, 1, 1, 1, 1] and found[3]["text"] == "own line d one\nown line d two"
+    assert [found[k]["n_dropped"] for k in range(6)] == [0, 2, 2, 2, 2, 2] and found[3]["text"] == "p line d one\np other line d two"
     assert all(found[k]["n_dropped"] == 0 for k in range(6, 12))
 
 
+def lines_to_drop(texts, classes):
+    """Places of dropped lines by brute force: all pairs of a template and a text."""
+    carriers = defaultdict(list)
+    for k, text in texts.items():
+        for j, line in enumerate(text.split("\n")):
+            if not re.search(r"[^ \t\r\f\x0b]", line):
+                continue
+            tokens = [("<*>" if re.search(r"[0-9@]|://", t) else t) for t in line.split()]
+            n, rest = len(tokens), max(0, len(tokens) - 1)
+            cuts = [1 + rest * f // 3 for f in range(4)]
+            carriers[tuple(tokens), 2 if n >= 16 else 3].append((k, j))
+            for f in range(3):
+                a, b = cuts[f], cuts[f + 1]
+                if b > a and n - (b - a) >= 3:
+                    carriers[(n, f, *tokens[:a], *tokens[b:]), 3].append((k, j))
+    out = defaultdict(set)
+    for (_, need), rows in carriers.items():
+        if len({classes[k] for k, _ in rows}) >= need:
+            first = min(k for k, _ in rows)
+            for k, j in rows:
+                if k != first:
+                    out[k].add(j)
+    return out
+
+
+def test_op7_which_lines_go(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    keyed = {hashlib.md5(t.encode()).digest(): k for k, t in docs.items()}
+    rows = df.selectExpr("unhex(md5(text)) AS text_key", "text").dropDuplicates(["text_key"])
+    by_key = {bytes(r["text_key"]): bytes(r["class"]) for r in near_dedup.estimated_classes(rows, "text_key").collect()}
+    assert set(by_key) == set(keyed)
+    classes = {k: by_key[hashlib.md5(t.encode()).digest()] for k, t in docs.items()}
+    want = lines_to_drop(docs, classes)
+    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert any(want.values())
+    for k, text in docs.items():
+        assert found[k]["n_dropped"] == len(want[k])
+        assert found[k]["text"] == "\n".join(x for j, x in enumerate(text.split("\n")) if j not in want[k])
+
+
+def test_estimated_classes(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "name bigint, text string")
+    found = {r["name"]: r["class"] for r in near_dedup.estimated_classes(df.selectExpr("cast(cast(name AS string) AS binary) AS name", "text"), "name").collect()}
+    found = {int(k): bytes(v) for k, v in found.items()}
+    exact = {k: c for k, (_, c) in near(docs, 5).items()}
+    together = [found[k] == found[c] for k, c in exact.items() if k != c]
+    apart = len(set(found.values())) / len(set(exact.values()))
+    assert np.mean(together) > 0.9 and 0.95 < apart < 1.1
+
+
 def test_op7_lines(spark, docs):
     found = rows_of(spark, "op7_recurring_lines")
     assert set(found) == set(docs)

@@ -67,8 +67,14 @@ class Words(dict):
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
+    def split(self, text: str | None) -> list[bytes]:
+        return (text or "").encode("utf-8", "surrogatepass").translate(self.table).split()
+
+    def count(self, text: str | None) -> int:
+        return len(self.split(text))
+
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(self.table).split()
+        words = self.split(text)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -1,17 +1,19 @@
-"""Benchmark decontamination with a positional inverted index.
-
-The index is split by documents: each task holds the postings (term, position) of its batch of documents, for the terms of
-the benchmark. A benchmark window is looked up from its rarest term, by counts over all documents: the postings of that
-term, less the term's offset, are possible starts; they are intersected with the offset-adjusted postings of the window's
-other terms, rarest first. What is left are exact phrase matches. Starts where most terms lie near their place are
-proximity matches; for these a window is looked up from one rare term more than may be lost, so one of them is there.
-The benchmark is handled in blocks of bounded size, so what is sent to the tasks is bounded as well.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+build_index() reads the documents once and stores postings: a row for each BLOCK documents, with the terms that they have,
+sorted, and for each term the places where it stands. find_matches() works on that table: counts of benchmark terms are
+sums over its rows, and a benchmark window is looked up from its rarest term. The places in that term's list, less the
+term's offset, are possible starts; they are intersected with the offset-adjusted lists of the window's other terms,
+rarest first. What is left are exact phrase matches. Starts where most terms lie near their place are proximity matches;
+for these a window is looked up from one rare term more than may be lost, so one of them is there.
+
+Windows go to the tasks in blocks of BLOCK_CHARS characters of benchmark text. A larger benchmark takes more passes over the
+index, never over the texts, and each pass is stored before the next, so that memory doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,50 +21,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import map_column, slices
+from factloom.llm.common import WORDS_ONLY, Words, free_name, map_column, release, slices, stored
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 10
-#: Characters of benchmark text that go to the tasks at once; a larger benchmark takes more passes over the documents.
-BLOCK_CHARS = 8_000_000
+#: Documents in a row of the index.
+BLOCK = 256
+#: Characters of benchmark text whose windows go to the tasks at once.
+BLOCK_CHARS = 2_000_000
 #: Proximity: so many words may be lost from a window, and the others may be displaced by so many places; in proportion for short items.
 LOST, SLOP = 2, 3
+#: Places between two documents of a block; windows and what is looked at beside them reach no further.
+GAP = 64
 #: Postings that are looked at together.
 AT_ONCE = 200_000
+INDEX = "keys array<binary>, starts binary, length bigint, terms binary, ends binary, places binary"
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(UPPER) if not text.isascii() else text.lower()) if text else []
+def build_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The postings of docs, as a stored table with a row for each BLOCK texts of a task.
+
+    keys: md5 of each text; starts: where it begins in the block's places (int64), GAP places after the last one's end; length:
+    the block's places; terms: the words' hashes, sorted (uint64); ends: how many postings the terms up to each have (int64);
+    places: all postings by term (int32). Null, empty and wordless texts have no postings. Texts are read whole.
+    """
+
+    def run(batches):
+        words = Words(WORDS_ONLY)
+        for batch in slices(batches, "t"):
+            texts = batch.column(0).to_pylist()
+            for low in range(0, len(texts), BLOCK):
+                found = [words.of(t) for t in texts[low : low + BLOCK]]
+                sizes = np.array([len(x) for x in found])
+                starts = GAP + np.concatenate(([0], np.cumsum(sizes + GAP)))
+                terms = np.concatenate(found)
+                places = np.arange(len(terms)) + np.repeat(starts[:-1] - np.cumsum(sizes) + sizes, sizes)
+                order = np.argsort(terms, kind="stable")
+                terms = terms[order]
+                last = np.flatnonzero(np.append(terms[1:] != terms[:-1], True)) if len(terms) else np.zeros(0, np.int64)
+                keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts[low : low + BLOCK]]
+                data = (starts[:-1].astype(np.int64), terms[last], last.astype(np.int64) + 1, places[order].astype(np.int32))
+                own = [x.tobytes() for x in data]
+                yield pa.RecordBatch.from_pydict({"keys": [keys], "starts": [own[0]], "length": [int(starts[-1])], "terms": [own[1]], "ends": [own[2]], "places": [own[3]]}, schema=pa.schema([("keys", pa.list_(pa.binary())), ("starts", pa.binary()), ("length", pa.int64()), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())]))
+
+    return stored(docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, INDEX), "postings")
+
+
+class Block:
+    """A row of the index."""
+
+    def __init__(self, row: dict):
+        self.keys, self.length = row["keys"], row["length"]
+        self.starts, self.ends = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)
+        self.terms, self.places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["places"], np.int32)
+
+    def among(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the block's terms are in the sorted vocabulary, and their numbers there."""
+        at = np.searchsorted(vocabulary, self.terms)
+        at[at == len(vocabulary)] = 0
+        own = np.flatnonzero(vocabulary[at] == self.terms) if len(vocabulary) else np.zeros(0, np.int64)
+        return own, at[own]
+
+    def lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of some of the block's terms, and how many each has."""
+        first = np.concatenate(([0], self.ends))[which]
+        n = self.ends[which] - first
+        return self.places[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64), n
+
+
+def rows_of(batches, kind=Block):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield kind(batch.slice(k, 1).to_pylist()[0])
 
 
 class Windows:
-    """Distinct windows of a block of items: their terms, their offsets from the rarest term on, and their items."""
-
-    def __init__(self, items: list[tuple[str, str]], counts: dict[str, int], window: int):
-        texts = [(item, words_of(text)) for item, text in items]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
-        found: dict[tuple[int, ...], set[int]] = {}
-        self.items = [item for item, _ in items]
-        for number, (_, words) in enumerate(texts):
-            ids = [self.vocabulary[w] for w in words]
-            for start in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[start : start + window]), set()).add(number)
-        rarity = np.array([counts.get(w, 0) for w in self.vocabulary], np.int64)
-        self.window = window
-        self.length = np.array([len(w) for w in found], np.int64)
-        self.terms = np.full((len(found), window), -1, np.int64)
-        self.offsets = np.zeros((len(found), window), np.int64)
-        for k, ids in enumerate(found):  # rarest first
-            order = sorted(range(len(ids)), key=lambda j: (rarity[ids[j]], ids[j], j))
-            self.terms[k, : len(ids)] = [ids[j] for j in order]
-            self.offsets[k, : len(ids)] = order
-        self.owners = list(found.values())
-        self.lost, self.slop = LOST * self.length // window, SLOP * self.length // window
+    """Distinct windows of some items: their terms, rarest first, the terms' offsets, and the items that have them."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        words = Words(WORDS_ONLY)
+        texts = [words.of(text) for _, text in items]
+        self.items, self.window = [item for item, _ in items], window
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]))
+        rows, owners = [np.zeros((0, window), np.int64)], [np.zeros(0, np.int64)]
+        for number, text in enumerate(texts):
+            ids = np.searchsorted(self.vocabulary, text)
+            if len(ids) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            elif len(ids):
+                rows.append(np.append(ids, np.full(window - len(ids), -1))[None])
+            else:
+                continue
+            owners.append(np.full(len(rows[-1]), number))
+        self.rows, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack((inverse.reshape(-1), np.concatenate(owners))), axis=0)
+        self.owner, self.owned = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+
+    def order(self, counts: np.ndarray) -> None:
+        """Puts the terms of each window in order; counts: of the vocabulary's terms in all documents."""
+        rank = np.empty(len(counts) + 1, np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        rank[-1] = len(counts)  # places beyond a short item's end come last
+        order = np.argsort(rank[self.rows], axis=1, kind="stable")
+        self.length = (self.rows >= 0).sum(1)
+        self.terms, self.offsets = np.take_along_axis(self.rows, order, 1), order
+        self.lost, self.slop = LOST * self.length // self.window, SLOP * self.length // self.window
         self.bits = np.ascontiguousarray(np.where(self.terms >= 0, bit_of(self.terms), np.uint64(0)).T)  # by turn, as they are read
         self.places = np.ascontiguousarray(self.offsets.T)
-        self.rarest = self.anchors(0)
-        self.rare = self.anchors(LOST)
+        self.rarest, self.rare = self.anchors(0), self.anchors(LOST)
+        del self.rows
+
+    def owners(self, windows: np.ndarray) -> set[int]:
+        return {i for w in np.unique(windows).tolist() for i in self.owner[self.owned[w] : self.owned[w + 1]].tolist()}
 
     def anchors(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows by their rarest terms, `most` besides the first, but no more than may be lost: (window, which of its terms) by
@@ -73,36 +142,39 @@ class Windows:
         window, which = window[order], which[order]
         return window, which, np.searchsorted(self.terms[window, which], np.arange(len(self.vocabulary) + 1))
 
-    def lookup(self, ids: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and windows of exact matches in ids (terms, -1 for other words), and near ones as (place of a term, window) rows."""
-        exact, close = [], []
+    def lookup(self, block: Block, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and windows of exact matches in a block, and near ones as (place of a term, window) rows."""
         by_term, turn, first = self.rare if near else self.rarest
-        postings = np.flatnonzero(ids >= 0)
-        fan = first[ids[postings] + 1] - first[ids[postings]]
-        postings, fan = postings[fan > 0], fan[fan > 0]
+        exact, close = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        own, terms = block.among(self.vocabulary)
+        places, n = block.lists(own)
+        ids = np.full(block.length, -1, np.int64)  # which term stands at a place, so that a list is intersected by a look at it
+        ids[places] = np.repeat(terms, n)
+        anchored = np.flatnonzero(first[terms + 1] > first[terms])
+        postings, n = block.lists(own[anchored])
+        low, fan = np.repeat(first[terms[anchored]], n), np.repeat((first[1:] - first[:-1])[terms[anchored]], n)
         around = bits_around(ids) if near else None
         cuts = np.searchsorted(np.cumsum(fan), np.arange(AT_ONCE, int(fan.sum()) + AT_ONCE, AT_ONCE), side="right")
-        low = 0
-        for high in [*dict.fromkeys(cuts.tolist())]:
-            high = max(high, low + 1)
-            at, n = postings[low:high], fan[low:high]
-            low = high
+        done = 0
+        for to in dict.fromkeys(cuts.tolist()):
+            to = max(to, done + 1)
+            at, n, begin = postings[done:to], fan[done:to], low[done:to]
+            done = to
             if not len(at):
                 continue
-            which = np.repeat(first[ids[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            which = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
             window, anchor, at = by_term[which], turn[which], np.repeat(at, n)
             start = at - self.offsets[window, anchor]
-            inside = (anchor == 0) & (start >= 0) & (start + self.length[window] <= len(ids))
-            whole_start, whole_window = start[inside], window[inside]
+            whole = anchor == 0
+            whole_start, whole_window = start[whole], window[whole]
             for j in range(1, self.window):
                 same = (self.terms[whole_window, j] < 0) | (ids[whole_start + self.offsets[whole_window, j]] == self.terms[whole_window, j])
                 whole_start, whole_window = whole_start[same], whole_window[same]
             exact.append(np.stack((whole_start, whole_window)))
             if near:
                 close.append(self.nearby(ids, around, at, start, window, anchor))
-        join = lambda x: np.concatenate(x, 1) if x else np.zeros((2, 0), np.int64)
-        hits = join(exact)
-        return hits[0], hits[1], join(close)
+        hits = np.concatenate(exact, 1)
+        return hits[0], hits[1], np.concatenate(close, 1)
 
     def nearby(self, ids: np.ndarray, around: np.ndarray, at: np.ndarray, start: np.ndarray, window: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Of the possible starts, those where all but LOST terms are found at most SLOP from their places, but not all in place.
@@ -147,22 +219,23 @@ def bits_around(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def term_counts(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
-    """How often each benchmark term occurs in all documents; tasks add up their own counts first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each term of the vocabulary occurs in all documents: sums over the index."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        total: Counter[str] = Counter()
-        for batch in slices(batches, "t"):
-            for text in batch.column(0).to_pylist():
-                total.update(words_of(text))
-                if len(total) > 500_000:
-                    total = Counter({w: total[w] for w in shared.value & total.keys()})
-        own = sorted(shared.value & total.keys())
-        yield pa.RecordBatch.from_pydict({"term": pa.array(own, pa.string()), "n": pa.array([total[w] for w in own], pa.int64())})
-
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"]: r["n"] for r in rows}
+        total = np.zeros(len(shared.value), np.int64)
+        for block in rows_of(batches):
+            own, terms = block.among(shared.value)
+            total[terms] += np.diff(np.concatenate(([0], block.ends)))[own]
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(term), "n": pa.array(total[term])})
+
+    rows = index.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in rows:
+        out[r["term"]] = r["n"]
+    return out
 
 
 def blocks_of(bench: DataFrame, text_col: str, item_col: str, block_chars: int) -> list[DataFrame]:
@@ -175,6 +248,48 @@ def blocks_of(bench: DataFrame, text_col: str, item_col: str, block_chars: int)
     return [bench.where(part == k) for k in range(n)]
 
 
+def matched(index: DataFrame, windows: Windows, near: bool) -> DataFrame:
+    """(key, hits, items, near_items) for the texts of the index with a match, whole or near."""
+    shared = index.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches):
+        windows = shared.value
+        for block in rows_of(batches):
+            at, which, close = windows.lookup(block, near)
+            mine, near_mine = (np.searchsorted(block.starts, x, side="right") - 1 for x in (at, close[0] if len(close[0]) else np.zeros(0, np.int64)))
+            out = [[], [], [], []]
+            for d in np.union1d(mine, near_mine).tolist():
+                own = mine == d
+                exact = windows.owners(which[own])
+                other = windows.owners(close[1][near_mine == d]) - exact
+                for x, v in zip(out, (block.keys[d], merged(at[own] - block.starts[d], windows.length[which[own]]), named(windows.items, exact), named(windows.items, other)), strict=True):
+                    x.append(v)
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["key", "hits", "items", "near_items"])
+
+    return index.mapInArrow(run, "key binary, hits array<bigint>, items array<string>, near_items array<string>").dropDuplicates(["key"])
+
+
+def search(index: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, near: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, hits, items, near_items) of the texts in a stored index that match items of bench; key is the text's md5."""
+    if window + SLOP > GAP:
+        raise ValueError(f"a window can't have more than {GAP - SLOP} words")
+    found = []
+    for block in blocks_of(bench, text_col, item_col, block_chars):
+        windows = Windows([(r[0], r[1]) for r in block.select(F.col(item_col).cast("string"), text_col).collect()], window)
+        windows.order(term_counts(index, windows.vocabulary))
+        found.append(stored(matched(index, windows, near), "matches"))
+        release(index.sparkSession)
+    if len(found) == 1:
+        return found[0]
+    both = found[0]
+    for other in found[1:]:
+        both = both.union(other)
+    gathered = both.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "near_items")])  # one row for each block at most
+    items = F.array_sort(F.array_distinct("items"))
+    return gathered.select("key", union_of_runs(F.col("hits")).alias("hits"), items.alias("items"), F.array_sort(F.array_except(F.array_distinct("near_items"), "items")).alias("near_items"))
+
+
 def find_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, near: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds to docs: n_words, hits (array of bigint: starts and ends of matched runs of words, alternately), items (array of
     string: ids of the items with an exact match, as text, sorted) and near_items (likewise, of proximity matches only).
@@ -184,54 +299,20 @@ def find_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
     Repeated rows and other columns of docs stay (columns with the four names are replaced); with an empty benchmark
     nothing matches.
     """
-    spark, result, names = docs.sparkSession, docs, []
-    fields = [("n_words", T.LongType()), ("hits", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("near_items", T.ArrayType(T.StringType()))]
-    result = docs.drop(*(f for f, _ in fields))
-    for k, block in enumerate(blocks_of(bench, text_col, item_col, block_chars)):
-        items = [(r[0], r[1]) for r in block.select(F.col(item_col).cast("string"), text_col).collect()]
-        vocabulary = sorted({w for _, t in items for w in words_of(t)})
-        shared = spark.sparkContext.broadcast(Windows(items, term_counts(docs, vocabulary, text_col), window))
-
-        def make(shared=shared):
-            index = shared.value
-            get = index.vocabulary.get
-
-            def work(texts):
-                out = [[], [], [], []]
-                for low in range(0, len(texts), 256):
-                    docs = [words_of(t) for t in texts[low : low + 256]]
-                    gap = [-1] * (index.window + SLOP)  # windows don't reach from one document into the next, nor out of the first
-                    ids, starts = [*gap], []
-                    for words in docs:
-                        starts.append(len(ids))
-                        ids += [get(w, -1) for w in words]
-                        ids += gap
-                    at, which, close = index.lookup(np.array(ids, np.int64), near)
-                    edges = np.array([*starts, len(ids)])
-                    mine, near_mine = np.searchsorted(edges, at, side="right") - 1, np.searchsorted(edges, close[0], side="right") - 1
-                    order, near_order = np.argsort(mine, kind="stable"), np.argsort(near_mine, kind="stable")
-                    cut, near_cut = (np.searchsorted(x[o], np.arange(len(docs) + 1)) for x, o in ((mine, order), (near_mine, near_order)))
-                    for d, words in enumerate(docs):
-                        own = order[cut[d] : cut[d + 1]]
-                        beside = close[1][near_order[near_cut[d] : near_cut[d + 1]]]
-                        exact = {i for w in set(which[own].tolist()) for i in index.owners[w]}
-                        other = {i for w in set(beside.tolist()) for i in index.owners[w]} - exact
-                        out[0].append(len(words))
-                        out[1].append(merged(at[own] - starts[d], index.length[which[own]]))
-                        out[2].append(named(index.items, exact))
-                        out[3].append(named(index.items, other))
-                return out
-
-            return work
-
-        names.append([f"__{f}_{k}" for f, _ in fields])
-        result = map_column(result, text_col, [T.StructField(n, t) for n, (_, t) in zip(names[-1], fields, strict=True)], make)
-    if len(names) == 1:
-        return result.withColumnsRenamed(dict(zip(names[0], (f for f, _ in fields), strict=True)))
-    first, (_, hits, items, close) = names[0], zip(*names, strict=True)
-    result = result.withColumn("n_words", F.col(first[0])).withColumn("items", F.array_sort(F.array_distinct(F.concat(*items))))
-    result = result.withColumn("hits", union_of_runs(F.concat(*hits))).withColumn("near_items", F.array_sort(F.array_except(F.array_distinct(F.concat(*close)), "items")))
-    return result.drop(*(n for own in names for n in own)).select(*[c for c in docs.columns if c not in dict(fields)], *(f for f, _ in fields))
+    added = ("hits", "items", "near_items")
+    key, own = free_name("key", docs), free_name("own", docs)
+    columns = [c for c in docs.columns if c.lower() not in ("n_words", *added)]
+    found = search(build_index(docs, text_col), bench, text_col, item_col, window, near, block_chars).select(F.col("key").alias(key), F.struct(*added).alias(own))
+
+    def make():
+        words = Words(WORDS_ONLY)
+        return lambda texts: [[words.count(t) for t in texts]]
+
+    counted = map_column(docs.select(*[F.col(f"`{c}`") for c in columns]), text_col, [T.StructField("n_words", T.LongType())], make)
+    keyed = counted.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))))
+    joined = keyed.join(found, key, "left")
+    none = {"hits": F.array().cast("array<bigint>")} | dict.fromkeys(("items", "near_items"), F.array().cast("array<string>"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], "n_words", *[F.coalesce(F.col(f"{own}.{c}"), none[c]).alias(c) for c in added])
 
 
 def union_of_runs(runs):

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-build_index() reads the documents once and stores postings: a row for each BLOCK documents, with the terms that they have,
-sorted, and for each term the places where it stands. find_matches() works on that table: counts of benchmark terms are
+build_index() reads the documents once and stores postings: a row for some documents of PLACES words together, with the
+terms that they have, sorted, and for each term the places where it stands. find_matches() works on that table: counts of benchmark terms are
 sums over its rows, and a benchmark window is looked up from its rarest term. The places in that term's list, less the
 term's offset, are possible starts; they are intersected with the offset-adjusted lists of the window's other terms,
 rarest first. What is left are exact phrase matches. Starts where most terms lie near their place are proximity matches;
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from factloom.llm.common import WORDS_ONLY, Words, free_name, map_column, release, slices, stored
 
 WINDOW = 10
-#: Documents in a row of the index.
-BLOCK = 256
+#: Words of the documents in a row of the index, gaps included; a longer document has a row of its own.
+PLACES = 60_000
 #: Characters of benchmark text whose windows go to the tasks at once.
 BLOCK_CHARS = 2_000_000
 #: Proximity: so many words may be lost from a window, and the others may be displaced by so many places; in proportion for short items.
@@ -34,45 +34,62 @@ LOST, SLOP = 2, 3
 GAP = 64
 #: Postings that are looked at together.
 AT_ONCE = 200_000
-INDEX = "keys array<binary>, starts binary, length bigint, terms binary, ends binary, places binary"
+INDEX = "keys array<binary>, starts binary, length bigint, terms binary, counts binary, places binary"
+
+
+def number_type(length: int) -> type:
+    """Of counts and places in a row of the index with so many places."""
+    return np.uint16 if length <= 1 << 16 else np.int32
 
 
 def build_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The postings of docs, as a stored table with a row for each BLOCK texts of a task.
+    """The postings of docs, as a stored table with a row for some texts of a task.
 
-    keys: md5 of each text; starts: where it begins in the block's places (int64), GAP places after the last one's end; length:
-    the block's places; terms: the words' hashes, sorted (uint64); ends: how many postings the terms up to each have (int64);
-    places: all postings by term (int32). Null, empty and wordless texts have no postings. Texts are read whole.
+    keys: md5 of each text; starts: where it begins in the row's places (int64), GAP places after the last one's end; length:
+    the row's places; terms: the words' hashes, sorted (uint64); counts: how many postings each term has; places: all postings
+    by term (both number_type). Null, empty and wordless texts have no postings. Texts are read whole.
     """
 
     def run(batches):
         words = Words(WORDS_ONLY)
         for batch in slices(batches, "t"):
-            texts = batch.column(0).to_pylist()
-            for low in range(0, len(texts), BLOCK):
-                found = [words.of(t) for t in texts[low : low + BLOCK]]
-                sizes = np.array([len(x) for x in found])
-                starts = GAP + np.concatenate(([0], np.cumsum(sizes + GAP)))
-                terms = np.concatenate(found)
-                places = np.arange(len(terms)) + np.repeat(starts[:-1] - np.cumsum(sizes) + sizes, sizes)
-                order = np.argsort(terms, kind="stable")
-                terms = terms[order]
-                last = np.flatnonzero(np.append(terms[1:] != terms[:-1], True)) if len(terms) else np.zeros(0, np.int64)
-                keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts[low : low + BLOCK]]
-                data = (starts[:-1].astype(np.int64), terms[last], last.astype(np.int64) + 1, places[order].astype(np.int32))
-                own = [x.tobytes() for x in data]
-                yield pa.RecordBatch.from_pydict({"keys": [keys], "starts": [own[0]], "length": [int(starts[-1])], "terms": [own[1]], "ends": [own[2]], "places": [own[3]]}, schema=pa.schema([("keys", pa.list_(pa.binary())), ("starts", pa.binary()), ("length", pa.int64()), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary())]))
+            found, keys, total = [], [], 0
+            for text in batch.column(0).to_pylist():
+                own = words.of(text)
+                if found and total + len(own) + GAP > PLACES:
+                    yield postings(found, keys)
+                    found, keys, total = [], [], 0
+                found.append(own)
+                keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+                total += len(own) + GAP
+            yield postings(found, keys)
 
     return stored(docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, INDEX), "postings")
 
 
+def postings(texts: list[np.ndarray], keys: list[bytes]) -> pa.RecordBatch:
+    """A row of the index."""
+    sizes = np.array([len(x) for x in texts])
+    starts = GAP + np.concatenate(([0], np.cumsum(sizes + GAP)))
+    terms = np.concatenate(texts)
+    places = np.arange(len(terms)) + np.repeat(starts[:-1] - np.cumsum(sizes) + sizes, sizes)
+    order = np.argsort(terms, kind="stable")
+    terms, counts = np.unique(terms[order], return_counts=True)
+    small = number_type(int(starts[-1]))
+    own = [x.tobytes() for x in (starts[:-1].astype(np.int64), terms, counts.astype(small), places[order].astype(small))]
+    arrays = [pa.array([keys], pa.list_(pa.binary())), pa.array([own[0]]), pa.array([int(starts[-1])], pa.int64()), *(pa.array([x]) for x in own[1:])]
+    return pa.RecordBatch.from_arrays(arrays, names=["keys", "starts", "length", "terms", "counts", "places"])
+
+
 class Block:
     """A row of the index."""
 
     def __init__(self, row: dict):
+        small = number_type(row["length"])
         self.keys, self.length = row["keys"], row["length"]
-        self.starts, self.ends = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)
-        self.terms, self.places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["places"], np.int32)
+        self.starts, self.terms = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["terms"], np.uint64)
+        self.counts, self.places = (np.frombuffer(row[c], small).astype(np.int64) for c in ("counts", "places"))
+        self.firsts = np.cumsum(self.counts) - self.counts
 
     def among(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the block's terms are in the sorted vocabulary, and their numbers there."""
@@ -83,15 +100,14 @@ class Block:
 
     def lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The postings of some of the block's terms, and how many each has."""
-        first = np.concatenate(([0], self.ends))[which]
-        n = self.ends[which] - first
-        return self.places[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64), n
+        n = self.counts[which]
+        return self.places[np.repeat(self.firsts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
-def rows_of(batches, kind=Block):
+def rows_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            yield kind(batch.slice(k, 1).to_pylist()[0])
+            yield Block(batch.slice(k, 1).to_pylist()[0])
 
 
 class Windows:
@@ -227,7 +243,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         total = np.zeros(len(shared.value), np.int64)
         for block in rows_of(batches):
             own, terms = block.among(shared.value)
-            total[terms] += np.diff(np.concatenate(([0], block.ends)))[own]
+            total[terms] += block.counts[own]
         term = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": pa.array(term), "n": pa.array(total[term])})
 

@@ -348,3 +348,25 @@ def test_op10_proximity(spark):
     docs = spark.createDataFrame([(1, "one two three four xx five six seven eight nine ten"), (2, "one two three four five six seven eight nine ten"), (3, "ten nine")], "doc_id bigint, text string")
     found = {r["doc_id"]: r for r in decontam.find_matches(docs, bench).collect()}
     assert found[1]["items"] == [] and found[1]["near_items"] == ["1"] and found[2]["items"] == ["1"] and found[2]["near_items"] == [] == found[3]["near_items"]
+
+
+def test_op10_rows_of_the_index(spark, monkeypatch):
+    """The same matches whether documents share rows of the index or each has its own, and in a very long document."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "alpha beta")], "item_id bigint, text string")
+    long = "filler word " * 40_000 + " ".join(words) + " alpha"
+    docs = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, ""), (4, None), (5, "beta alpha beta"), (6, " ".join(words[:10]))], "doc_id bigint, text string")
+    found = []
+    for places in (decontam.PLACES, 70):
+        monkeypatch.setattr(decontam, "PLACES", places)
+        found.append({r["doc_id"]: (r["n_words"], r["hits"], r["items"]) for r in decontam.find_matches(docs, bench, near=False).collect()})
+    assert found[0] == found[1] == {1: (80_013, [80_000, 80_012], ["1"]), 2: (2, [0, 2], ["2"]), 3: (0, [], []), 4: (0, [], []), 5: (3, [1, 3], ["2"]), 6: (10, [0, 10], ["1"])}
+
+
+def test_op10_any_lost_word(spark):
+    """Near matches are found whichever word of the window is lost, the rarest included."""
+    words = "one two three four five six seven eight nine ten".split()
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(10)] + [(99, "one two three four five " * 50)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in decontam.find_matches(docs, bench).collect()}
+    assert all(found[k]["near_items"] == ["1"] and found[k]["items"] == [] for k in range(10)) and found[99]["near_items"] == []

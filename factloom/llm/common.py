@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: Bytes of text that a Python worker holds at once, whatever the size of Arrow's batches.
 SLICE_BYTES = 16 << 20
 #: Words whose hashes a task remembers.
-CACHE_SIZE = 500_000
+CACHE_SIZE = 250_000
 #: Bytes with A-Z in lower case: as they are, and with all but digits, letters and what is not ASCII as spaces.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS_ONLY = bytes(LOWER[c] if 48 <= c <= 57 or 97 <= LOWER[c] <= 122 or c > 127 else 32 for c in range(256))

@@ -18,13 +18,14 @@ from pyspark.sql import types as T
 from factloom.llm.common import map_column
 from factloom.llm.labelled_pages import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+END_OR_QUOTE = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'<>/])([^\s=\"'<>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_WORD = re.compile(r"[a-z]{2,}")
 #: Fixed values of HTML: elements without content, with raw text, without rendered text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-RAW_END = {tag: re.compile(rf"</{tag}[^>]*>", re.I) for tag in RAW}
+RAW_END = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in RAW}
 UNSEEN = frozenset("head script style title noscript template iframe textarea select option svg math object audio video canvas noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What stands in a head; a text that is not blank, and the start of any other element, closes an open one.
@@ -48,7 +49,19 @@ class Node:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order, parents first, and what is written in order: (node, its text), (-1, "") where a block begins or ends."""
     nodes, out, stack = [Node(-1, "#root", "", None)], [], [0]
-    at, n, hidden = 0, len(page), 0
+    at, n, hidden, last_end = 0, len(page), 0, page.rfind(">")
+    opened: Counter[str] = Counter()  # tags in stack, so that it is only searched for what is there
+
+    def tag_end(start: int) -> int:
+        """Where a tag ends, its name ending at start: at a > that isn't quoted; a quote that is never closed is none. -1 if it doesn't end."""
+        while start <= last_end and (m := END_OR_QUOTE.search(page, start)):
+            if m.group() == ">":
+                return m.start()
+            closed = page.find(m.group(), m.end())
+            if closed < 0:
+                return page.find(">", m.end())
+            start = closed + 1
+        return -1
 
     def write(start: int, end: int) -> None:
         raw = page[start:end]
@@ -68,6 +81,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal hidden
         while len(stack) > depth:
             tag = nodes[stack.pop()].tag
+            opened[tag] -= 1
             if tag in UNSEEN:
                 hidden -= 1
             if tag in BLOCKS:
@@ -83,29 +97,34 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             leave_head(at, n)
             write(at, n)
             break
+        tag, end = m.group(2), m.end()
+        if tag is not None and (end := tag_end(m.end())) < 0:  # no tag, but text
+            leave_head(at, m.end())
+            write(at, m.end())
+            at = m.end()
+            continue
         leave_head(at, m.start())
         write(at, m.start())
-        at = m.end()
-        tag = m.group(2)
+        at = end if tag is None else end + 1
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), page[m.end() : end]
         if m.group(1):
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if nodes[stack[depth]].tag == tag:
                     close(depth)
                     break
                 if nodes[stack[depth]].tag in ("td", "th", "table") and tag in ("p", "div", "b", "i", "span", "a"):
                     break
             continue
-        if tag not in IN_HEAD:
+        if tag not in IN_HEAD and opened["head"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "head":
                     close(depth)
                     break
                 if nodes[stack[depth]].tag in UNSEEN:
                     break
-        if tag in CLOSE_P:
+        if tag in CLOSE_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "p":
                     close(depth)
@@ -114,7 +133,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         if tag in CLOSES:
             own, scopes = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in own) else ():
                 if nodes[stack[depth]].tag in own:
                     close(depth)
                     break
@@ -125,8 +144,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         names, label = "", None
-        if "=" in m.group(3):
-            for key, *values in ATTRIBUTE.findall(m.group(3)):
+        if "=" in attributes:
+            for key, *values in ATTRIBUTE.findall(attributes):
                 key = key.lower()
                 if key in ("class", "id", "role"):
                     names += " " + "".join(values).lower()
@@ -137,14 +156,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             close_tag = RAW_END[tag].search(page, at)  # without one, the rest of the page is raw
             at = close_tag.end() if close_tag else n
             continue
-        if not m.group(3).endswith("/") or tag in BLOCKS:
+        if not attributes.endswith("/") or tag in BLOCKS:
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
             hidden += tag in UNSEEN
     return nodes, out
 
 
-def features(nodes: list[Node]) -> list[list[str]]:
-    """Features of each node, once texts and links are summed up to the root."""
+def features(nodes: list[Node]) -> tuple[list[list[str]], list[list[str]]]:
+    """Features of each node by itself, once texts and links are summed up to the root; and those that it hands down to all below
+    it, without what a node above it hands down."""
     in_link = [False] * len(nodes)
     for k, x in enumerate(nodes):
         if x.parent >= 0:
@@ -157,19 +178,23 @@ def features(nodes: list[Node]) -> list[list[str]]:
             up.text += x.text
             up.links += x.links
             up.children += 1
-    out, within = [], []
+    out, handed = [], []
+    path, above = [], set()  # nodes from the root to the last one, and what they hand down
     for k, x in enumerate(nodes):
-        above = within[x.parent] if x.parent >= 0 else {}
+        while path and path[-1] != x.parent:
+            above.difference_update(handed[path.pop()])
         words = dict.fromkeys(NAME_WORD.findall(x.names))
-        within.append(above | {f"in {w}": 1 for w in (*words, x.tag)} if words or x.tag in SECTIONS else above)
+        handed.append([f for f in (f"in {w}" for w in dict.fromkeys((*words, x.tag))) if f not in above] if words or x.tag in SECTIONS else [])
+        path.append(k)
+        above.update(handed[k])
         share = min(3, 4 * x.links // x.text) if x.text else -1
         size = min(5, int(math.log(x.text + 1, 4)))
         if x.tag == "#text":
             stripped = x.start.strip()
-            out.append([f"text {size}", f"linked {in_link[k]}", f"stop {stripped[-1:] in '.!?:;,'}", f"mark {stripped[:1] in '©®™|»'}", *above])
+            out.append([f"text {size}", f"linked {in_link[k]}", f"stop {stripped[-1:] in '.!?:;,'}", f"mark {stripped[:1] in '©®™|»'}"])
         else:
-            out.append([f"tag {x.tag}", f"links {share}", f"size {size}", *(f"name {w}" for w in words), *above])
-    return out
+            out.append([f"tag {x.tag}", f"links {share}", f"size {size}", *(f"name {w}" for w in words)])
+    return out, handed
 
 
 def train(pages: list[str]) -> dict:
@@ -180,8 +205,11 @@ def train(pages: list[str]) -> dict:
         labels: list[int] = []
         for x in nodes:
             labels.append(int(x.label) if x.label is not None else labels[x.parent] if x.parent >= 0 else 0)
-        for x, y, found in zip(nodes, labels, features(nodes), strict=True):
-            for f in found:
+        within: list[list[str]] = []
+        for x, y, found, handed in zip(nodes, labels, *features(nodes), strict=True):
+            above = within[x.parent] if x.parent >= 0 else []
+            within.append(above + handed)
+            for f in (*found, *above):
                 counts[f][y] += 1
                 counts[f.split(" ")[0] + " *"][y] += 1
             if x.parent >= 0:
@@ -194,8 +222,12 @@ def train(pages: list[str]) -> dict:
 def marginals(nodes: list[Node], model: dict) -> list[float]:
     """Probability of each node to be article, by messages up to the root and down again. Logs of ratios and of sums are used."""
     odds, ((h00, h01), (h10, h11)) = model["odds"], model["hand"]
-    own = [DAMPING * sum(odds.get(f, 0.0) for f in found) for found in features(nodes)]
     n = len(nodes)
+    own, within = [0.0] * n, [0.0] * n  # within: what a node and those above it hand down
+    for k, (found, handed) in enumerate(zip(*features(nodes), strict=True)):
+        above = within[nodes[k].parent] if k else 0.0
+        within[k] = above + sum(odds.get(f, 0.0) for f in handed)
+        own[k] = DAMPING * (above + sum(odds.get(f, 0.0) for f in found))
     up0, up1 = [0.0] * n, [0.0] * n  # what a node's subtree says to its parent's label 0 and 1
     in0, in1 = [0.0] * n, own[:]  # a node's own potential and its children's messages
     for k in range(n - 1, 0, -1):

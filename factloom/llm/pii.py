@@ -29,11 +29,12 @@ CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
-MASKED = re.compile(r"([A-Za-z0-9._%+-]+)\s*(?:\[at\]|\(at\)|\{at\})\s*([A-Za-z0-9-]+(?:\s*(?:\[dot\]|\(dot\)|\{dot\}|\.)\s*[A-Za-z0-9-]+)+)", re.I)
+MASKED = re.compile(r"([A-Za-z0-9._%+-]++)\s*+(?:\[at\]|\(at\)|\{at\})\s*+([A-Za-z0-9-]++(?:\s*+(?:\[dot\]|\(dot\)|\{dot\}|\.)\s*+[A-Za-z0-9-]++)+)", re.I)
+ISSUED = re.compile(r"[A-Za-z0-9_-]{12,}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: After a cue: an optional "number" word, a separator, then the value.
-VALUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|num\.?|#|id))?\s*[:=#]?\s*[\"']?([A-Za-z0-9][A-Za-z0-9._/+-]{3,})", re.I)
+VALUE = re.compile(r"(?:\s*+(?:number|no\.?|nr\.?|num\.?|#|id))?\s*+[:=#]?\s*+[\"']?([A-Za-z0-9][A-Za-z0-9._/+-]{3,})", re.I)
 STREET = re.compile(r"[0-9]{1,5}(?:\x20[A-Z][\w'.-]*){1,4}\x20(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Square|Sq)\b")
 #: Cues for accounts and for secrets, and how secrets of known issuers begin.
 ACCOUNT_CUES = ["account", "acct", "iban", "passport", "customer id", "konto", "compte", "cuenta"]
@@ -73,7 +74,7 @@ class Parsers:
     def __init__(self, text: str):
         self.text = text
         self.spans: list[tuple[int, int, int]] = []
-        self.after = dict.fromkeys([*KINDS, "chain", "dotted"], 0)  # where the last match of a kind ended
+        self.after = dict.fromkeys([*KINDS, "chain", "dotted", "scheme", "start"], 0)  # where the last match of a kind, or what a parser read in vain, ended
 
     def add(self, kind: str, start: int, end: int) -> None:
         if start >= self.after[kind] or kind in BASE_KINDS:
@@ -138,7 +139,8 @@ class Parsers:
                 return
         elif start and (text[start - 1].isalnum() or text[start - 1] in "./@"):
             return
-        if start >= self.after["url"] and (m := URL_REST.match(text, end)):
+        if start >= max(self.after["url"], self.after["scheme"]) and (m := URL_REST.match(text, end)):
+            self.after["scheme"] = m.end()
             stop = end + len(m.group().rstrip(".,;:!?)]"))
             if stop > end and "." in text[end:stop]:
                 self.add("url", left, stop)
@@ -170,7 +172,10 @@ class Parsers:
         self.cue("secret", start, end)
 
     def start(self, start: int, end: int) -> None:
-        if (start == 0 or not self.text[start - 1].isalnum()) and (m := re.compile(r"[A-Za-z0-9_-]{12,}").match(self.text, end)):
+        if start < self.after["start"]:
+            return
+        if (start == 0 or not self.text[start - 1].isalnum()) and (m := ISSUED.match(self.text, end)):
+            self.after["start"] = m.end()
             if any(map(str.isdigit, m.group())):
                 self.add("secret", start, m.end())
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import map_column, release, slices, stored
+from factloom.llm.common import free_name, map_column, release, slices, stored
 
 LENGTH, PIECE = 200, 32
 #: Pieces in a string, and strings that are looked at together in a long text.
@@ -105,7 +105,7 @@ def sampled(rows: DataFrame, pieces_only: bool) -> DataFrame:
             arrays += [pa.array(columns[c].astype(np.int16)) if c in ("low", "high") else pa.array(columns[c]) for c in PLACE]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", *PLACE])
 
-    return rows.mapInArrow(run, "piece bigint" if pieces_only else "row bigint, place bigint, piece bigint, low smallint, high smallint, around bigint")
+    return rows.mapInArrow(run, "piece bigint" if pieces_only else "row binary, place bigint, piece bigint, low smallint, high smallint, around bigint")
 
 
 def common_prefixes(rows: np.ndarray, lengths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,11 +252,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     added = {"n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"}
     columns = [c for c in docs.columns if c.lower() not in added]
-    row = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    text_hash = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(" "), text_hash).cast("binary")))
+    row_name, both = free_name("row", docs), free_name("both", docs)
+    runs_name = free_name("runs", docs)
     runs = covered_runs(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")))
-    joined = docs.select(*[F.col(f"`{c}`") for c in columns], row.alias("__row")).join(runs.withColumnRenamed("row", "__row"), "__row", "left")
-    flat = F.flatten(F.transform("runs", lambda r: F.array(r["a"], r["b"])))
-    packed = F.struct(F.col(f"`{text_col}`").alias("text"), F.coalesce(flat, F.array().cast("array<bigint>")).alias("runs")).alias("__both")
+    joined = docs.select(*[F.col(f"`{c}`") for c in columns], row.alias(row_name)).join(runs.withColumnsRenamed({"row": row_name, "runs": runs_name}), row_name, "left")
+    flat = F.flatten(F.transform(runs_name, lambda r: F.array(r["a"], r["b"])))
+    packed = F.struct(F.col(f"`{text_col}`").alias("text"), F.coalesce(flat, F.array().cast("array<bigint>")).alias("runs")).alias(both)
 
     def work(rows):
         out = [[], [], [], [], []]
@@ -276,7 +279,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         return out
 
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept_bytes", T.BinaryType())]
-    return map_column(joined.select(*[F.col(f"`{c}`") for c in columns], packed), "__both", fields, lambda: work, keep_column=False)
+    return map_column(joined.select(*[F.col(f"`{c}`") for c in columns], packed), both, fields, lambda: work, keep_column=False)
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -59,9 +59,16 @@ CLAUSES = {
 
 
 def credit_decisions(applicants: DataFrame) -> DataFrame:
-    """Debt to income in whole percent (half up), signals, tier, decision and rate. Without income the ratio is 0."""
-    dti = F.when(F.coalesce("income", F.lit(0)) > 0, F.expr("(200 * debt + income) div (2 * income)")).otherwise(0).cast("bigint")
-    rows = applicants.withColumn("dti_percent", dti)
+    """Debt to income in whole percent, signals, tier, decision and rate. Missing numbers count as 0; without income the ratio is 0.
+
+    Halves of a percent are rounded up, but eighths, which a binary fraction holds exactly, to the even percent.
+    """
+    numbers = ["income", "debt", "score", "delinquencies", "employment_months"]
+    rows = applicants.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+    rows = rows.withColumn("halves", F.when(F.col("income") != 0, F.expr("200 * debt div income")).otherwise(0).cast("bigint"))
+    up = (F.col("halves") + 1).bitwiseAND(F.lit(-2)) / 2
+    eighth = (F.col("income") != 0) & (F.col("halves") % 25 == 0) & (F.col("halves") % 4 == 1) & (F.expr("200 * debt") == F.col("halves") * F.col("income"))
+    rows = rows.withColumn("dti_percent", (up - eighth.cast("int")).cast("bigint"))
     low = F.col("score") < MIN_SCORE
     return rows.select(
         "applicant_id",
@@ -132,7 +139,7 @@ def clauses(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "lang", "c.clause", F.col("c.place").cast("bigint").alias("sentence")).where("sentence > 0")
 
 
-MONTH_DAY_YEAR = "((?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})"
+MONTH_DAY_YEAR = r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},\s+[0-9]{4})"
 
 
 def contract_fields(contracts: DataFrame) -> DataFrame:
@@ -140,10 +147,10 @@ def contract_fields(contracts: DataFrame) -> DataFrame:
     found = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
     rows = contracts.select(
         "contract_id",
-        F.to_date(found(f"(?i)(?:effective date|entered into as of) {MONTH_DAY_YEAR}"), "MMMM d, yyyy").cast("string").alias("effective_date"),
+        F.try_to_date(F.initcap(F.regexp_replace(found(rf"(?i)(?:effective\s+date|entered\s+into\s+as\s+of)\W{{0,20}}{MONTH_DAY_YEAR}"), r"\s+", " ")), "MMMM d, yyyy").cast("string").alias("effective_date"),
         found(r"(?i)This Agreement shall be governed by the laws of ([^.]+)\.").alias("jurisdiction"),
         F.get(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.]*\."), 0), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c.rlike(r"(?i)\bterminate[ds]?\b")), 0).alias("termination"),
-        F.size(F.regexp_extract_all("text", F.lit(r'"([A-Z][A-Za-z0-9 ]+)" (?:means|shall mean) [^.]+\.'), 1)).cast("bigint").alias("n_terms"),
+        F.size(F.regexp_extract_all("text", F.lit(r'(?i)"([A-Z][A-Za-z0-9 ]+)"\s+(?:means|shall mean)\s+[^.]+\.'), 1)).cast("bigint").alias("n_terms"),
     )
     warn = {"effective_date": "effective_date_not_found", "jurisdiction": "governing_law_not_found", "termination": "termination_conditions_not_found"}
     return rows.withColumn("warnings", F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(w)) for c, w in warn.items()])), ","))

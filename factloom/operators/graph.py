@@ -3,36 +3,23 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: written to the checkpoint folder and read back. Without such a folder it is checkpointed in a temporary one."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from factloom.sources.shared import stored
 
 
 def shortest_paths(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, b, path): for each pair the lexicographically least of the shortest paths, of one edge or more."""
-    steps = kept(edges.select(*keys, "a", "b").distinct())
-    frontier = kept(steps.withColumn("path", F.array("a", "b")))
+    steps = stored(edges.select(*keys, "a", "b").distinct())
+    frontier = stored(steps.withColumn("path", F.array("a", "b")))
     done = frontier
     while not frontier.isEmpty():
         nxt = frontier.select(*keys, "a", F.col("b").alias("via"), "path").join(steps.select(*keys, F.col("a").alias("via"), "b"), [*keys, "via"])
         nxt = nxt.groupBy(*keys, "a", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        frontier = kept(nxt.join(done.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti"))
+        frontier = stored(nxt.join(done.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti"))
         done = done.union(frontier)
     return done
 
@@ -45,12 +32,12 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def support_tree(edges: DataFrame, target: str) -> DataFrame:
     """What supports or implies the target, directly or not, with the distance."""
-    steps = kept(edges.where("type in ('supports', 'implies')").select("a", "b").distinct())
-    found = kept(steps.sparkSession.createDataFrame([(target, 0)], "node string, depth bigint"))
+    steps = stored(edges.where("type in ('supports', 'implies')").select("a", "b").distinct())
+    found = stored(steps.sparkSession.createDataFrame([(target, 0)], "node string, depth bigint"))
     frontier = found
     while not frontier.isEmpty():
         nxt = steps.join(frontier, steps["b"] == frontier["node"]).select(F.col("a").alias("node"), F.col("depth") + 1).toDF("node", "depth").groupBy("node").agg(F.min("depth").alias("depth"))
-        frontier = kept(nxt.join(found.select("node"), "node", "left_anti"))
+        frontier = stored(nxt.join(found.select("node"), "node", "left_anti"))
         found = found.union(frontier)
     return found.where("depth > 0")
 

@@ -38,11 +38,12 @@ def without_object(events: DataFrame, name: str) -> DataFrame:
 
 
 def patched(events: DataFrame, removed: DataFrame, updated: DataFrame, added: DataFrame) -> DataFrame:
-    """Removals, then updates of actions, then additions, all by (case_id, event_id). Updates of unknown events change nothing."""
+    """Removals, then updates of actions, then additions, all by (case_id, event_id). Updates of unknown events change nothing; of
+    several updates of one event the last in order of the text holds, and repeated additions count once."""
     key = ["case_id", "event_id"]
-    rows = events.join(removed, key, "left_anti").join(updated.select(*key, F.col("action").alias("new_action")), key, "left")
+    rows = events.join(removed.select(*key), key, "left_anti").join(updated.groupBy(*key).agg(F.max("action").alias("new_action")), key, "left")
     rows = rows.withColumn("action", F.coalesce("new_action", "action")).drop("new_action")
-    return rows.unionByName(added.join(events.select(*key), key, "left_anti").select(rows.columns))
+    return rows.unionByName(added.dropDuplicates(key).join(events.select(*key), key, "left_anti").select(rows.columns))
 
 
 def enriched(events: DataFrame, patches: DataFrame) -> DataFrame:

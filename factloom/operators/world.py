@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the rules.
-SECURITY_WORDS = ["secret", "token", "credential", "key", "leak", "rotat", "access", "policy", "source"]
+SECURITY_WORDS = ["access", "secret", "key", "token", "credential"]
 POLICY_PHRASES = ["must never appear in source", "must never be in source", "must never in source", "must never appear in repo", "must never be in repo", "must be never in source", "never in source"]
 SOURCE_WORDS = ["source", "repo", "repository", "commit", "committed"]
 NEGATIONS = [("active", "destroyed"), ("enabled", "disabled")]
@@ -149,9 +149,10 @@ def typed_edges(events: DataFrame) -> DataFrame:
 
 
 def violations(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(case_id, type, a, b): policies broken in source context; before-edges against the known times; states that negate each other."""
-    p = pairs(events, ["case_id", "object"]).where(any_of(F.lower("a_action"), POLICY_PHRASES) & any_of(F.lower("b_action"), SOURCE_WORDS))
-    policy = p.select("case_id", F.lit("POLICY_CONFLICT").alias("type"), F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"))
+    """(case_id, type, a, b): policy changes broken in source context; before-edges against the known times; states that negate each other."""
+    forbids = events.where((F.col("type") == "PolicyChange") & any_of(F.lower("action"), POLICY_PHRASES)).select("case_id", "object", F.col("event_id").alias("a"))
+    exposes = events.where(any_of(F.lower("action"), SOURCE_WORDS)).select("case_id", "object", F.col("event_id").alias("b"))
+    policy = forbids.join(exposes, ["case_id", "object"]).where("a <> b").select("case_id", F.lit("POLICY_CONFLICT").alias("type"), "a", "b")
     times = events.where("kind <> 'unknown'").select("case_id", "event_id", "value")
     timed = edges.where("type = 'before'").join(times.toDF("case_id", "a", "a_value"), ["case_id", "a"]).join(times.toDF("case_id", "b", "b_value"), ["case_id", "b"])
     temporal = timed.where("b_value < a_value").select("case_id", F.lit("TEMPORAL_CONFLICT").alias("type"), "a", "b")

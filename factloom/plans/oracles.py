@@ -5,11 +5,16 @@ from __future__ import annotations
 from factloom.operators.domains import CLAUSES, VOTES
 from factloom.operators.evidence import MAX_CHARS, OVERLAP
 from factloom.operators.versions import FIELDS
-from factloom.operators.world import FORWARD, INVERSE, POLICY_PHRASES, SECURITY_WORDS, SOURCE_WORDS, TYPE_TERMS
+from factloom.operators.world import TYPE_TERMS
 from factloom.plans.queries import CUTOFF, FOCUS_TOKENS, FOCUS_TYPES, KEYWORDS, TOPK
 from factloom.sources.records import ACTIONS, STATES
 
 STEP = MAX_CHARS - OVERLAP
+#: Fixed values of the rules, written out again so that a slip in the operators shows.
+SECURITY_WORDS = ["access", "secret", "key", "token", "credential"]
+POLICY_PHRASES = ["must never appear in source", "must never be in source", "must never in source", "must never appear in repo", "must never be in repo", "must be never in source", "never in source"]
+SOURCE_WORDS = ["source", "repo", "repository", "commit", "committed"]
+FORWARD, INVERSE = ["before", "prior to"], ["after", "following"]
 
 
 def any_of(text: str, words: list[str]) -> str:
@@ -98,7 +103,7 @@ def violations(source: str, edge: str, name: str) -> str:
     torn = lambda x, y: f"SELECT case_id, 'STATE_CONFLICT' AS type, least(min(event_id) FILTER (state = '{x}'), min(event_id) FILTER (state = '{y}')) AS a, greatest(min(event_id) FILTER (state = '{x}'), min(event_id) FILTER (state = '{y}')) AS b FROM {source} WHERE kind <> 'unknown' GROUP BY case_id, object, value HAVING bool_or(state = '{x}') AND bool_or(state = '{y}')"
     return f"""{name} AS (
   SELECT a.case_id, 'POLICY_CONFLICT' AS type, a.event_id AS a, b.event_id AS b FROM {source} a JOIN {source} b ON a.case_id = b.case_id AND a.object = b.object AND a.event_id <> b.event_id
-    WHERE {any_of('lower(a.action)', POLICY_PHRASES)} AND {any_of('lower(b.action)', SOURCE_WORDS)}
+    WHERE a.type = 'PolicyChange' AND {any_of('lower(a.action)', POLICY_PHRASES)} AND {any_of('lower(b.action)', SOURCE_WORDS)}
   UNION ALL SELECT e.case_id, 'TEMPORAL_CONFLICT', e.a, e.b FROM {edge} e JOIN {source} x ON x.case_id = e.case_id AND x.event_id = e.a JOIN {source} y ON y.case_id = e.case_id AND y.event_id = e.b
     WHERE e.type = 'before' AND x.kind <> 'unknown' AND y.kind <> 'unknown' AND y.value < x.value
   UNION ALL {torn('active', 'destroyed')} UNION ALL {torn('enabled', 'disabled')})"""
@@ -113,7 +118,7 @@ edges AS (SELECT 'C' || c_custkey AS a, 'N' || c_nationkey AS b, 'supports' AS t
 APPLICANTS = """orders_of AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS late FROM orders GROUP BY 1),
 applicants AS (SELECT c_custkey AS applicant_id, CASE WHEN c_custkey % 9 <> 0 THEN CAST(abs(floor(c_acctbal)) + 1 AS BIGINT) END AS income, coalesce(n, 0) * 97 AS debt, c_custkey * 37 % 400 + 450 AS score,
   coalesce(late, 0) AS delinquencies, c_custkey % 60 AS employment_months FROM customer LEFT JOIN orders_of ON c_custkey = o_custkey),
-ratios AS (SELECT *, CAST(CASE WHEN coalesce(income, 0) > 0 THEN (200 * debt + income) // (2 * income) ELSE 0 END AS BIGINT) AS dti_percent FROM applicants),
+ratios AS (SELECT *, CAST(CASE WHEN coalesce(income, 0) = 0 THEN 0 WHEN 8 * debt % income = 0 AND 8 * debt // income % 8 IN (1, 5) THEN 100 * debt // income ELSE (200 * debt + income) // (2 * income) END AS BIGINT) AS dti_percent FROM applicants),
 credit AS (SELECT applicant_id, dti_percent, CASE WHEN dti_percent <= 55 THEN 'pass' ELSE 'fail' END AS dti_status, CASE WHEN delinquencies > 0 THEN 'caution' ELSE 'pass' END AS delinquency_status,
   CASE WHEN score < 640 THEN 'caution' ELSE 'pass' END AS score_status, CASE WHEN employment_months >= 24 THEN 'pass' ELSE 'caution' END AS employment_status,
   CASE WHEN score < 640 THEN 'subprime_tier3' ELSE 'prime_tier1' END AS risk_tier, CASE WHEN dti_percent <= 55 THEN 'approved_conditional' ELSE 'denied' END AS decision,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from factloom.functions.text import rendered
 from factloom.operators import claims, domains, evidence, extraction, graph, reports, service, versions, world
 from factloom.sources import records
+from factloom.sources.shared import stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,11 @@ CUTOFF = "2024-01-15 00:00:00"
 
 
 def focused(s: SparkSession, d: str) -> DataFrame:
-    return graph.kept(world.focus(records.world_events(s, d), FOCUS_TOKENS, FOCUS_TYPES))
+    return stored(world.focus(records.world_events(s, d), FOCUS_TOKENS, FOCUS_TYPES))
 
 
 def newer_focused(s: SparkSession, d: str) -> DataFrame:
-    return graph.kept(world.focus(records.newer_world(records.world_events(s, d)), FOCUS_TOKENS, FOCUS_TYPES))
+    return stored(world.focus(records.newer_world(records.world_events(s, d)), FOCUS_TOKENS, FOCUS_TYPES))
 
 
 def found_violations(events: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def text_sentences(s, d):
 
 def text_clauses(s, d):
     docs = records.documents(s, d)
-    return extraction.clauses(docs, graph.kept(extraction.sentences(docs)))
+    return extraction.clauses(docs, stored(extraction.sentences(docs)))
 
 
 def placed(s, d, label: str, pattern: str, spans: DataFrame) -> DataFrame:
@@ -260,13 +261,13 @@ def placed(s, d, label: str, pattern: str, spans: DataFrame) -> DataFrame:
 
 
 def text_references(s, d):
-    spans = graph.kept(extraction.sentences(records.documents(s, d)))
+    spans = stored(extraction.sentences(records.documents(s, d)))
     pronouns, mentions = (placed(s, d, n, p, spans) for n, p in (("pronoun", extraction.PRONOUN), ("mention", extraction.MENTION)))
     return extraction.references(pronouns, mentions)
 
 
 def text_frames(s, d):
-    spans = graph.kept(text_clauses(s, d))
+    spans = stored(text_clauses(s, d))
     verbs, mentions = (placed(s, d, n, p, spans) for n, p in (("verb", extraction.VERB), ("mention", extraction.MENTION)))
     return extraction.frames(verbs, mentions)
 
@@ -292,7 +293,7 @@ def constraint_narrative(s, d):
 def casefile_summary(s, d):
     events = focused(s, d)
     edges = world.typed_edges(events)
-    return reports.casefile(events, edges, world.violations(events, edges), graph.kept(verdicts_of(events)))
+    return reports.casefile(events, edges, world.violations(events, edges), stored(verdicts_of(events)))
 
 
 def repair_actions(s, d):

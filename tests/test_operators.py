@@ -136,3 +136,32 @@ def test_enrichment(spark):
     patches = spark.createDataFrame([(1, 1, "2024-02-01", "y"), (1, 2, "2024-03-01", "z"), (9, 9, "2024-02-01", "q")], "case_id bigint, event_id bigint, value string, actor string")
     found = {r["event_id"]: (r["kind"], r["value"], r["actor"], r["ordering_conflict"]) for r in versions.enriched(events, patches).collect()}
     assert found == {1: ("date", "2024-02-01", "y", False), 2: ("date", "2024-01-01", "x", True), 3: ("date", "2024-01-01", None, False)}
+
+
+def test_credit_gaps_and_ties(spark):
+    rows = [(1, 8, 1, None, 0, 24), (2, 8, 3, 640, None, None), (3, 1000, None, 700, 0, 30), (4, 200, 1, 700, 0, 30), (5, 8, 5, 700, 0, 30), (6, None, 5, 700, 0, 30)]
+    a = spark.createDataFrame(rows, "applicant_id bigint, income bigint, debt bigint, score bigint, delinquencies bigint, employment_months bigint")
+    r = {x["applicant_id"]: x for x in domains.credit_decisions(a).collect()}
+    assert [r[k]["dti_percent"] for k in range(1, 7)] == [12, 38, 0, 1, 62, 0]
+    assert r[1]["risk_tier"] == "subprime_tier3" and r[1]["score_status"] == "caution" and r[3]["dti_status"] == "pass" and r[2]["employment_status"] == "caution"
+
+
+def test_contract_gaps(spark):
+    a = spark.createDataFrame([(1, 'EFFECTIVE DATE: "January  1, 2024". "goods" SHALL MEAN things.'), (2, "effective date May 40, 2024.")], "contract_id bigint, text string")
+    r = {x["contract_id"]: x for x in domains.contract_fields(a).collect()}
+    assert r[1]["effective_date"] == "2024-01-01" and r[1]["n_terms"] == 1 and r[2]["effective_date"] is None
+
+
+def test_policy_conflicts_start_from_policy_changes(spark):
+    rows = [("c", 1, "PolicyChange", "date", "2024-01-01", "k", "keys never in source", None), ("c", 2, "Config", "date", "2024-01-02", "k", "never in source", None), ("c", 3, "Leak", "date", "2024-01-03", "k", "committed to repo", None)]
+    events = spark.createDataFrame(rows, "case_id string, event_id bigint, type string, kind string, value string, object string, action string, state string")
+    edges = spark.createDataFrame([], "case_id string, a bigint, b bigint, type string")
+    found = {(x["type"], x["a"], x["b"]) for x in world.violations(events, edges).collect()}
+    assert found == {("POLICY_CONFLICT", 1, 2), ("POLICY_CONFLICT", 1, 3)}
+
+
+def test_repeated_patches(spark):
+    key = "case_id string, event_id bigint"
+    events = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], f"{key}, action string")
+    out = versions.patched(events, spark.createDataFrame([("c", 2), ("c", 2)], key), spark.createDataFrame([("c", 1, "x"), ("c", 1, "y")], f"{key}, action string"), spark.createDataFrame([("c", 3, "n"), ("c", 3, "n")], f"{key}, action string"))
+    assert sorted((r["event_id"], r["action"]) for r in out.collect()) == [(1, "y"), (3, "n")]

@@ -1,6 +1,7 @@
 """Span operators, reports and the admission stream on literal cases."""
 
 import json
+import os
 
 from factloom.operators import extraction as ex
 from factloom.operators import reports, service, world
@@ -65,6 +66,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in range(3):
         (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(r) for r in rows[20 * part : 20 * part + 20]))
+        os.utime(tmp_path / "in" / f"{part}.json", (1_700_000_000 + part,) * 2)  # the source takes files by time; equal times have no order
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("s"))
     query = stream_admissions(stream, 3, 60).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
     query.processAllAvailable()

@@ -111,7 +111,7 @@ def sampled(rows: DataFrame, pieces_only: bool) -> DataFrame:
 def common_prefixes(rows: np.ndarray, lengths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts byte strings (rows of a matrix, filled up with zeros) within groups. Returns the order and how many bytes each has in
     common with the one before it, none across groups."""
-    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), groups))
+    order = np.lexsort((lengths, np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), groups))  # a row that ends goes before one with zeros there
     sorted_rows, n = rows[order], lengths[order]
     common = np.zeros(len(order), np.int64)
     for at in range(1, len(order), 1 << 15):

@@ -370,3 +370,13 @@ def test_op10_any_lost_word(spark):
     docs = spark.createDataFrame([(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(10)] + [(99, "one two three four five " * 50)], "doc_id bigint, text string")
     found = {r["doc_id"]: r for r in decontam.find_matches(docs, bench).collect()}
     assert all(found[k]["near_items"] == ["1"] and found[k]["items"] == [] for k in range(10)) and found[99]["near_items"] == []
+
+
+def test_op5_rows_that_differ_in_zeros_only():
+    data = [b"ab\0\0", b"ab", b"ab\0\0", b"ab\0", b"ab\0\0c"]
+    rows = np.zeros((len(data), 5), np.uint8)
+    for k, x in enumerate(data):
+        rows[k, : len(x)] = np.frombuffer(x, np.uint8)
+    order, common = suffix_dedup.common_prefixes(rows, np.array([len(x) for x in data]), np.zeros(len(data), int))
+    assert [data[k] for k in order] == sorted(data)
+    assert common.tolist() == [-1, 2, 3, 4, 4]

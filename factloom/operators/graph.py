@@ -42,37 +42,114 @@ def support_tree(edges: DataFrame, target: str) -> DataFrame:
     return found.where("depth > 0")
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return shortest_paths(edges, ["case_id"]).where("a = b").select("case_id", F.col("a").alias("node"))
-
-
-def causal_order(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """Positions in a topological order of each case, the least (unknown time, value, id) first; none for a case with a cycle.
-
-    A case is one world, focused to a bounded number of events, so that a case fits in a task.
+def arranged(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, part, position, event_id) of each case's graph of before-edges: those given, and one from each event with a known
+    time to each with a later one.
+
+    Part `cycle` holds the nodes on a cycle, by id. Without a cycle, part `order` is the topological order, the least (unknown
+    time, value, id) first, and part `chain` the longest chain, the least by ids among equals. Edges by time aren't made: a gate
+    between neighbouring times stands for them, so a case takes memory in proportion to its events and given edges. A case is
+    one task's work.
     """
     into = edges.groupBy("case_id", F.col("b").alias("event_id")).agg(F.collect_set("a").alias("before"))
-    rows = events.select("case_id", "event_id", F.coalesce("value", F.lit("~")).alias("value")).join(into, ["case_id", "event_id"], "left")
-
-    def order(case: pd.DataFrame) -> pd.DataFrame:
-        value = dict(zip(case["event_id"], case["value"], strict=True))
-        waits = {e: {x for x in (b if b is not None else []) if x in value} for e, b in zip(case["event_id"], case["before"], strict=True)}
-        frees: dict[int, list[int]] = {}
-        for e, b in waits.items():
-            for x in b:
-                frees.setdefault(x, []).append(e)
-        ready = [(value[e], e) for e, b in waits.items() if not b]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            _, e = heapq.heappop(ready)
-            out.append(e)
-            for x in frees.get(e, []):
-                waits[x].discard(e)
-                if not waits[x]:
-                    heapq.heappush(ready, (value[x], x))
-        out = out if len(out) == len(value) else []
-        return pd.DataFrame({"case_id": case["case_id"].iloc[0], "position": range(len(out)), "event_id": out}).astype("int64")
-
-    return rows.groupBy("case_id").applyInPandas(order, "case_id bigint, position bigint, event_id bigint")
+    known = F.when(F.col("kind") != "unknown", F.col("value"))
+    rows = events.select("case_id", "event_id", known.alias("time"), F.coalesce("value", F.lit("~")).alias("value")).join(into, ["case_id", "event_id"], "left")
+    schema = "case_id bigint, part string, position bigint, event_id bigint"
+
+    def arrange(case: pd.DataFrame) -> pd.DataFrame:
+        ids = case["event_id"].tolist()
+        place = {e: k for k, e in enumerate(ids)}
+        times = sorted({t for t in case["time"] if isinstance(t, str)})
+        gate = {t: len(ids) + k for k, t in enumerate(times)}  # reached from events of its time, leads to the next time's
+        nxt: list[list[int]] = [[] for _ in range(len(ids) + len(times))]
+        for k, (time, before) in enumerate(zip(case["time"], case["before"], strict=True)):
+            for e in before if before is not None else ():
+                if e in place:
+                    nxt[place[e]].append(k)
+            if isinstance(time, str):
+                nxt[k].append(gate[time])
+                if gate[time] > len(ids):
+                    nxt[gate[time] - 1].append(k)
+        for k in range(len(ids), len(nxt) - 1):
+            nxt[k].append(k + 1)
+        order = _topological(nxt, [(v, e) for v, e in zip(case["value"], ids, strict=True)])
+        if len(order) < len(nxt):
+            parts = {"cycle": sorted(ids[k] for k in _on_cycles(nxt) if k < len(ids))}
+        else:
+            parts = {"order": [ids[k] for k in order if k < len(ids)], "chain": _longest(nxt, order, ids)}
+        out = [(case["case_id"].iloc[0], part, k, e) for part, found in parts.items() for k, e in enumerate(found)]
+        return pd.DataFrame(out, columns=["case_id", "part", "position", "event_id"])
+
+    return rows.groupBy("case_id").applyInPandas(arrange, schema)
+
+
+def _topological(nxt: list[list[int]], rank: list[tuple]) -> list[int]:
+    """Nodes in order, the least rank of those that are free first; nodes without a rank go as soon as they are free."""
+    waits = [0] * len(nxt)
+    for out in nxt:
+        for b in out:
+            waits[b] += 1
+    key = lambda k: (1, *rank[k], k) if k < len(rank) else (0, k)
+    ready = [key(k) for k, n in enumerate(waits) if not n]
+    heapq.heapify(ready)
+    order = []
+    while ready:
+        order.append(heapq.heappop(ready)[-1])
+        for b in nxt[order[-1]]:
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(ready, key(b))
+    return order
+
+
+def _on_cycles(nxt: list[list[int]]) -> set[int]:
+    """Nodes on a cycle: those that share a strong component with another node or have an edge to themselves."""
+    back: list[list[int]] = [[] for _ in nxt]
+    for a, out in enumerate(nxt):
+        for b in out:
+            back[b].append(a)
+    seen, finished = set(), []
+    for root in range(len(nxt)):
+        stack = [(root, iter(nxt[root]))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            node, rest = stack[-1]
+            new = next((b for b in rest if b not in seen), None)
+            if new is None:
+                finished.append(stack.pop()[0])
+            else:
+                seen.add(new)
+                stack.append((new, iter(nxt[new])))
+    done, found = set(), set()
+    for root in reversed(finished):
+        if root in done:
+            continue
+        done.add(root)
+        component = [root]
+        for node in component:
+            new = {a for a in back[node] if a not in done}
+            done |= new
+            component += new
+        if len(component) > 1 or root in nxt[root]:
+            found.update(component)
+    return found
+
+
+def _longest(nxt: list[list[int]], order: list[int], ids: list[int]) -> list[int]:
+    """The longest chain; a node's best continuation is the longest, by the least id among equals, as chains of two nodes differ in
+    their first id."""
+    best: list[tuple] = [(0, 0, None)] * len(nxt)  # (-length, id, node) of the best chain that starts at or behind the node
+    then: list[tuple] = list(best)
+    for k in reversed(order):
+        then[k] = min((best[b] for b in nxt[k]), default=(0, 0, None))
+        best[k] = (then[k][0] - 1, ids[k], k) if k < len(ids) else then[k]
+    node, chain = min(best[: len(ids)], default=(0, 0, None))[2], []
+    while node is not None:
+        chain.append(ids[node])
+        node = then[node][2]
+    return chain
+
+
+def cycle_nodes(found: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, of what arranged() found."""
+    return found.where("part = 'cycle'").select("case_id", F.col("event_id").alias("node"))

@@ -92,16 +92,12 @@ def focus(events: DataFrame, tokens: list[str], implied: list[str], k: int = MAX
     return rows.where(f"rank <= {int(k)} or forced")
 
 
-def pairs(events: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of events of a focused case (bounded by its focus) that agree on the columns."""
-    side = lambda p: events.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("event_id", "type", "kind", "value", "action")])
-    return side("a").join(side("b"), on).where("a_event_id <> b_event_id")
-
-
 def before_edges(events: DataFrame) -> DataFrame:
-    """Every pair of a focused world with different known times."""
-    found = pairs(events.where("kind <> 'unknown'"), ["case_id"]).where("a_value < b_value")
-    return found.select("case_id", F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"))
+    """Every pair of a focused world with different known times: the answer itself is as large as the pairs. What needs only the order
+    of times takes it as ranks instead (fan_out, graph.arranged)."""
+    known = events.where("kind <> 'unknown'").select("case_id", "event_id", "value")
+    found = known.toDF("case_id", "a", "a_value").join(known.toDF("case_id", "b", "b_value"), "case_id").where("a_value < b_value")
+    return found.select("case_id", "a", "b")
 
 
 def fan_out(events: DataFrame) -> DataFrame:
@@ -119,33 +115,30 @@ def critical_events(events: DataFrame, top_k: int = 5) -> DataFrame:
     return scored.withColumn("rank", rank).where(f"rank <= {int(top_k)}")
 
 
-def named_in(text: Column, type_col: Column, phrases: list[str]) -> Column:
-    """Whether a phrase and a term of the type stand together in the text."""
-    hits = [(type_col == t) & any_of(text, [f"{p} {term}" for p in phrases for term in terms]) for t, terms in TYPE_TERMS.items()]
-    return reduce(or_, hits)
+def named_types(text: Column, phrases: list[str]) -> Column:
+    """The types of which a term stands after one of the phrases in the text."""
+    return F.array_compact(F.array(*[F.when(any_of(text, [f"{p} {term}" for p in phrases for term in terms]), F.lit(t)) for t, terms in TYPE_TERMS.items()]))
 
 
 def typed_edges(events: DataFrame) -> DataFrame:
     """Edges between events of a case that share an object, each with its strongest reason.
 
     A policy precedes a configuration; never-in-source enables environment-only; phrases order events, the forward ones first.
+    Each rule joins only the events that fit its two sides, so that no pairs are made that aren't edges (or, for policies, edges the
+    other way round).
     """
-    p = pairs(events, ["case_id", "object"])
-    low_a, low_b = F.lower("a_action"), F.lower("b_action")
-    first = (F.coalesce("a_value", F.lit("~")) < F.coalesce("b_value", F.lit("~"))) | ((F.coalesce("a_value", F.lit("~")) == F.coalesce("b_value", F.lit("~"))) & (F.col("a_event_id") < F.col("b_event_id")))
-    known = (F.col("a_kind") != "unknown") & (F.col("b_kind") != "unknown")
-    forward = named_in(low_a, F.col("b_type"), FORWARD)
-    inverse = named_in(low_b, F.col("a_type"), INVERSE) & ~named_in(low_b, F.col("a_type"), FORWARD)
-    rules = [
-        (1, "enables", "RULE_SECRET_HANDLING_CAUSAL", any_of(low_a, ["never in source", "never in repo"]) & any_of(low_b, ["environment only", "env-only"])),
-        (2, "before", "RULE_POLICY_PRECEDES_CONFIG", (F.col("a_type") == "PolicyChange") & (F.col("b_type") == "Config") & known & first),
-        (3, "before", "RULE_TIME_PHRASE_BEFORE", forward | inverse),
-    ]
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("priority"), F.lit(t).alias("type"), F.lit(r).alias("reason"))) for n, t, r, c in rules]))
-    rows = p.select("case_id", F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), F.explode(found).alias("e"))
-    best = rows.groupBy("case_id", "a", "b", "e.type").agg(F.min("e.priority").alias("priority"))
-    reason = F.element_at(F.array(*[F.lit(r) for _, _, r, _ in rules]), F.col("priority"))
-    return best.select("case_id", "a", "b", "type", reason.alias("reason"))
+    low, key = F.lower("action"), ["case_id", "object"]
+    at = F.struct(F.coalesce("value", F.lit("~")).alias("value"), "event_id")
+    side = lambda rows, name, *more: rows.select(*key, F.col("event_id").alias(name), *more)
+    known = events.where("kind <> 'unknown'")
+    enables = side(events.where(any_of(low, ["never in source", "never in repo"])), "a").join(side(events.where(any_of(low, ["environment only", "env-only"])), "b"), key)
+    policy = side(known.where("type = 'PolicyChange'"), "a", at.alias("a_at")).join(side(known.where("type = 'Config'"), "b", at.alias("b_at")), key).where("a_at < b_at")
+    typed = [*key, "type"]
+    forward = side(events, "a", F.explode(named_types(low, FORWARD)).alias("type")).join(side(events, "b", "type"), typed)
+    inverse = side(events, "b", F.explode(F.array_except(named_types(low, INVERSE), named_types(low, FORWARD))).alias("type")).join(side(events, "a", "type"), typed)
+    rules = [(1, "enables", "RULE_SECRET_HANDLING_CAUSAL", enables), (2, "before", "RULE_POLICY_PRECEDES_CONFIG", policy), (3, "before", "RULE_TIME_PHRASE_BEFORE", forward), (3, "before", "RULE_TIME_PHRASE_BEFORE", inverse)]
+    rows = reduce(DataFrame.union, [df.where("a <> b").select("case_id", "a", "b", F.lit(t).alias("type"), F.struct(F.lit(n).alias("priority"), F.lit(r).alias("reason")).alias("best")) for n, t, r, df in rules])
+    return rows.groupBy("case_id", "a", "b", "type").agg(F.min("best").alias("best")).select("case_id", "a", "b", "type", "best.reason")
 
 
 def violations(events: DataFrame, edges: DataFrame) -> DataFrame:

@@ -110,7 +110,8 @@ def violations(source: str, edge: str, name: str) -> str:
 
 
 WORLD = f"{EVENTS}, {focus('world', 'f')}, {edges('f', 'e')}, {violations('f', 'e', 'v')}"
-CYCLES = f"""steps AS (SELECT DISTINCT case_id, a, b FROM e WHERE type = 'before'),
+CYCLES = """steps AS (SELECT case_id, a, b FROM e WHERE type = 'before'
+  UNION SELECT a.case_id, a.event_id, b.event_id FROM f a JOIN f b ON a.case_id = b.case_id AND a.kind <> 'unknown' AND b.kind <> 'unknown' AND a.value < b.value WHERE a.case_id IN (SELECT case_id FROM e WHERE type = 'before')),
 reach(case_id, a, b) AS (SELECT case_id, a, b FROM steps UNION SELECT r.case_id, r.a, s.b FROM reach r JOIN steps s ON r.case_id = s.case_id AND r.b = s.a)"""
 HIERARCHY = """up AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b FROM nation UNION ALL SELECT DISTINCT 'R' || n_regionkey, 'W0' FROM nation),
 edges AS (SELECT 'C' || c_custkey AS a, 'N' || c_nationkey AS b, 'supports' AS type FROM customer UNION SELECT a, b, 'supports' FROM up

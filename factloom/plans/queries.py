@@ -25,6 +25,11 @@ def newer_focused(s: SparkSession, d: str) -> DataFrame:
     return stored(world.focus(records.newer_world(records.world_events(s, d)), FOCUS_TOKENS, FOCUS_TYPES))
 
 
+def arranged(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    edges = world.typed_edges(events) if edges is None else edges
+    return graph.arranged(events, edges.where("type = 'before'"))
+
+
 def found_violations(events: DataFrame) -> DataFrame:
     return world.violations(events, world.typed_edges(events))
 
@@ -125,12 +130,15 @@ def causal_typed_edges(s, d):
 
 
 def causal_cycle_nodes(s, d):
-    return graph.cycle_nodes(world.typed_edges(focused(s, d)).where("type = 'before'"))
+    return graph.cycle_nodes(arranged(focused(s, d)))
 
 
 def causal_order(s, d):
-    events = focused(s, d)
-    return graph.causal_order(events, world.typed_edges(events).where("type = 'before'"))
+    return arranged(focused(s, d)).where("part = 'order'").drop("part")
+
+
+def critical_chain(s, d):
+    return arranged(focused(s, d)).where("part = 'chain'").drop("part")
 
 
 def constraint_violations(s, d):
@@ -148,8 +156,7 @@ def repair_hints(s, d):
 
 def verify_cases(s, d):
     events = focused(s, d)
-    cycles = graph.cycle_nodes(world.typed_edges(events).where("type = 'before'"))
-    return world.verify(events, found_violations(events), cycles)
+    return verdicts_of(events, stored(world.typed_edges(events), "edges"))
 
 
 def world_diff_events(s, d):
@@ -281,9 +288,8 @@ def text_time_markers(s, d):
     return extraction.find_all(docs, {"time": extraction.TIME_MARKERS})
 
 
-def verdicts_of(events: DataFrame) -> DataFrame:
-    edges = world.typed_edges(events)
-    return world.verify(events, world.violations(events, edges), graph.cycle_nodes(edges.where("type = 'before'")))
+def verdicts_of(events: DataFrame, edges: DataFrame) -> DataFrame:
+    return world.verify(events, world.violations(events, edges), graph.cycle_nodes(arranged(events, edges)))
 
 
 def constraint_narrative(s, d):
@@ -292,16 +298,17 @@ def constraint_narrative(s, d):
 
 def casefile_summary(s, d):
     events = focused(s, d)
-    edges = world.typed_edges(events)
-    return reports.casefile(events, edges, world.violations(events, edges), stored(verdicts_of(events)))
+    edges = stored(world.typed_edges(events), "edges")
+    return reports.casefile(events, edges, world.violations(events, edges), stored(verdicts_of(events, edges)))
 
 
 def repair_actions(s, d):
-    return reports.repair_actions(verdicts_of(focused(s, d)))
+    events = focused(s, d)
+    return reports.repair_actions(verdicts_of(events, stored(world.typed_edges(events), "edges")))
 
 
 ALL = [doc_inventory, chunk_documents, chunks_keyword, evidence_topk_chunks, claim_fingerprints, claim_duplicates, claim_duplicate_groups, claim_contradictions, claim_support_edges, bullet_claims, claim_closure, support_tree]
-ALL += [event_types, world_entities, world_relations, world_unknowns, world_state_conflicts, world_value_conflicts, event_focus_topk, causal_before_edges, causal_fan_out, critical_events, causal_typed_edges, causal_cycle_nodes, causal_order]
+ALL += [event_types, world_entities, world_relations, world_unknowns, world_state_conflicts, world_value_conflicts, event_focus_topk, causal_before_edges, causal_fan_out, critical_events, causal_typed_edges, causal_cycle_nodes, causal_order, critical_chain]
 ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, world_diff_events, world_diff_entities, constraint_diff, counterfactual_unknowns, world_patch, world_enrich]
 ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
 ALL += [text_sentences, text_clauses, text_references, text_frames, text_utterances, text_time_markers, constraint_narrative, casefile_summary, repair_actions]

@@ -1,5 +1,8 @@
 """Operators on literal cases."""
 
+import random
+from collections import defaultdict
+
 import pytest
 from factloom.functions import canonical, text
 from factloom.operators import claims, domains, evidence, graph, service, versions, world
@@ -38,11 +41,49 @@ def test_closure_takes_the_least_shortest_path(spark):
 
 
 def test_cycles_and_order(spark):
-    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 5, 6), (2, 6, 5), (2, 6, 7)], "case_id bigint, a bigint, b bigint")
-    assert {(r["case_id"], r["node"]) for r in graph.cycle_nodes(edges).collect()} == {(2, 5), (2, 6)}
-    events = spark.createDataFrame([(1, 1, "2"), (1, 2, "1"), (1, 3, None), (1, 4, "0"), (2, 5, "1"), (2, 6, "1"), (2, 7, "1")], "case_id bigint, event_id bigint, value string")
-    order = [r["event_id"] for r in graph.causal_order(events, edges).orderBy("position").collect()]
-    assert order == [4, 1, 2, 3]
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 5, 6), (2, 6, 5), (2, 6, 7), (3, 9, 8)], "case_id bigint, a bigint, b bigint")
+    rows = [(1, 1, None), (1, 2, "1"), (1, 3, None), (1, 4, "0"), (2, 5, None), (2, 6, None), (2, 7, None), (3, 8, "1"), (3, 9, "2")]
+    events = spark.createDataFrame([(c, e, "date" if v else "unknown", v) for c, e, v in rows], "case_id bigint, event_id bigint, kind string, value string")
+    found = graph.arranged(events, edges).orderBy("case_id", "part", "position").collect()
+    part = lambda c, p: [r["event_id"] for r in found if r["case_id"] == c and r["part"] == p]
+    assert part(1, "order") == [4, 1, 2, 3] and part(1, "chain") == [1, 2, 3]
+    assert part(2, "cycle") == [5, 6] and part(3, "cycle") == [8, 9]  # 9 before 8 by phrase, after it by date
+    assert not part(2, "order") and not part(2, "chain") and not part(1, "cycle")
+    assert {(r["case_id"], r["node"]) for r in graph.cycle_nodes(graph.arranged(events, edges)).collect()} == {(2, 5), (2, 6), (3, 8), (3, 9)}
+
+
+def test_graphs_against_all_pairs(spark):
+    """Against all edges by time made in full, self-reachability for cycles, and all chains."""
+    draw = random.Random(11)
+    events, edges = [], []
+    for case in range(60):
+        n = draw.randint(1, 8)
+        events += [(case, case * 10 + k, v and "date" or "unknown", v) for k in range(n) for v in [draw.choice([None, None, "1", "2", "3"])]]
+        edges += [(case, case * 10 + draw.randrange(n), case * 10 + draw.randrange(n)) for _ in range(draw.randint(0, 4))]
+    found = defaultdict(list)
+    df = spark.createDataFrame(events, "case_id bigint, event_id bigint, kind string, value string")
+    for r in graph.arranged(df, spark.createDataFrame(edges, "case_id bigint, a bigint, b bigint")).orderBy("position").collect():
+        found[r["case_id"], r["part"]].append(r["event_id"])
+    for case in range(60):
+        value = {e: v for c, e, _, v in events if c == case}
+        nxt = {x: {y for y in value if (case, x, y) in edges or (value[x] and value[y] and value[x] < value[y])} for x in value}
+        reach = {x: set(nxt[x]) for x in value}
+        for _ in value:
+            reach = {x: reach[x].union(*[nxt[y] for y in reach[x]]) for x in value}
+        cycle = sorted(x for x in value if x in reach[x])
+        assert found[case, "cycle"] == cycle
+        if cycle:
+            assert not found[case, "order"] and not found[case, "chain"]
+            continue
+        order, left = [], dict(value)
+        while left:
+            free = min((x for x in left if not any(x in nxt[y] for y in left)), key=lambda x: (value[x] or "~", x))
+            order.append(free)
+            del left[free]
+        chains = [[x] for x in value]
+        for c in chains:
+            chains += [[*c, y] for y in nxt[c[-1]]]
+        assert found[case, "order"] == order and found[case, "chain"] == min(chains, key=lambda c: (-len(c), c))
 
 
 def test_support_tree(spark):

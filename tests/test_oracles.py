@@ -37,7 +37,7 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_runs(spark):
     missing = set(queries()) - set(oracle_sql())
-    assert missing <= {"causal_order", "rate_limit_admission"} | {n for n in missing if n.startswith("text_") or n.startswith("narrative")}
+    assert missing <= {"causal_order", "critical_chain", "rate_limit_admission"} | {n for n in missing if n.startswith("text_") or n.startswith("narrative")}
     for name in missing:
         assert queries()[name](spark, SF).columns
 

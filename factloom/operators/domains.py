@@ -57,6 +57,11 @@ CLAUSES = {
     },
 }
 
+#: Fixed values of the answer checks.
+CLAIM = r"([A-Za-z_][A-Za-z0-9_.\[\]-]*)\s*[=:]\s*([^,\n;]+)"
+CITATION = r"(?i)(?:evidence|cite)\s*[:#]\s*([A-Za-z0-9_-]+)"
+TOLERANCE = 1e-6
+
 
 def credit_decisions(applicants: DataFrame) -> DataFrame:
     """Debt to income in whole percent, signals, tier, decision and rate. Missing numbers count as 0; without income the ratio is 0.
@@ -168,9 +173,30 @@ def obligations(contracts: DataFrame) -> DataFrame:
 
 
 def checked_answers(answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """key=value claims of answers (id, answer) against facts (id, key, value): ok, mismatch, or unknown key; the last claim of a key counts."""
-    claims = answers.select("id", F.posexplode(F.regexp_extract_all("answer", F.lit(r"([a-z_]+)=([a-z0-9_.]+)"), 0)).alias("position", "claim"))
-    claims = claims.select("id", F.split_part("claim", F.lit("="), F.lit(1)).alias("key"), "position", F.split_part("claim", F.lit("="), F.lit(2)).alias("claimed"))
+    """Claims of answers (id, answer), key = value or key: value up to a comma, semicolon or line end, against facts (id, key, value).
+
+    The last claim of a key counts. Verdicts: unknown key; for two numbers, ok within TOLERANCE; a number against no number is not
+    judged and ok; other values are equal in any case of letters, or a mismatch.
+    """
+    claims = answers.select("id", F.posexplode(F.regexp_extract_all("answer", F.lit(CLAIM), 0)).alias("position", "claim"))
+    part = lambda group: F.regexp_extract("claim", CLAIM, group)
+    claims = claims.select("id", part(1).alias("key"), "position", F.regexp_replace(F.trim(part(2)), "^\"+|\"+$|^'+|'+$", "").alias("claimed"))
     last = claims.groupBy("id", "key").agg(F.max_by("claimed", "position").alias("claimed"))
-    verdict = F.when(F.col("value").isNull(), "unknown").when(F.col("value") == F.col("claimed"), "ok").otherwise("mismatch")
+    said, known = F.expr("try_cast(claimed AS double)"), F.expr("try_cast(value AS double)")
+    same = F.when(said.isNotNull() & known.isNotNull(), F.abs(said - known) <= TOLERANCE).when(said.isNotNull() | known.isNotNull(), True).otherwise(F.lower("value") == F.lower("claimed"))
+    verdict = F.when(F.col("value").isNull(), "unknown").when(same, "ok").otherwise("mismatch")
     return last.join(facts, ["id", "key"], "left").select("id", "key", "claimed", verdict.alias("verdict"))
+
+
+def answer_faults(answers: DataFrame) -> DataFrame:
+    """(id, fault, item) for answers (id, answer, must_cite, forbidden: arrays): citations that are missing, or extra (told, but no
+    failure), and forbidden topics that the answer names in any case of letters. Null answers and arrays are empty."""
+    empty = F.array().cast("array<string>")
+    must, topics = (F.coalesce(c, empty) for c in ("must_cite", "forbidden"))
+    answer = F.coalesce("answer", F.lit(""))
+    cited = F.regexp_extract_all(answer, F.lit(CITATION), 1)
+    named = F.filter(topics, lambda t: (t != "") & F.contains(F.lower(answer), F.lower(t)))
+    faults = {"missing_citation": F.array_except(must, cited), "extra_citation": F.array_except(cited, must), "forbidden_topic": F.array_distinct(named)}
+    labelled = lambda name, found: F.transform(found, lambda x: F.struct(F.lit(name).alias("fault"), x.alias("item")))
+    items = F.concat(*[labelled(name, found) for name, found in faults.items()])
+    return answers.select("id", F.explode(items).alias("f")).select("id", "f.fault", "f.item")

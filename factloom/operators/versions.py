@@ -19,17 +19,20 @@ def diff_events(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, key, "full").select(*key, status.alias("status"), fields.alias("fields")).where("status is not null")
 
 
+def diff_sets(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows, by all columns of the key (nulls are equal), that only one version has: added or removed."""
+    sides = old.select(*key, F.lit(1).alias("side")).unionByName(new.select(*key, F.lit(2).alias("side")))
+    found = sides.groupBy(*key).agg(F.bit_or("side").alias("sides")).where("sides < 3")
+    return found.select(*key, F.when(F.col("sides") == 1, "removed").otherwise("added").alias("status"))
+
+
 def diff_entities(old: DataFrame, new: DataFrame) -> DataFrame:
-    key = ["case_id", "type", "name"]
-    joined = old.select(*key, F.lit(True).alias("o")).join(new.select(*key, F.lit(True).alias("n")), key, "full")
-    return joined.where("o is null or n is null").select(*key, F.when(F.col("o").isNull(), "added").otherwise("removed").alias("status"))
+    return diff_sets(old, new, ["case_id", "type", "name"])
 
 
 def diff_violations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Violations by identity (case, type, events): added or removed; those in both are left out."""
-    key = ["case_id", "type", "a", "b"]
-    joined = old.select(*key).distinct().withColumn("o", F.lit(True)).join(new.select(*key).distinct().withColumn("n", F.lit(True)), key, "full")
-    return joined.where("o is null or n is null").select(*key, F.when(F.col("o").isNull(), "added").otherwise("removed").alias("status"))
+    return diff_sets(old, new, ["case_id", "type", "a", "b"])
 
 
 def without_object(events: DataFrame, name: str) -> DataFrame:

@@ -137,6 +137,9 @@ _unknowns = lambda source, obj: f"""SELECT case_id, event_id, 'missing_time' AS
   UNION ALL SELECT case_id, event_id, 'missing_object' FROM {source} WHERE {obj} IS NULL"""
 _entities = lambda source: f"SELECT case_id, 'System' AS type, object AS name, count(*) AS n_events, min(event_id) AS first_event FROM {source} WHERE object IS NOT NULL GROUP BY ALL UNION ALL SELECT case_id, 'Person', actor, count(*), min(event_id) FROM {source} WHERE actor IS NOT NULL GROUP BY ALL"
 _fan = """SELECT case_id, event_id, (SELECT count(*) FROM world b WHERE b.case_id = a.case_id AND b.kind <> 'unknown' AND b.value > a.value) AS fan_out FROM world a WHERE kind <> 'unknown'"""
+_both = lambda columns, old, new: f"o AS (SELECT {columns} FROM ({old})), n AS (SELECT {columns} FROM ({new})) SELECT *, 'removed' AS status FROM (FROM o EXCEPT FROM n) UNION ALL SELECT *, 'added' FROM (FROM n EXCEPT FROM o)"
+_conflicts = lambda source: f"SELECT case_id, object, value, array_to_string(list_sort(list(DISTINCT state)), ',') AS states FROM {source} WHERE kind <> 'unknown' AND state IS NOT NULL GROUP BY case_id, object, value HAVING {_torn}"
+_relations = lambda source: f"SELECT case_id, from_id, to_id, CASE WHEN value = to_value THEN 'same_time' ELSE 'before' END AS relation FROM (SELECT case_id, event_id AS from_id, value, lead(event_id) OVER w AS to_id, lead(value) OVER w AS to_value FROM {source} WHERE kind <> 'unknown' WINDOW w AS (PARTITION BY case_id ORDER BY value, event_id)) WHERE to_id IS NOT NULL"
 _words = "regexp_replace(lower(text), '[^a-zäöüßàâçéèêëîïôûùñáíóú0-9_]+', '  ', 'g')"
 _votes = ", ".join(f"len(regexp_extract_all(' ' || {_words} || ' ', ' ({p}) ', 1)) AS n_{k}" for k, p in VOTES.items())
 _best = "greatest(" + ", ".join(f"n_{k}" for k in VOTES) + ")"
@@ -207,9 +210,10 @@ SQL = {
     "world_diff_events": f"""WITH {NEWER}, d AS (SELECT coalesce(o.case_id, n.case_id) AS case_id, coalesce(o.event_id, n.event_id) AS event_id, CASE WHEN o.event_id IS NULL THEN 'added' WHEN n.event_id IS NULL THEN 'removed' ELSE 'changed' END AS status,
         CASE WHEN o.event_id IS NOT NULL AND n.event_id IS NOT NULL THEN array_to_string(list_filter([{_changed}], lambda x: x IS NOT NULL), ',') ELSE '' END AS fields FROM world o FULL JOIN newer n ON o.case_id = n.case_id AND o.event_id = n.event_id)
       SELECT * FROM d WHERE status <> 'changed' OR fields <> ''""",
-    "world_diff_entities": f"""WITH {NEWER}, o AS ({_entities('world')}), n AS ({_entities('newer')})
-      SELECT coalesce(o.case_id, n.case_id) AS case_id, coalesce(o.type, n.type) AS type, coalesce(o.name, n.name) AS name, CASE WHEN o.case_id IS NULL THEN 'added' ELSE 'removed' END AS status
-      FROM o FULL JOIN n ON o.case_id = n.case_id AND o.type = n.type AND o.name = n.name WHERE o.case_id IS NULL OR n.case_id IS NULL""",
+    "world_diff_entities": f"WITH {NEWER}, bare AS (SELECT * REPLACE (nullif(object, 'OBJ_1') AS object) FROM newer), {_both('case_id, type, name', _entities('world'), _entities('bare'))}",
+    "world_diff_unknowns": f"WITH {NEWER}, {_both('case_id, event_id, unknown', _unknowns('world', 'object'), _unknowns('newer', 'object'))}",
+    "world_diff_conflicts": f"WITH {NEWER}, {_both('case_id, object, value, states', _conflicts('world'), _conflicts('newer'))}",
+    "world_diff_relations": f"WITH {NEWER}, {_both('case_id, from_id, to_id, relation', _relations('world'), _relations('newer'))}",
     "constraint_diff": f"""WITH {NEWER}, {focus('world', 'f')}, {edges('f', 'e')}, {violations('f', 'e', 'v')}, {focus('newer', 'g')}, {edges('g', 'e2')}, {violations('g', 'e2', 'w')}
       SELECT *, 'removed' AS status FROM (SELECT DISTINCT * FROM v EXCEPT SELECT * FROM w) UNION ALL SELECT *, 'added' FROM (SELECT DISTINCT * FROM w EXCEPT SELECT * FROM v)""",
     "counterfactual_unknowns": f"WITH {EVENTS} {_unknowns('world', '''nullif(object, 'OBJ_1')''')}",
@@ -231,8 +235,14 @@ SQL = {
       concat_ws(',', CASE WHEN NOT has_law THEN 'governing_law_not_found' END, CASE WHEN NOT has_end THEN 'termination_conditions_not_found' END) AS warnings FROM contracts""",
     "contract_obligations": f"""WITH {CONTRACTS} SELECT contract_id, CAST(1 AS BIGINT) AS position, licensor AS party, 'Licensor shall deliver the goods.' AS sentence FROM contracts
       UNION ALL SELECT contract_id, 2, licensee, 'Licensee must pay within thirty days.' FROM contracts""",
-    "fact_validation": f"""WITH {APPLICANTS} SELECT applicant_id AS id, 'decision' AS key, CASE WHEN applicant_id % 6 = 0 THEN 'denied' ELSE decision END AS claimed, CASE WHEN applicant_id % 6 = 0 AND decision <> 'denied' THEN 'mismatch' ELSE 'ok' END AS verdict FROM credit
-      UNION ALL SELECT applicant_id, 'risk_tier', risk_tier, 'ok' FROM credit UNION ALL SELECT applicant_id, 'colour', 'blue', 'unknown' FROM credit WHERE applicant_id % 4 = 0""",
+    "fact_validation": f"""WITH {APPLICANTS} SELECT applicant_id AS id, 'decision' AS key, CASE WHEN applicant_id % 6 = 0 THEN 'denied' ELSE upper(decision) END AS claimed, CASE WHEN applicant_id % 6 = 0 AND decision <> 'denied' THEN 'mismatch' ELSE 'ok' END AS verdict FROM credit
+      UNION ALL SELECT applicant_id, 'risk_tier', risk_tier, 'ok' FROM credit UNION ALL SELECT applicant_id, 'colour', 'blue', 'unknown' FROM credit WHERE applicant_id % 4 = 0
+      UNION ALL SELECT applicant_id, 'dti', (dti_percent + CASE WHEN applicant_id % 7 = 0 THEN 1 ELSE 0 END) || '.0', CASE WHEN applicant_id % 7 = 0 THEN 'mismatch' ELSE 'ok' END FROM credit""",
+    "answer_faults": r"""WITH a AS (SELECT doc_id AS id, 'Evidence: s' || (doc_id % 5) || CASE WHEN doc_id % 3 = 0 THEN ' cite #s1' ELSE '' END || '. ' || coalesce(text, '') AS answer FROM documents),
+      must AS (SELECT doc_id AS id, 's' || (doc_id % 4) AS item FROM documents UNION SELECT doc_id, 's1' FROM documents),
+      cited AS (SELECT DISTINCT id, unnest(regexp_extract_all(answer, '(?i)(?:evidence|cite)\s*[:#]\s*([A-Za-z0-9_-]+)', 1)) AS item FROM a)
+      SELECT id, 'missing_citation' AS fault, item FROM (FROM must EXCEPT FROM cited) UNION ALL SELECT id, 'extra_citation', item FROM (FROM cited EXCEPT FROM must)
+      UNION ALL SELECT id, 'forbidden_topic', 'Password' FROM a WHERE contains(lower(answer), 'password') UNION ALL SELECT id, 'forbidden_topic', 'THE' FROM a WHERE contains(lower(answer), 'the')""",
     "placeholder_render": f"WITH {APPLICANTS} SELECT applicant_id, 'Applicant ' || applicant_id || ': ' || decision || ', collateral ' || CASE WHEN applicant_id % 2 = 0 THEN 'house' ELSE '{{missing:collateral_type}}' END || '.' AS text FROM credit",
     "seal_cases": f"WITH {SEALS} SELECT doc_id, bundle_sha256, output_sha256, sha256(bundle_sha256 || '|' || output_sha256) AS attestation_sha256 FROM sealed",
     "replay_verify": "SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'tampered' ELSE 'ok' END AS status FROM documents",

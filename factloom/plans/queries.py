@@ -166,7 +166,23 @@ def world_diff_events(s, d):
 
 def world_diff_entities(s, d):
     old = records.world_events(s, d)
-    return versions.diff_entities(world.entities(old), world.entities(records.newer_world(old)))
+    newer = versions.without_object(records.newer_world(old), "OBJ_1")
+    return versions.diff_entities(world.entities(old), world.entities(newer))
+
+
+def world_diff_unknowns(s, d):
+    old = records.world_events(s, d)
+    return versions.diff_sets(world.unknowns(old), world.unknowns(records.newer_world(old)), ["case_id", "event_id", "unknown"])
+
+
+def world_diff_conflicts(s, d):
+    old = records.world_events(s, d)
+    return versions.diff_sets(world.state_conflicts(old), world.state_conflicts(records.newer_world(old)), ["case_id", "object", "value", "states"])
+
+
+def world_diff_relations(s, d):
+    old = records.world_events(s, d)
+    return versions.diff_sets(world.relations(old), world.relations(records.newer_world(old)), ["case_id", "from_id", "to_id", "relation"])
 
 
 def constraint_diff(s, d):
@@ -220,11 +236,19 @@ def contract_obligations(s, d):
 
 def fact_validation(s, d):
     made = credit_decisions(s, d)
-    said = F.concat(F.lit("decision="), F.when(F.col("applicant_id") % 6 == 0, "denied").otherwise(F.col("decision")), F.lit(" risk_tier="), F.col("risk_tier"), F.when(F.col("applicant_id") % 4 == 0, " colour=blue").otherwise(""))
-    facts = made.select(F.col("applicant_id").alias("id"), F.explode(F.create_map(F.lit("decision"), "decision", F.lit("risk_tier"), "risk_tier")).alias("key", "value"))
+    said = F.concat(F.lit("decision = "), F.when(F.col("applicant_id") % 6 == 0, "denied").otherwise(F.upper("decision")), F.lit("; risk_tier: "), F.col("risk_tier"), F.lit(", dti: "), F.col("dti_percent") + F.when(F.col("applicant_id") % 7 == 0, 1).otherwise(0), F.lit(".0"), F.when(F.col("applicant_id") % 4 == 0, ", colour=blue").otherwise(""))
+    facts = made.select(F.col("applicant_id").alias("id"), F.explode(F.create_map(F.lit("decision"), "decision", F.lit("risk_tier"), "risk_tier", F.lit("dti"), F.col("dti_percent").cast("string"))).alias("key", "value"))
     return domains.checked_answers(made.select(F.col("applicant_id").alias("id"), said.alias("answer")), facts)
 
 
+def answer_faults(s, d):
+    docs = records.documents(s, d)
+    n = F.col("doc_id")
+    answer = F.concat(F.lit("Evidence: s"), n % 5, F.when(n % 3 == 0, " cite #s1").otherwise(""), F.lit(". "), "text")
+    must = F.array(F.concat(F.lit("s"), (n % 4).cast("string")), F.lit("s1"))
+    return domains.answer_faults(docs.select(n.alias("id"), answer.alias("answer"), must.alias("must_cite"), F.array(F.lit("Password"), F.lit("THE")).alias("forbidden")))
+
+
 def placeholder_render(s, d):
     a = domains.credit_decisions(records.applicants(s, d))
     collateral = F.when(F.col("applicant_id") % 2 == 0, F.lit("house"))
@@ -309,8 +333,8 @@ def repair_actions(s, d):
 
 ALL = [doc_inventory, chunk_documents, chunks_keyword, evidence_topk_chunks, claim_fingerprints, claim_duplicates, claim_duplicate_groups, claim_contradictions, claim_support_edges, bullet_claims, claim_closure, support_tree]
 ALL += [event_types, world_entities, world_relations, world_unknowns, world_state_conflicts, world_value_conflicts, event_focus_topk, causal_before_edges, causal_fan_out, critical_events, causal_typed_edges, causal_cycle_nodes, causal_order, critical_chain]
-ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, world_diff_events, world_diff_entities, constraint_diff, counterfactual_unknowns, world_patch, world_enrich]
-ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
+ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, world_diff_events, world_diff_entities, world_diff_unknowns, world_diff_conflicts, world_diff_relations, constraint_diff, counterfactual_unknowns, world_patch, world_enrich]
+ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, answer_faults, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
 ALL += [text_sentences, text_clauses, text_references, text_frames, text_utterances, text_time_markers, constraint_narrative, casefile_summary, repair_actions]
 
 

@@ -206,3 +206,16 @@ def test_repeated_patches(spark):
     events = spark.createDataFrame([("c", 1, "a"), ("c", 2, "b")], f"{key}, action string")
     out = versions.patched(events, spark.createDataFrame([("c", 2), ("c", 2)], key), spark.createDataFrame([("c", 1, "x"), ("c", 1, "y")], f"{key}, action string"), spark.createDataFrame([("c", 3, "n"), ("c", 3, "n")], f"{key}, action string"))
     assert sorted((r["event_id"], r["action"]) for r in out.collect()) == [(1, "y"), (3, "n")]
+
+
+def test_answers(spark):
+    answers = spark.createDataFrame([(1, "score: 50.0000001; tier = 'Prime', tier: \"prime\"\nother=x, rate=high", ["e1", "e2"], ["secret plan", ""]), (2, None, None, None), (3, "cite #e1, Evidence : e9. The SECRET Plan", ["e1"], ["secret plan"])], "id bigint, answer string, must_cite array<string>, forbidden array<string>")
+    facts = spark.createDataFrame([(1, "score", "50"), (1, "tier", "PRIME"), (1, "rate", "3")], "id bigint, key string, value string")
+    found = {(r["id"], r["key"], r["claimed"]): r["verdict"] for r in domains.checked_answers(answers, facts).where("id < 3").collect()}
+    assert found == {(1, "score", "50.0000001"): "ok", (1, "tier", "prime"): "ok", (1, "other", "x"): "unknown", (1, "rate", "high"): "ok"}
+    assert {tuple(r) for r in domains.answer_faults(answers).collect()} == {(1, "missing_citation", "e1"), (1, "missing_citation", "e2"), (3, "extra_citation", "e9"), (3, "forbidden_topic", "secret plan")}
+
+
+def test_set_differences(spark):
+    old, new = (spark.createDataFrame(rows, "a bigint, b string") for rows in ([(1, "x"), (1, "x"), (2, None)], [(2, None), (3, "y")]))
+    assert {tuple(r) for r in versions.diff_sets(old, new, ["a", "b"]).collect()} == {(1, "x", "removed"), (3, "y", "added")}

@@ -18,6 +18,8 @@ from factloom.sources.shared import shared_folder, stored  # noqa: F401  (the op
 SLICE_BYTES = 16 << 20
 #: Words whose hashes a task remembers.
 CACHE_SIZE = 250_000
+#: Keys with more than one row in so many are hot: there are fewer of them than that.
+HOT_SHARE = 1000
 #: Bytes with A-Z in lower case: as they are, and with all but digits, letters and what is not ASCII as spaces.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS_ONLY = bytes(LOWER[c] if 48 <= c <= 57 or 97 <= LOWER[c] <= 122 or c > 127 else 32 for c in range(256))
@@ -63,6 +65,18 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """big joined with small by keys, which are distinct in small; count is small's column of how many rows of big have the key.
+
+    Keys with more than one in HOT_SHARE of the counted rows are fewer than HOT_SHARE, whatever the input's size. These are
+    broadcast, so that their rows of big stay where they are; the others are joined by a shuffle. big is read twice."""
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot, rest = (small.where(F.col(count) * HOT_SHARE > total), small.where(F.col(count) * HOT_SHARE <= total))
+    spread = big.join(F.broadcast(hot.drop(count)), keys)
+    cold = big.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest.drop(count), keys)
+    return spread.unionByName(cold)
+
+
 def free_name(name: str, df: DataFrame) -> str:
     """A column name that df doesn't have, in capitals or not."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import free_name, map_column, release, slices, stored
+from factloom.llm.common import free_name, join_hot, map_column, release, slices, stored
 
 LENGTH, PIECE = 200, 32
 #: Pieces in a string, and strings that are looked at together in a long text.
@@ -221,9 +221,9 @@ def count_hot(kinds: DataFrame) -> DataFrame:
 
 def covered_runs(rows: DataFrame) -> DataFrame:
     """For rows (row, text): (row, runs), runs being pairs (from, to) of bytes of that text which a repeated string covers."""
-    repeated = stored(sampled(rows, True).groupBy("piece").count().where("count > 1").select("piece"), "pieces")
+    repeated = stored(sampled(rows, True).groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "pieces")
     release(rows.sparkSession)
-    places = stored(sampled(rows, False).join(repeated, "piece"), "places")
+    places = stored(sampled(rows, False).join(repeated.select("piece"), "piece"), "places")
     release(rows.sparkSession)
     kinds = stored(places.groupBy(*KINDS).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at")), "kinds")
     several = kinds.groupBy("piece").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
@@ -235,8 +235,9 @@ def covered_runs(rows: DataFrame) -> DataFrame:
     few = data.where(F.col("m") <= HOT).drop("m").repartition("piece").sortWithinPartitions("piece")
     alike = compare_kinds(few).union(count_hot(data.where(F.col("m") > HOT).drop("m")))
     whole = kinds.where("n > 1").select(*KINDS, F.col("low").alias("least"), F.col("high").alias("most"))
-    found = whole.union(alike).groupBy(*KINDS).agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    runs = places.join(found, KINDS).select("row", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least") + LENGTH).alias("b"))
+    merged = whole.union(alike).groupBy(*KINDS).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    found = stored(merged.join(kinds.select(*KINDS, "n"), KINDS), "found")
+    runs = join_hot(places, found, KINDS, "n").select("row", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least") + LENGTH).alias("b"))
     out = stored(runs.distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs")
     release(rows.sparkSession)
     return out

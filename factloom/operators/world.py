@@ -31,12 +31,12 @@ def event_type(action: Column) -> Column:
         F.when(any_of(low, ["never in source", "do not commit"]), "PolicyChange")
         .when(secret & leaked, "Leak")
         .when(secret, "Config")
-        .when(any_of(low, ["rotat"]), "Rotation")
+        .when(any_of(low, ["rotate", "rotation"]), "Rotation")
         .when(any_of(low, ["deploy", "released", "rollout"]), "Deployment")
-        .when(any_of(low, ["access", "login"]), "Access")
-        .when(any_of(low, ["leak", "committed", "source control"]), "Leak")
+        .when(any_of(low, ["access", "login", "logged in"]), "Access")
+        .when(any_of(low, ["leak", "exposed", "breach", "committed", "source control"]), "Leak")
         .when(any_of(low, ["policy"]), "PolicyChange")
-        .when(any_of(low, ["config", "environment"]), "Config")
+        .when(any_of(low, ["config", "environment", "env-only"]), "Config")
         .otherwise("Other")
     )
 

@@ -45,12 +45,12 @@ def event_type(a: str) -> str:
         (any_of(low, ["never in source", "do not commit"]), "PolicyChange"),
         (f"{secret} AND {any_of(low, ['leak', 'exposed', 'breach'])}", "Leak"),
         (secret, "Config"),
-        (any_of(low, ["rotat"]), "Rotation"),
+        (any_of(low, ["rotate", "rotation"]), "Rotation"),
         (any_of(low, ["deploy", "released", "rollout"]), "Deployment"),
-        (any_of(low, ["access", "login"]), "Access"),
-        (any_of(low, ["leak", "committed", "source control"]), "Leak"),
+        (any_of(low, ["access", "login", "logged in"]), "Access"),
+        (any_of(low, ["leak", "exposed", "breach", "committed", "source control"]), "Leak"),
         (any_of(low, ["policy"]), "PolicyChange"),
-        (any_of(low, ["config", "environment"]), "Config"),
+        (any_of(low, ["config", "environment", "env-only"]), "Config"),
     ]
     return "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in rules) + " ELSE 'Other' END"
 
@@ -64,6 +64,23 @@ world AS (
   SELECT user_id AS case_id, event_id, {event_type('action')} AS type, kind,
          CASE kind WHEN 'date' THEN strftime(ts, '%Y-%m-%d') WHEN 'instant' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS value,
          object, CASE WHEN event_id % 7 <> 0 THEN 'user_' || user_id END AS actor, action, list_extract([{_states}], CAST((event_id + k) % 4 AS BIGINT) + 1) AS state FROM acted)"""
+NOTES = f"""{EVENTS}, notes AS (
+  SELECT case_id, event_id % 3 AS source_id, event_id * 2 + 1 AS line_no, '- ' || coalesce(value || ' ', '') || CASE WHEN event_id % 2 = 0 THEN replace(action, object, '`' || object || '`') ELSE action END AS line FROM world
+  UNION ALL SELECT case_id, event_id % 3, event_id * 2, CASE WHEN event_id % 25 = 0 THEN '## Access Policy ' || (event_id % 4) ELSE '# Log ' || object END FROM world WHERE event_id % 5 = 0),
+found AS (SELECT case_id, source_id * 1000000000000 + line_no AS spot, 'heading' AS k, regexp_extract(line, '^#+ (.*)$', 1) AS name FROM notes WHERE line[1] = '#'
+  UNION ALL SELECT case_id, source_id * 1000000000000 + line_no, 'secret', unnest(regexp_extract_all(line, '`([^`]+)`', 1)) FROM notes
+  UNION ALL SELECT case_id, source_id * 1000000000000 + line_no, 'caps', unnest(regexp_extract_all(line, '\\b[A-Z][A-Z0-9_]{{2,}}\\b')) FROM notes),
+firsts AS (SELECT case_id, name, min(spot) FILTER (k = 'heading') AS heading, min(spot) FILTER (k = 'secret') AS secret, min(spot) FILTER (k = 'caps') AS caps FROM found GROUP BY ALL),
+typed AS (SELECT case_id, name, CASE WHEN contains(lower(name), 'policy') THEN 'Policy' ELSE 'Concept' END AS type FROM firsts WHERE heading IS NOT NULL
+  UNION SELECT case_id, name, 'Secret' FROM firsts WHERE secret IS NOT NULL UNION SELECT case_id, name, 'Concept' FROM firsts WHERE caps IS NOT NULL AND (secret IS NULL OR caps < secret)),
+ents AS (SELECT case_id, 'entity:' || sha256(type || '|' || name || '|') AS entity_id, type, name FROM typed),
+acts AS (SELECT case_id, line[3:] AS action, count(DISTINCT source_id) AS n_evidence FROM notes WHERE line[1] = '-' GROUP BY ALL),
+objs AS (SELECT a.case_id, action, list_sort(list(DISTINCT entity_id)) AS objects, list_sort(list(DISTINCT name) FILTER (type = 'Secret')) AS secrets FROM acts a JOIN ents e ON a.case_id = e.case_id AND contains(lower(action), lower(name)) GROUP BY ALL),
+said AS (SELECT a.case_id, a.action, n_evidence, {event_type('a.action')} AS type, coalesce(objects, []) AS objects, secrets, regexp_extract(a.action, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:]{{8}}Z') AS instant, regexp_extract(a.action, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS day,
+    CASE WHEN {any_of('lower(a.action)', ['never in source', 'never in repo'])} THEN 'never-in-repo' WHEN {any_of('lower(a.action)', ['environment only', 'env-only'])} THEN 'env-only' END AS says
+  FROM acts a LEFT JOIN objs o ON a.case_id = o.case_id AND a.action = o.action),
+proposed AS (SELECT *, CASE WHEN instant <> '' THEN 'instant' WHEN day <> '' THEN 'date' ELSE 'unknown' END AS kind, nullif(CASE WHEN instant <> '' THEN instant ELSE day END, '') AS value,
+    CASE WHEN len(secrets) > 0 AND says IS NOT NULL THEN '{{' || array_to_string(list_transform(secrets, lambda x: '"' || x || '":"' || says || '"'), ',') || '}}' END AS state FROM said)"""
 NEWER = f"""{EVENTS}, newer AS (
   SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN action || ' again' ELSE action END AS action) FROM world WHERE event_id % 11 <> 0
   UNION ALL SELECT * REPLACE (event_id + 1000000000 AS event_id) FROM world WHERE event_id % 17 = 0)"""
@@ -219,6 +236,9 @@ SQL = {
     "counterfactual_unknowns": f"WITH {EVENTS} {_unknowns('world', '''nullif(object, 'OBJ_1')''')}",
     "world_patch": f"""WITH {EVENTS} SELECT case_id, event_id, type, CASE WHEN event_id % 23 = 0 THEN 'patched' ELSE action END AS action FROM world WHERE event_id % 19 <> 0
       UNION ALL SELECT case_id, event_id + 2000000000, type, action FROM world WHERE event_id % 29 = 0""",
+    "world_proposed_entities": f"WITH {NOTES} SELECT * FROM ents",
+    "world_proposed_events": f"""WITH {NOTES} SELECT case_id, 'event:' || sha256(concat_ws('|', type, kind, coalesce(value, ''), action, '', array_to_string(objects, '|'), coalesce(state, '{{}}'))) AS event_id, type, kind, value, action, CAST(len(objects) AS INTEGER) AS n_objects, state, n_evidence FROM proposed""",
+    "world_mentions": f"WITH {NOTES} SELECT a.case_id, action, entity_id FROM acts a JOIN ents e ON a.case_id = e.case_id AND contains(lower(action), lower(name))",
     "world_enrich": f"""WITH {EVENTS} SELECT case_id, event_id, CASE WHEN kind = 'unknown' AND event_id % 4 = 0 THEN 'date' ELSE kind END AS kind, CASE WHEN kind = 'unknown' AND event_id % 4 = 0 THEN '2024-02-01' ELSE value END AS value,
       coalesce(actor, CASE WHEN event_id % 4 = 0 THEN 'auditor' END) AS actor, kind <> 'unknown' AND event_id % 4 = 0 AND value <> '2024-02-01' AS ordering_conflict FROM world""",
     "credit_decisions": f"WITH {APPLICANTS} SELECT * FROM credit",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from factloom.functions.text import rendered
-from factloom.operators import claims, domains, evidence, extraction, graph, reports, service, versions, world
+from factloom.operators import claims, domains, evidence, extraction, graph, patches, proposal, reports, service, versions, world
 from factloom.sources import records
 from factloom.sources.shared import stored
 from pyspark.sql import DataFrame, SparkSession
@@ -206,6 +206,55 @@ def world_enrich(s, d):
     return versions.enriched(e, patches)
 
 
+def proposed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = records.notes(records.world_events(s, d))
+    return stored(proposal.bullet_actions(lines), "actions"), stored(proposal.proposed_entities(lines), "entities")
+
+
+def world_proposed_entities(s, d):
+    return proposal.proposed_entities(records.notes(records.world_events(s, d)))
+
+
+def world_proposed_events(s, d):
+    events = proposal.proposed_events(*proposed(s, d))
+    return events.select("case_id", "event_id", "type", "kind", "value", "action", F.size("objects").alias("n_objects"), "state", "n_evidence")
+
+
+def world_mentions(s, d):
+    return proposal.mentioned(*proposed(s, d)).select("case_id", "action", "entity_id")
+
+
+def world_parts(s: SparkSession, d: str) -> list[DataFrame]:
+    """Entities, events and relations of each case, and operations on them, all with ids as text."""
+    e = records.world_events(s, d)
+    entity_id = F.concat_ws(":", "type", "name").alias("id")
+    entities = world.entities(e).select("case_id", entity_id, "type", "name")
+    events = e.select("case_id", F.col("event_id").cast("string").alias("id"), "type", F.concat(F.lit("System:"), "object").alias("object"), "action")
+    relations = world.relations(e).select("case_id", F.col("relation").alias("type"), F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"))
+    return [stored(df, n) for df, n in ((entities, "entities"), (events, "events"), (relations, "relations"), (records.patch_operations(e), "operations"))]
+
+
+def patch_faults(s, d):
+    return patches.patch_faults(*world_parts(s, d))
+
+
+def after_patch(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts = world_parts(s, d)
+    return patches.patched_world(*parts, stored(patches.patch_faults(*parts), "faults"))
+
+
+def patched_entities(s, d):
+    return after_patch(s, d)[0]
+
+
+def patched_events(s, d):
+    return after_patch(s, d)[1]
+
+
+def patched_relations(s, d):
+    return after_patch(s, d)[2]
+
+
 def credit_decisions(s, d):
     return domains.credit_decisions(records.applicants(s, d))
 
@@ -334,6 +383,7 @@ def repair_actions(s, d):
 ALL = [doc_inventory, chunk_documents, chunks_keyword, evidence_topk_chunks, claim_fingerprints, claim_duplicates, claim_duplicate_groups, claim_contradictions, claim_support_edges, bullet_claims, claim_closure, support_tree]
 ALL += [event_types, world_entities, world_relations, world_unknowns, world_state_conflicts, world_value_conflicts, event_focus_topk, causal_before_edges, causal_fan_out, critical_events, causal_typed_edges, causal_cycle_nodes, causal_order, critical_chain]
 ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, world_diff_events, world_diff_entities, world_diff_unknowns, world_diff_conflicts, world_diff_relations, constraint_diff, counterfactual_unknowns, world_patch, world_enrich]
+ALL += [world_proposed_entities, world_proposed_events, world_mentions, patch_faults, patched_entities, patched_events, patched_relations]
 ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, answer_faults, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
 ALL += [text_sentences, text_clauses, text_references, text_frames, text_utterances, text_time_markers, constraint_narrative, casefile_summary, repair_actions]
 

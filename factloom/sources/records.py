@@ -5,6 +5,8 @@ A case is one evidence world; every record carries its case, so operators work o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from factloom.functions.text import identity, proposition
 from factloom.operators.world import event_type
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,39 @@ def world_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def notes(events: DataFrame) -> DataFrame:
+    """The events of each case as the lines of three Markdown texts: bullets with the time, if known, and headings; every other
+    bullet has its object in backticks."""
+    quoted = F.replace("action", "object", F.concat(F.lit("`"), "object", F.lit("`")))
+    bullet = F.concat(F.lit("- "), F.coalesce(F.concat("value", F.lit(" ")), F.lit("")), F.when(F.col("event_id") % 2 == 0, quoted).otherwise(F.col("action")))
+    heading = F.when(F.col("event_id") % 25 == 0, F.concat(F.lit("## Access Policy "), (F.col("event_id") % 4).cast("string"))).otherwise(F.concat(F.lit("# Log "), "object"))
+    line = lambda rows, n, text: rows.select("case_id", (F.col("event_id") % 3).alias("source_id"), (F.col("event_id") * 2 + n).alias("line_no"), text.alias("line"))
+    return line(events, 1, bullet).union(line(events.where("event_id % 5 = 0"), 0, heading))
+
+
+def patch_operations(events: DataFrame) -> DataFrame:
+    """A patch for most cases: operations of each kind, made from some events by fixed rules; some can't be carried out."""
+    event_id, obj, nothing = F.col("event_id").cast("string"), F.concat(F.lit("System:"), "object"), F.lit(None).cast("string")
+
+    def made(every: int, op: str, **said) -> DataFrame:
+        rows = events.where(f"event_id % {every} = 0")
+        columns = [said.get(c, nothing).alias(c) for c in ("id", "type", "name", "object", "action", "from_id", "to_id")]
+        return rows.select("case_id", (F.col("event_id") * 100 + every).alias("op_no"), F.lit(op).alias("op"), *columns)
+
+    new = F.concat(F.lit("new:"), event_id)
+    ops = [
+        made(97, "REMOVE_EVENT", id=event_id),
+        made(41, "UPDATE_EVENT", id=event_id, action=F.lit("patched")),
+        made(43, "ADD_EVENT", id=new, type=F.lit("Other"), object=obj, action=F.lit("added")),
+        made(47, "ADD_ENTITY", id=F.concat(F.lit("Concept:"), event_id), type=F.lit("Concept"), name=event_id),
+        made(53, "UPDATE_ENTITY", id=obj, name=F.lit("renamed")),
+        made(89, "REMOVE_ENTITY", id=obj),
+        made(43 * 2, "ADD_RELATION", type=F.lit("same_time"), from_id=event_id, to_id=new),
+        made(83, "REMOVE_RELATION", type=F.lit("before"), from_id=event_id, to_id=event_id),
+    ]
+    return reduce(DataFrame.union, ops)
+
+
 def newer_world(events: DataFrame) -> DataFrame:
     """A later version of a world: some events gone, some changed, some new."""
     stay = events.where("event_id % 11 <> 0").withColumn("action", F.when(F.col("event_id") % 13 == 0, F.concat("action", F.lit(" again"))).otherwise(F.col("action")))

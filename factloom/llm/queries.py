@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity
+from factloom.llm import bpe, decontam, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity
 from factloom.llm.common import crc_bucket, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,8 +66,12 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digests(fingerprint.with_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches]
+    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches, op13_fingerprints]
     return {f.__name__: f for f in found}
 
 
@@ -92,5 +96,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+FINGERPRINT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, text)),
+e AS (SELECT doc_id, text, next_text, CAST(length(text) AS BIGINT) AS n_chars, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited FROM n),
+w AS (SELECT *, list_transform([text, edited, next_text], lambda t: regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS ws FROM e),
+h AS (SELECT *, list_transform(ws, lambda x: list_sort(list_distinct(list_filter(list_transform(range(1, greatest(len(x) - 4, 1) + 1), lambda i: left(md5(array_to_string(x[i:i + 4], ' ')), 16)), lambda y: y < '2')))) AS kept FROM w),
+s AS (SELECT *, list_transform(range(1, 4), lambda k: CASE WHEN len(ws[k]) = 0 THEN [] WHEN len(kept[k]) > 0 THEN kept[k] ELSE ['0' || substring(md5(array_to_string(ws[k], ' ')), 2, 15)] END) AS f FROM h),
+c AS (SELECT *, len(list_intersect(f[1], f[2])) AS with_edited, len(list_intersect(f[1], f[3])) AS with_next FROM s)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(f[1], '') AS fingerprint, array_to_string(f[2], '') AS edited_fingerprint,
+  CASE WHEN len(f[1]) + len(f[2]) = 0 THEN 1.0 ELSE CAST(with_edited AS DOUBLE) / (len(f[1]) + len(f[2]) - with_edited) END AS near_edited,
+  CASE WHEN len(f[1]) + len(f[3]) = 0 THEN 1.0 ELSE CAST(with_next AS DOUBLE) / (len(f[1]) + len(f[3]) - with_next) END AS near_next,
+  CASE WHEN len(f[1]) = 0 THEN 1.0 ELSE CAST(with_edited AS DOUBLE) / len(f[1]) END AS in_edited,
+  CASE WHEN len(f[1]) = 0 THEN 1.0 ELSE CAST(with_next AS DOUBLE) / len(f[1]) END AS in_next
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL}
+    return {"op3_quality_rules": QUALITY_SQL, "op13_fingerprints": FINGERPRINT_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity
+from factloom.llm import bpe, decontam, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity, vector_codes
 from factloom.llm.common import crc_bucket, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,12 +66,18 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(rows)
+    return vector_codes.digests(vector_codes.encode(rows, books), books)
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digests(fingerprint.with_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches, op13_fingerprints]
+    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches, op12_vector_codes, op13_fingerprints]
     return {f.__name__: f for f in found}
 
 
@@ -113,5 +119,26 @@ FROM c
 """
 
 
+def vector_codes_sql() -> str:
+    """Codebooks b0 to b6, each from the assignments before it. Squared distances are lists' sums; ties go to the lower entry."""
+    nearest = """a{k} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM (
+  SELECT vec_id, part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN b{k} USING (part)) GROUP BY vec_id, part, x),"""
+    moved = """m{k} AS (SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS c FROM (
+  SELECT part, entry, place, sum(x[place + 1]) AS total, count(*) AS n FROM a{k}, range(8) AS r(place) GROUP BY part, entry, place) GROUP BY part, entry),
+b{next} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry)),"""
+    rounds = "\n".join(nearest.format(k=k) + ("\n" + moved.format(k=k, next=k + 1) if k < 6 else "") for k in range(7))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, v[part * 8 + 1:part * 8 + 8] AS x FROM kept, range(8) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM parts QUALIFY entry < 16),
+{rounds}
+codes AS (SELECT vec_id, string_agg('0' || lower(to_hex(entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes JOIN kept USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM kept.label
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": QUALITY_SQL, "op13_fingerprints": FINGERPRINT_SQL}
+    return {"op12_vector_codes": vector_codes_sql(), "op3_quality_rules": QUALITY_SQL, "op13_fingerprints": FINGERPRINT_SQL}

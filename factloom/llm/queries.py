@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontam, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity, vector_codes
+from factloom.llm import bpe, conversations, decontam, fingerprint, html_extract, langid, line_dedup, near_dedup, pii, quality, suffix_dedup, toxicity, vector_codes
 from factloom.llm.common import crc_bucket, read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,6 +66,11 @@ def op10_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find_matches(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversations.digests(conversations.repair(rows, "copies"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     books = vector_codes.fit(rows)
@@ -77,7 +82,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches, op12_vector_codes, op13_fingerprints]
+    found = [op1_language_id, op2_personal_data, op3_quality_rules, op4_toxicity, op5_repeated_strings, op6_main_text, op7_recurring_lines, op8_near_duplicates, op9_byte_bpe, op10_benchmark_matches, op11_conversation_repair, op12_vector_codes, op13_fingerprints]
     return {f.__name__: f for f in found}
 
 
@@ -119,6 +124,37 @@ FROM c
 """
 
 
+#: crc32 bit by bit; then a row of the chart for each state, by recursion over a conversation's rows. moves: from a state by edits to a state,
+#: with the initial of the last edit's role ('' for a deletion) and what is inserted before.
+CONVERSATION_SQL = """
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i:i]) AS BIGINT))),
+  lambda crc, byte: xor(crc >> 8, list_reduce([xor(crc, byte) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))), 4294967295) % 20 AS fault FROM given),
+damaged AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair,
+  regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS written, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+judged AS MATERIALIZED (SELECT *, written = '' AS blank, written <> '' AND again AS duplicate, written <> '' AND NOT again AND right(written, 1) NOT IN ('.', '!', '?') AS truncated FROM placed),
+expects(before, role, state) AS (VALUES ('0', 's', 'S'), ('0', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')),
+inserted(before, edits, lines, state) AS (SELECT s, '', '', s FROM (VALUES ('0'), ('S'), ('U'), ('A')) AS v(s)
+  UNION ALL SELECT i.before, edits || 'I', lines || CASE role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10), e.state FROM inserted i JOIN expects e ON e.before = i.state AND role <> 's' WHERE length(edits) < 2),
+moves AS MATERIALIZED (SELECT before, edits, lines, role, e.state FROM inserted i JOIN expects e ON e.before = i.state UNION ALL SELECT DISTINCT before, '', '', '', before FROM inserted),
+chart AS (SELECT conv_id, 0 AS i, '0' AS state, {'cost': 0, 'audit': '', 'lines': ''} AS item FROM (SELECT DISTINCT conv_id FROM given)
+  UNION ALL SELECT * FROM (SELECT c.conv_id, c.i + 1, m.state, min({'cost': item.cost + 3 * length(edits) + CASE WHEN m.role = '' THEN 4 ELSE CASE WHEN m.role = initial THEN 0 ELSE 3 END + CASE WHEN truncated THEN 3 ELSE 0 END END,
+    'audit': item.audit || edits || CASE m.role WHEN '' THEN 'D' WHEN initial THEN 'K' ELSE 'R' END,
+    'lines': item.lines || m.lines || CASE WHEN m.role = '' THEN '' ELSE CASE WHEN m.role = initial THEN j.role WHEN m.role = 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) END})
+    FROM chart c JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id AND j.i = c.i + 1 JOIN moves m ON m.before = c.state
+    WHERE m.role = '' OR NOT (blank OR duplicate) AND (m.role = initial OR m.role <> 's') GROUP BY c.conv_id, c.i, m.state)),
+ends AS (SELECT conv_id, min({'cost': item.cost + CASE state WHEN 'U' THEN 3 WHEN 'S' THEN 6 ELSE 0 END, 'audit': item.audit || CASE state WHEN 'U' THEN 'I' WHEN 'S' THEN 'II' ELSE '' END,
+  'lines': item.lines || CASE state WHEN 'U' THEN 'assistant:' || chr(10) WHEN 'S' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END}) AS item
+  FROM chart c WHERE i = (SELECT count(*) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM c.conv_id) GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(item.cost AS BIGINT) AS cost, item.audit AS audit, sha256(left(item.lines, greatest(0, length(item.lines) - 1))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def vector_codes_sql() -> str:
     """Codebooks b0 to b6, each from the assignments before it. Squared distances are lists' sums; ties go to the lower entry."""
     nearest = """a{k} AS MATERIALIZED (SELECT vec_id, part, x, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM (
@@ -141,4 +177,4 @@ FROM codes JOIN kept USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_vector_codes": vector_codes_sql(), "op3_quality_rules": QUALITY_SQL, "op13_fingerprints": FINGERPRINT_SQL}
+    return {"op11_conversation_repair": CONVERSATION_SQL, "op12_vector_codes": vector_codes_sql(), "op3_quality_rules": QUALITY_SQL, "op13_fingerprints": FINGERPRINT_SQL}

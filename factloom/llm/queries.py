@@ -130,15 +130,15 @@ CONVERSATION_SQL = """
 WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
 keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i:i]) AS BIGINT))),
   lambda crc, byte: xor(crc >> 8, list_reduce([xor(crc, byte) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))), 4294967295) % 20 AS fault FROM given),
-damaged AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
-  FROM keyed, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair,
-  regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS written, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+damaged AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM keyed, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS r(copy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || left(role, 1) AS pair,
+  regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS written, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM damaged),
 judged AS MATERIALIZED (SELECT *, written = '' AS blank, written <> '' AND again AS duplicate, written <> '' AND NOT again AND right(written, 1) NOT IN ('.', '!', '?') AS truncated FROM placed),
 expects(before, role, state) AS (VALUES ('0', 's', 'S'), ('0', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')),
 inserted(before, edits, lines, state) AS (SELECT s, '', '', s FROM (VALUES ('0'), ('S'), ('U'), ('A')) AS v(s)
-  UNION ALL SELECT i.before, edits || 'I', lines || CASE role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10), e.state FROM inserted i JOIN expects e ON e.before = i.state AND role <> 's' WHERE length(edits) < 2),
-moves AS MATERIALIZED (SELECT before, edits, lines, role, e.state FROM inserted i JOIN expects e ON e.before = i.state UNION ALL SELECT DISTINCT before, '', '', '', before FROM inserted),
+  UNION ALL SELECT i.before, i.edits || 'I', i.lines || CASE e.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10), e.state FROM inserted i JOIN expects e ON e.before = i.state AND e.role <> 's' WHERE length(i.edits) < 2),
+moves AS MATERIALIZED (SELECT i.before, i.edits, i.lines, e.role, e.state FROM inserted i JOIN expects e ON e.before = i.state UNION ALL SELECT DISTINCT before, '', '', '', before FROM inserted),
 chart AS (SELECT conv_id, 0 AS i, '0' AS state, {'cost': 0, 'audit': '', 'lines': ''} AS item FROM (SELECT DISTINCT conv_id FROM given)
   UNION ALL SELECT * FROM (SELECT c.conv_id, c.i + 1, m.state, min({'cost': item.cost + 3 * length(edits) + CASE WHEN m.role = '' THEN 4 ELSE CASE WHEN m.role = initial THEN 0 ELSE 3 END + CASE WHEN truncated THEN 3 ELSE 0 END END,
     'audit': item.audit || edits || CASE m.role WHEN '' THEN 'D' WHEN initial THEN 'K' ELSE 'R' END,

@@ -32,6 +32,8 @@ BLOCKS = frozenset("address article aside blockquote body br center caption dd d
 IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template noframes".split())
 #: Which open elements an element closes when it begins, up to the nearest of its scopes.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Ends of these don't reach out of a table's cell.
+INLINE = frozenset("p div b i span a".split())
 CLOSE_P = BLOCKS - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"}
 SECTIONS = frozenset("nav header footer aside form article main section button label".split())
 SMOOTHING, DAMPING = 0.5, 0.6
@@ -50,7 +52,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order, parents first, and what is written in order: (node, its text), (-1, "") where a block begins or ends."""
     nodes, out, stack = [Node(-1, "#root", "", None)], [], [0]
     at, n, hidden, last_end = 0, len(page), 0, page.rfind(">")
-    opened: Counter[str] = Counter()  # tags in stack, so that it is only searched for what is there
+    # where tags stand in stack, and all blocks and all that isn't seen, deepest last: the stack itself is never searched
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks, unseen = [0], [0]
 
     def tag_end(start: int) -> int:
         """Where a tag ends, its name ending at start: at a > that isn't quoted; a quote that is never closed is none. -1 if it doesn't end."""
@@ -81,11 +85,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal hidden
         while len(stack) > depth:
             tag = nodes[stack.pop()].tag
-            opened[tag] -= 1
+            places[tag].pop()
             if tag in UNSEEN:
                 hidden -= 1
+                unseen.pop()
             if tag in BLOCKS:
                 out.append((-1, ""))
+                blocks.pop()
+
+    def deepest(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def leave_head(start: int, end: int) -> None:
         if nodes[stack[-1]].tag == "head" and page[start:end].strip():
@@ -110,35 +119,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag, attributes = tag.lower(), page[m.end() : end]
         if m.group(1):
-            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                if nodes[stack[depth]].tag == tag:
-                    close(depth)
-                    break
-                if nodes[stack[depth]].tag in ("td", "th", "table") and tag in ("p", "div", "b", "i", "span", "a"):
-                    break
+            if places[tag] and not (tag in INLINE and places[tag][-1] < deepest("td", "th", "table")):
+                close(places[tag][-1])
             continue
-        if tag not in IN_HEAD and opened["head"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == "head":
-                    close(depth)
-                    break
-                if nodes[stack[depth]].tag in UNSEEN:
-                    break
-        if tag in CLOSE_P and opened["p"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == "p":
-                    close(depth)
-                    break
-                if nodes[stack[depth]].tag in BLOCKS:
-                    break
+        if tag not in IN_HEAD and nodes[stack[unseen[-1]]].tag == "head":
+            close(unseen[-1])
+        if tag in CLOSE_P and nodes[stack[blocks[-1]]].tag == "p":
+            close(blocks[-1])
         if tag in CLOSES:
             own, scopes = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in own) else ():
-                if nodes[stack[depth]].tag in own:
-                    close(depth)
-                    break
-                if nodes[stack[depth]].tag in scopes:
-                    break
+            if deepest(*own) > deepest(*scopes):
+                close(deepest(*own))
         if tag in BLOCKS:
             out.append((-1, ""))
         if tag in VOID:
@@ -157,9 +148,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = close_tag.end() if close_tag else n
             continue
         if not attributes.endswith("/") or tag in BLOCKS:
+            places[tag].append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            if tag in UNSEEN:
+                unseen.append(len(stack))
+                hidden += 1
             stack.append(len(nodes) - 1)
-            opened[tag] += 1
-            hidden += tag in UNSEEN
     return nodes, out
 
 

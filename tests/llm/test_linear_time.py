@@ -21,6 +21,9 @@ SLOW_PAGES = {
     "unclosed tags": "<div " * 20_000,
     "ends of a script that don't end": "<script>" + "</script " * 20_000,
     "a quoted name": "<img x=1 \"" + "A" * 100_000 + '">text',
+    "a paragraph far out": "<p><td>" + "<b>" * 20_000 + "<hr>" * 20_000,
+    "a row far out": "<table><tr>" + "<b>" * 20_000 + "<tr>" * 20_000,
+    "ends that reach no cell": "<b><td>" + "<i>" * 20_000 + "</b>" * 20_000,
     "nested": "".join(f'<div class="name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}">' for k in range(5_000)) + "deep" + "</b>" * 5_000,
 }
 

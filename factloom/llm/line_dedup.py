@@ -146,15 +146,22 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str =
     and text fare alike; several rows with the least id and different texts all keep the line. A null id never comes first,
     unless only null ids have a template, and then all keep it. Other columns stay; an empty table gives an empty one.
     """
+    lost = stored(dropped_lines(docs, text_col, id_col, min_texts), "lost-lines")
+    release(docs.sparkSession)
+    return without_lines(docs, lost, text_col, id_col)
+
+
+def without_lines(docs: DataFrame, lost: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without the lines that lost (id, text_key, dropped) names; see drop_recurring_lines."""
     extra = {"n_lines", "n_dropped"}
     columns = [c for c in docs.columns if c.lower() not in extra]
     key, own, lost_id = (free_name(n, docs) for n in ("text_key", "dropped", "lost_id"))
-    lost = stored(dropped_lines(docs, text_col, id_col, min_texts), "lost-lines").withColumnsRenamed({"id": lost_id, "text_key": key, "dropped": own})
-    release(docs.sparkSession)
+    lost = lost.withColumnsRenamed({"id": lost_id, "text_key": key, "dropped": own})
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias(key))
     joined = keyed.join(lost, keyed[f"`{id_col}`"].eqNullSafe(lost[lost_id]) & (keyed[key] == lost[key]), "left")
     parts = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(own), i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(own))  # by hash, not a search for each line
+    kept = F.array_join(F.transform(F.array(parts), lambda p: F.transform(places, lambda i: F.get(p, i)))[0], "\n")
     blank = F.size(F.filter(parts, lambda x: x.rlike(NOT_BLANK)))
     return joined.select(
         *[F.when(F.col(own).isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns],

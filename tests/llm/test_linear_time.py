@@ -43,6 +43,17 @@ def test_slow_pages(name):
     assert time.time() - began < 5
 
 
+def test_many_dropped_lines(spark):
+    """A text that loses 200,000 lines is cut in time that grows with its lines."""
+    lines = "\n".join(f"word{k % 7} another{k} more{k} text{k} and so on" for k in range(200_000)).replace("0", "o")
+    docs = spark.createDataFrame([(k, lines + f"\nown{k}") for k in range(3)], "doc_id bigint, text string")
+    lost = docs.where("doc_id > 0").selectExpr("doc_id AS id", "unhex(md5(text)) AS text_key", "sequence(0, 199999) AS dropped")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in line_dedup.without_lines(docs, lost).collect()}
+    assert time.time() - began < 30
+    assert rows[0]["text"] == lines + "\nown0" and [rows[k]["text"] for k in (1, 2)] == ["own1", "own2"] and rows[1]["n_dropped"] == 200_000
+
+
 def test_inherited_features():
     """What a node inherits is what the nodes above it hand down, each once."""
     nodes, _ = html_extract.parse('<div class="aa bb"><p class="aa">x</p><div class="cc"><p>y</p></div></div><p>z</p>')

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,12 @@ from factloom.llm.common import map_column
 
 WORD = re.compile(r"[^\x20\t-\r]+")
 SYMBOLS = "#*$%&|<>"
+#: Thai, Lao, Myanmar, Khmer, Japanese and Chinese are written without spaces, so their words' lengths say nothing.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: A word of letters and of marks that belong to them, as vowels of Indic scripts and the joiners between them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 WINDOW = 5
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_adjacent"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_adjacent", "n_unspaced"]
 
 
 @dataclass(frozen=True)
@@ -39,7 +44,7 @@ RULES = [
     Rule("repeated_windows", 1, "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", 2, "10 * n_symbols > n_words"),
     Rule("short_words", 3, "word_chars < 2 * n_words"),
-    Rule("long_words", 4, "word_chars > 15 * n_words"),
+    Rule("long_words", 4, "word_chars - n_unspaced > 15 * n_words"),
     Rule("repeated_lines", 5, "n_lines > 3 and 2 * n_dup_lines > n_lines"),
     Rule("few_letters", 6, "10 * n_letter_words < 4 * n_words"),
     Rule("echoed_words", 7, "10 * n_adjacent > 3 * n_words"),
@@ -79,6 +84,12 @@ def repeated_cover(words: list[str], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edges)[:-1]))
 
 
+def letter_words(words: list[str]) -> int:
+    """Words that are letters and marks only, but for punctuation around them; and all that have a letter of a script without spaces."""
+    bare = list(map(str.strip, words, [".,;:!?\"'()"] * len(words)))
+    return sum(b.isalpha() or not b.isascii() and (LETTERS.fullmatch(b) is not None or UNSPACED.search(b) is not None) for b in bare)
+
+
 def measures_of(text: str | None) -> tuple[int, ...]:
     text = text or ""
     words = WORD.findall(text)
@@ -90,8 +101,9 @@ def measures_of(text: str | None) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeated_cover(words),
-        sum(map(str.isalpha, map(str.strip, words, [".,;:!?\"'()"] * len(words)))),
+        letter_words(words),
         sum(map(eq, words, words[1:])),
+        0 if text.isascii() else len(UNSPACED.findall(text)),
     )
 
 

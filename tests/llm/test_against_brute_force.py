@@ -88,6 +88,22 @@ def test_op3(spark, docs):
         assert r["base_failed"] == (len(words) < 10 or 100 * len(cover) > 20 * len(words)) and not (r["base_failed"] and r["kept"])
 
 
+CLEAN = {
+    "Hindi": "यह एक छोटी कहानी है जिसमें एक लड़का नदी के किनारे बैठा था और दूर पहाड़ों को देख रहा था। उसकी माँ ने उसे घर बुलाया, क्योंकि शाम हो चुकी थी।",
+    "Tamil": "இது ஒரு சிறிய கதை, அதில் ஒரு சிறுவன் ஆற்றங்கரையில் அமர்ந்து தூரத்தில் உள்ள மலைகளைப் பார்த்துக் கொண்டிருந்தான் என்று சொல்லப்பட்டது.",
+    "Thai": "วันนี้อากาศดีมาก เด็กชายคนหนึ่งนั่งอยู่ริมแม่น้ำ มองภูเขาที่อยู่ไกลออกไป แม่เรียกเขากลับบ้าน เพราะเย็นแล้ว เขาลุกขึ้นยืน แล้วเดินกลับช้าๆ ระหว่างทางเขาพบเพื่อน ทั้งสองคุยกัน จนถึงหน้าบ้าน แล้วแยกย้าย",
+    "Chinese": "\n".join(f"第{k}段讲的是一个男孩坐在河边，看着远处的山；他的母亲叫他回家，因为天已经黑了。" for k in "一二三四五六七八九十甲乙"),
+    "Japanese": "\n".join(f"その{k}の話では、少年が川のそばに座って、遠くの山を見ていました。母は夕方になったので彼を呼びました。" for k in "一二三四五六七八九十甲乙"),
+}
+
+
+def test_op3_keeps_clean_texts_of_other_scripts(spark):
+    docs = spark.createDataFrame([*CLEAN.items(), ("glued", "x" * 40 + " " + " ".join(["y" * 30] * 12))], "doc_id string, text string")
+    found = {r["doc_id"]: r for r in quality.judge(quality.ledger(docs)).collect()}
+    assert [k for k in CLEAN if not found[k]["kept"]] == []
+    assert not found["glued"]["kept"]
+
+
 def test_op3_ablations(spark):
     ledger = quality.ledger(spark.createDataFrame([(1, "a b c"), (2, "one two three four five six seven eight nine ten"), (3, "### $$$ &&& *** ||| <<< >>> %%% ### $$$")], "doc_id int, text string"))
     found = {r["rule"]: r for r in quality.ablations(ledger).collect()}

@@ -272,4 +272,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from factloom.plans import causal_oracles  # it builds on the parts above
+
+    return dict(SQL) | causal_oracles.oracle_sql()

@@ -171,3 +171,104 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant_id"), F.col("event_type").alias("endpoint"), "ts", "event_id")
+
+
+#: What whole events say of their object; of none, they say it of `it`.
+SAYINGS = [
+    "{} must be never in source",
+    "{} environment only",
+    "rotated {} before deployment",
+    "deployment of {} service",
+    "{} committed to source repo",
+    "access login for {}",
+    "policy review of {}",
+    "config change after rotation of {}",
+    "{} reviewed, then access",
+    "closed {} when deployment ended",
+    "`{}` exposed prior to rotation",
+    "environment set following policy change of {}",
+]
+REFERENCE = "struct<source_id:string,chunk_id:string,offset_start:bigint,offset_end:bigint,text_sha256:string>"
+
+
+def whole_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worlds as world_events, with all that an event can have: several actors and objects or none, states by name, references to evidence. Dates are months."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    n = F.col("event_id")
+    name, other = (F.concat(F.lit("OBJ_"), (x % 8).cast("string")) for x in (F.col("k"), F.col("k") * 3 + n))
+    objects = F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(F.when(n % 4 == 1, F.array(name, other)).otherwise(F.array(name)), lambda x: F.concat(F.lit("entity:"), x)))))
+    about = F.when(n % 9 == 0, "it").otherwise(name)
+    action = F.element_at(F.array(*[F.concat(F.lit(a.partition("{}")[0]), about, F.lit(a.partition("{}")[2])) for a in SAYINGS]), (n % 12 + 1).cast("int"))
+    state_of = lambda x: F.element_at(F.array(*map(F.lit, STATES)), (x % 4 + 1).cast("int"))
+    state = F.when(n % 15 == 0, F.create_map(name, state_of(n + F.col("k")), F.lit("mode"), state_of(n))).when(n % 4 != 0, F.create_map(name, state_of(n + F.col("k"))))
+    kind = F.when(n % 10 == 0, "unknown").when(n % 3 == 0, "date").otherwise("instant")
+    instant = F.concat(F.translate(F.date_trunc("second", F.col("ts")).cast("string"), " ", "T"), F.lit("Z"))
+    user = F.concat(F.lit("entity:user_"), F.col("user_id").cast("string"))
+    actors = F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 35 == 1, F.array(F.lit("entity:auditor"), user)).otherwise(F.array(user))
+    reference = lambda at: F.struct(F.concat(F.lit("src:"), (n % 5).cast("string")).alias("source_id"), F.concat(F.lit("chunk:"), F.floor(n / 3).cast("string")).alias("chunk_id"), at.cast("bigint").alias("offset_start"), (at + 40).cast("bigint").alias("offset_end"), F.sha2("action", 256).alias("text_sha256"))
+    evidence = F.when(n % 50 == 0, F.array().cast(f"array<{REFERENCE}>")).when(n % 6 == 0, F.array(reference(n % 400), reference(n % 400 + 500))).otherwise(F.array(reference(n % 400)))
+    return e.withColumn("action", action).select(
+        F.col("user_id").alias("case_id"), "event_id", event_type(F.col("action")).alias("type"), kind.alias("kind"),
+        F.when(kind == "date", F.trunc("ts", "month").cast("string")).when(kind == "instant", instant).alias("value"),
+        actors.alias("actors"), objects.alias("objects"), "action", state.alias("state"), evidence.alias("evidence"),
+    )
+
+
+def whole_entities(events: DataFrame) -> DataFrame:
+    """The objects and actors of whole events: half of the objects are secrets."""
+    named = events.select("case_id", F.explode(F.concat("objects", "actors")).alias("entity_id")).distinct()
+    name = F.substring("entity_id", 8, 1 << 30)
+    kind = F.when(name.rlike("^OBJ_[0-3]$"), "Secret").when(name.startswith("OBJ_"), "System").otherwise("Person")
+    return named.select("case_id", "entity_id", kind.alias("type"), name.alias("name"))
+
+
+def newer_events(events: DataFrame) -> DataFrame:
+    """A later version of whole events: some gone, some with other times, those of every third case with other states."""
+    stay = events.where("event_id % 11 <> 0")
+    turned = F.when((F.col("case_id") % 3 == 0) & F.col("state").isNotNull(), F.transform_values("state", lambda k, v: F.when(v == "active", "enabled").when(v == "destroyed", "disabled").otherwise(v)))
+    return stay.withColumn("state", F.coalesce(turned, F.col("state"))).withColumn("value", F.when(F.col("event_id") % 17 == 0, F.lit("2024-01-02")).otherwise(F.col("value"))).withColumn("kind", F.when(F.col("event_id") % 17 == 0, "date").otherwise(F.col("kind")))
+
+
+def bundle(events: DataFrame) -> DataFrame:
+    """The artifacts (case_id, source_id, chunk_id) that a case may rest on: all chunks of its events but every seventh."""
+    refs = events.select("case_id", F.explode("evidence").alias("r")).select("case_id", "r.source_id", "r.chunk_id").distinct()
+    return refs.where(F.substring("chunk_id", 7, 20).cast("bigint") % 7 != 0)
+
+
+def claim_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the claims of hierarchy_edges: a customer's from its orders, every other supplier's own; many share one."""
+    o, s = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1")
+
+    def made(rows: DataFrame, claim, n) -> DataFrame:
+        chunk = F.concat(F.lit("chunk:"), (n % 200).cast("string"))
+        ref = F.struct(F.concat(F.lit("src:"), (n % 20).cast("string")).alias("source_id"), chunk.alias("chunk_id"), (n % 7 * 100).cast("bigint").alias("offset_start"), (n % 7 * 100 + 40).cast("bigint").alias("offset_end"), F.sha2(chunk, 256).alias("text_sha256"))
+        return rows.select(claim.alias("claim_id"), ref.alias("ref"))
+
+    return made(o, F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.col("o_orderkey")).union(made(s, F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.col("s_suppkey")))
+
+
+def claim_artifacts(refs: DataFrame) -> DataFrame:
+    """The chunks that claims may rest on: all that are referred to but every seventeenth."""
+    return refs.select("ref.source_id", "ref.chunk_id").distinct().where(F.substring("chunk_id", 7, 20).cast("bigint") % 17 != 0)
+
+
+def claim_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of customers' claims that contradict each other."""
+    key = F.col("c_custkey")
+    pairs = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0")
+    return pairs.select(F.concat(F.lit("C"), key.cast("string")).alias("claim_a"), F.concat(F.lit("C"), (key - 1).cast("string")).alias("claim_b"))
+
+
+def removals(events: DataFrame) -> DataFrame:
+    """What is to be taken out of worlds: an entity of some, single events, all events of an object; and some that isn't there."""
+    op = lambda rows, name, target: rows.select("case_id", F.lit(name).alias("op"), target.cast("string").alias("target"))
+    n = F.col("event_id")
+    parts = [
+        op(events.where("case_id % 4 = 0").select("case_id").distinct(), "REMOVE_ENTITY", F.lit("entity:OBJ_1")),
+        op(events.where("event_id % 37 = 0"), "REMOVE_EVENT", n),
+        op(events.where(F.array_contains("objects", "entity:OBJ_3") & (F.col("case_id") % 5 == 0)), "REMOVE_EVENT", n),
+        op(events.where("case_id % 6 = 1 AND event_id % 2 = 0"), "REMOVE_EVENT", n),
+        op(events.where("event_id % 41 = 0"), "REMOVE_EVENT", n + 1_000_000_000),
+        op(events.where("event_id % 43 = 0"), "REMOVE_ENTITY", F.concat(F.lit("entity:"), n.cast("string"))),
+    ]
+    return reduce(DataFrame.union, parts).distinct()

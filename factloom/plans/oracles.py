@@ -272,6 +272,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom.plans import causal_oracles  # it builds on the parts above
+    from factloom.plans import causal_oracles, contract_queries  # they build on the parts above
 
-    return dict(SQL) | causal_oracles.oracle_sql()
+    return dict(SQL) | causal_oracles.oracle_sql() | contract_queries.oracle_sql()

@@ -272,3 +272,32 @@ def removals(events: DataFrame) -> DataFrame:
         op(events.where("event_id % 43 = 0"), "REMOVE_ENTITY", F.concat(F.lit("entity:"), n.cast("string"))),
     ]
     return reduce(DataFrame.union, parts).distinct()
+
+
+#: Contracts of several shapes. {s} and {c} are the parties, {a} and {b} what they are called, {d} and {e} dates, {n} a nation.
+CONTRACTS = [
+    'This Agreement (the "Agreement") is entered into as of {d} (the "Effective Date"), by and between {s} LLC, a Delaware company ("{a}" or "Licensor"), and {c} Inc, an Oregon corporation ("{b}" or "Licensee").\n\n"Software" means the hosted platform, as amended. "Data" means records of {b}. {a} shall deliver the Software within thirty days! Must anyone wait? Licensee must pay {s} LLC on time.\n\nThe term of this Agreement will begin on the Effective Date and continue until {e} for one (1) year, unless terminated. Either party may terminate this Agreement on notice. This Agreement shall be governed by the laws of {n}.',
+    '{s} Ltd as vendor and {c} Co as customer agree to what follows.\n{s} Ltd, a company of some size ("{a}")\n{c} Co, a firm ("{b}").\nEffective date: {d}. {b} is required to pay. {a} agrees to ship. Nobody will mind. Customer will return samples; Vendor shall inspect them.  If {b} fails, {a} may have it terminated. If {b} fails, {a} may have it terminated.',
+    'Effective Date - {d}. The parties agree. This Agreement shall be governed by the laws of the state of {n}. Goods and spare parts, (the "Goods") are sold. All goods shall be sound.',
+    'Between  {s}\tGmbH, a company (“Seller”),\r\nand {c} AG, a company (“{b}”, “Buyer”).\r\n\r\n\r\n\r\n{s} GmbH, an old firm (“Client”, “{a}”).\r\n“Price” shall mean the sum, \tin euro. Buyer’s agents must pay the Price to Seller. Seller will ship. {a} shall rest. It begins. It will begin on {d}, and\ncontinue until {e} for two years. Seller terminates it by letter.',
+    'a memo of the ninth day. We met on monday. effective date: {l}. {c} Inc, a company (the buyer). Buyer will call.',
+    'This Agreement is entered into as of February 30, 2023.\n{s} LLC, a company ("Provider"). Provider shall wait.',
+    '',
+]
+
+
+def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts (contract_id, text) of the shapes above, one for each order, between its customer and a supplier."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    o = o.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # a nation table has a few dozen rows by definition
+    key = F.col("o_orderkey")
+    values = {
+        "s": F.concat(F.lit("Supplier "), (key % 100).cast("string")), "c": F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")),
+        "a": F.concat(F.lit("Sup"), (key % 100).cast("string")), "b": F.concat(F.lit("Cus"), (F.col("o_custkey") % 100).cast("string")), "n": F.col("n_name"),
+        "d": F.date_format("o_orderdate", "MMMM d, yyyy"), "e": F.date_format(F.add_months("o_orderdate", 12), "MMMM d, yyyy"), "l": F.lower(F.date_format("o_orderdate", "MMMM d, yyyy")),
+    }
+    text = F.element_at(F.array(*map(F.lit, CONTRACTS)), (key % len(CONTRACTS) + 1).cast("int"))
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), value)
+    return o.select(key.alias("contract_id"), text.alias("text"))

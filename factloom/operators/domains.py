@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DTI_PERCENT, MIN_SCORE, MIN_MONTHS = 55, 640, 24
@@ -63,17 +63,30 @@ CITATION = r"(?i)(?:evidence|cite)\s*[:#]\s*([A-Za-z0-9_-]+)"
 TOLERANCE = 1e-6
 
 
-def credit_decisions(applicants: DataFrame) -> DataFrame:
-    """Debt to income in whole percent, signals, tier, decision and rate. Missing numbers count as 0; without income the ratio is 0.
+def rounded_percent(ratio: str) -> Column:
+    """A ratio (double, not negative, below 2^40) in whole percent, by the value that its bits have: what is written as a half may lie above or below it.
+    True halves go to the even percent.
 
-    Halves of a percent are rounded up, but eighths, which a binary fraction holds exactly, to the even percent.
-    """
+    Halves between percents are (2n + 1) / 200. The double next to that is equal to the ratio or decides already; if equal, its bits as an integer m, which is the
+    double times 2^k, are compared as 200 m with (2n + 1) 2^k, both below 2^63."""
+    low = F.floor(F.col(ratio) * 100) - 1
+
+    def above(n: Column) -> Column:
+        half = (2 * n + 1).cast("double") / 200
+        k = 53 - F.floor(F.log2(half)).cast("int")
+        bits, written = (half * F.pow(F.lit(2.0), k)).cast("bigint") * 200, (2 * n + 1).cast("bigint") * F.pow(F.lit(2.0), k).cast("bigint")
+        tie = F.when(bits != written, bits > written).otherwise(F.pmod(n, F.lit(2)) == 1)
+        return F.when(n < 0, 1).when(F.col(ratio) != half, (F.col(ratio) > half).cast("int")).otherwise(tie.cast("int"))
+
+    return (low + above(low) + above(low + 1) + above(low + 2)).cast("bigint")
+
+
+def credit_decisions(applicants: DataFrame) -> DataFrame:
+    """Debt to income in whole percent, signals, tier, decision and rate. Missing numbers count as 0; without income the ratio is 0."""
     numbers = ["income", "debt", "score", "delinquencies", "employment_months"]
     rows = applicants.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
-    rows = rows.withColumn("halves", F.when(F.col("income") != 0, F.expr("200 * debt div income")).otherwise(0).cast("bigint"))
-    up = (F.col("halves") + 1).bitwiseAND(F.lit(-2)) / 2
-    eighth = (F.col("income") != 0) & (F.col("halves") % 25 == 0) & (F.col("halves") % 4 == 1) & (F.expr("200 * debt") == F.col("halves") * F.col("income"))
-    rows = rows.withColumn("dti_percent", (up - eighth.cast("int")).cast("bigint"))
+    ratio = F.when(F.col("income") != 0, F.col("debt").cast("double") / F.col("income")).otherwise(0.0)
+    rows = rows.withColumn("ratio", ratio).withColumn("dti_percent", rounded_percent("ratio"))
     low = F.col("score") < MIN_SCORE
     return rows.select(
         "applicant_id",
@@ -113,10 +126,8 @@ def symptoms(patients: DataFrame) -> DataFrame:
 
 def language_votes(docs: DataFrame) -> DataFrame:
     """The language with most keyword hits; ties to the first of fr, de, es, en; without a hit en."""
-    low = F.lower("text")
-    # white space stands around every word, so that words count as whole ones
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-zäöüßàâçéèêëîïôûùñáíóú0-9_]+", "  "), F.lit(" "))
-    rows = docs.select("doc_id", *[F.size(F.regexp_extract_all(spaced, F.lit(f" ({p}) "), 1)).cast("bigint").alias(f"n_{k}") for k, p in VOTES.items()])
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", *[F.size(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({p})(?![\p{{L}}\p{{N}}_])"), 1)).cast("bigint").alias(f"n_{k}") for k, p in VOTES.items()])
     best = F.greatest(*[F.col(f"n_{k}") for k in VOTES])
     pick = F.when(best == 0, "en")
     for k in VOTES:
@@ -144,6 +155,13 @@ def clauses(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "lang", "c.clause", F.col("c.place").cast("bigint").alias("sentence")).where("sentence > 0")
 
 
+def clause_texts(docs: DataFrame) -> DataFrame:
+    """clauses() with the first sentence's text as it is written, trimmed."""
+    split = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+|\n\n+"), lambda s: F.trim(s) != ""), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    texts = docs.select("doc_id", split.alias("sentences"))
+    return clauses(docs).join(texts, "doc_id").select("doc_id", "lang", "clause", "sentence", F.get("sentences", (F.col("sentence") - 1).cast("int")).alias("text"))
+
+
 MONTH_DAY_YEAR = r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},\s+[0-9]{4})"
 
 

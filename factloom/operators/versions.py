@@ -50,8 +50,10 @@ def patched(events: DataFrame, removed: DataFrame, updated: DataFrame, added: Da
 
 
 def enriched(events: DataFrame, patches: DataFrame) -> DataFrame:
-    """Fills unknown times and missing actors from patches (case_id, event_id, value, actor); another known time is a conflict."""
-    rows = events.join(patches.withColumnsRenamed({"value": "p_value", "actor": "p_actor"}), ["case_id", "event_id"], "left")
+    """Fills unknown times and missing actors from patches (case_id, event_id, value, actor); another known time is a conflict.
+    Two patches of one event contradict each other or say nothing new, so neither is applied; enrichment.py refuses the set."""
+    once = patches.groupBy("case_id", "event_id").agg(F.count("*").alias("n_patches"), F.max("value").alias("p_value"), F.max("actor").alias("p_actor")).where("n_patches = 1")
+    rows = events.join(once, ["case_id", "event_id"], "left")
     fills = (F.col("kind") == "unknown") & F.col("p_value").isNotNull()
     return rows.select(
         "case_id",

@@ -3,9 +3,8 @@ parts are computed anew. Words of the rules are written out again."""
 
 from __future__ import annotations
 
-from factloom.plans.oracles import HIERARCHY, any_of, event_type
+from factloom.plans.oracles import HIERARCHY, TYPE_TERMS, any_of, event_type
 
-TERMS = {"Access": ["access", "login"], "Config": ["config", "configuration", "environment"], "Deployment": ["deployment", "deploy"], "Leak": ["leak", "breach", "exposed"], "PolicyChange": ["policy", "policy change"], "Rotation": ["rotation", "rotate", "rotated"]}
 SAYINGS = ["{} must be never in source", "{} environment only", "rotated {} before deployment", "deployment of {} service", "{} committed to source repo", "access login for {}", "policy review of {}", "config change after rotation of {}", "{} reviewed, then access", "closed {} when deployment ended", "`{}` exposed prior to rotation", "environment set following policy change of {}"]
 POLICY = ["must never appear in source", "must never be in source", "must never in source", "must never appear in repo", "must never be in repo", "must be never in source", "never in source"]
 SECURITY = ["access", "secret", "key", "token", "credential"]
@@ -23,7 +22,7 @@ w AS MATERIALIZED (SELECT user_id AS case_id, event_id, {event_type('action')} A
   CASE WHEN event_id % 50 = 0 THEN [] WHEN event_id % 6 = 0 THEN [{_ref('event_id % 400')}, {_ref('event_id % 400 + 500')}] ELSE [{_ref('event_id % 400')}] END AS evidence FROM acted)"""
 NEWER = """nw AS MATERIALIZED (SELECT * REPLACE (CASE WHEN case_id % 3 = 0 THEN list_transform(state, lambda s: {'k': s.k, 'v': CASE s.v WHEN 'active' THEN 'enabled' WHEN 'destroyed' THEN 'disabled' ELSE s.v END}) ELSE state END AS state,
   CASE WHEN event_id % 17 = 0 THEN '2024-01-02' ELSE value END AS value, CASE WHEN event_id % 17 = 0 THEN 'date' ELSE kind END AS kind) FROM w WHERE event_id % 11 <> 0)"""
-_terms = " ".join(f"WHEN '{t}' THEN [{', '.join(repr(x) for x in terms)}]" for t, terms in TERMS.items())
+_terms = " ".join(f"WHEN '{t}' THEN [{', '.join(repr(x) for x in terms)}]" for t, terms in TYPE_TERMS.items())
 REFS = "array_to_string(list_transform({}, lambda r: concat_ws('|', r.source_id, r.chunk_id, r.offset_start, r.offset_end)), ';')"
 
 

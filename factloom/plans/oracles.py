@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from factloom.operators.domains import CLAUSES, VOTES
-from factloom.operators.evidence import MAX_CHARS, OVERLAP
-from factloom.operators.versions import FIELDS
-from factloom.operators.world import TYPE_TERMS
-from factloom.plans.queries import CUTOFF, FOCUS_TOKENS, FOCUS_TYPES, KEYWORDS, TOPK
 from factloom.sources.records import ACTIONS, STATES
 
-STEP = MAX_CHARS - OVERLAP
 #: Fixed values of the rules, written out again so that a slip in the operators shows.
 SECURITY_WORDS = ["access", "secret", "key", "token", "credential"]
 POLICY_PHRASES = ["must never appear in source", "must never be in source", "must never in source", "must never appear in repo", "must never be in repo", "must be never in source", "never in source"]
 SOURCE_WORDS = ["source", "repo", "repository", "commit", "committed"]
 FORWARD, INVERSE = ["before", "prior to"], ["after", "following"]
+TYPE_TERMS = {"Access": ["access", "login"], "Config": ["config", "configuration", "environment"], "Deployment": ["deployment", "deploy"], "Leak": ["leak", "breach", "exposed"], "PolicyChange": ["policy", "policy change"], "Rotation": ["rotation", "rotate", "rotated"]}
+LANGUAGE_WORDS = {"fr": ["accord", "confidentielle", "juridiction", "loi", "partie"], "de": ["vereinbarung", "vertraulich", "gerichtsstand", "recht", "partei"], "es": ["acuerdo", "confidencial", "jurisdiccion", "ley", "parte"], "en": ["agreement", "confidential", "jurisdiction", "law", "party"]}
+MAX_CHARS, OVERLAP = 1200, 120
+STEP = MAX_CHARS - OVERLAP
+FIELDS = ["type", "kind", "value", "object", "actor", "action", "state"]
+KEYWORDS, TOPK, CUTOFF = ["the", "and"], 50, "2024-01-15 00:00:00"
+FOCUS_TOKENS, FOCUS_TYPES = ["deployment", "obj_1"], ["Deployment"]
+#: What a sentence must hold, by language and clause, written out again.
+RULES = {
+    "en": [("confidentiality_obligations", "confidential", "shall|must|agree"), ("term_duration", "term|duration", ""), ("exceptions", "exception", ""), ("return_or_destruction", "return|destroy", ""), ("governing_law", "governed by", ""), ("jurisdiction", "jurisdiction", ""), ("definition_of_confidential_information", "confidential information", "means|includes")],
+    "fr": [("confidentialite", "confidenti", "doit|s''engage|obligation"), ("duree", "dur[ée]e|terme", ""), ("exceptions", "exception", ""), ("restitution", "restituer|d[ée]truire|retourner", ""), ("loi_applicable", "loi applicable|r[ée]gie par", ""), ("juridiction", "juridiction|tribunaux comp[ée]tents", ""), ("definition_information_confidentielle", "information confidentielle", "d[ée]signe|s''entend|signifie")],
+    "de": [("vertraulichkeitspflichten", "vertraulich", "muss|verpflichtet|pflicht"), ("laufzeit", "laufzeit|dauer", ""), ("ausnahmen", "ausnahmen?", ""), ("rueckgabe", "zur[üu]ckgeben|vernichten", ""), ("anwendbares_recht", "gilt .* recht|geltet .* recht|anwendbares recht", ""), ("gerichtsstand", "gerichtsstand|zust[äa]ndige gerichte", ""), ("definition_vertrauliche_informationen", "vertrauliche informationen", "bedeutet|umfasst|sind")],
+    "es": [("obligaciones_confidencialidad", "confidencial", "deber[aá]|obligaci[oó]n|se compromete"), ("vigencia", "vigencia|duraci[oó]n", ""), ("excepciones", "excepciones?", ""), ("devolucion", "devolver|destruir", ""), ("ley_aplicable", "ley aplicable|regir[aá]", ""), ("jurisdiccion", "jurisdicci[oó]n|tribunales competentes", ""), ("definicion_informacion_confidencial", "informaci[oó]n confidencial", "significa|incluye|se entiende")],
+}
 
 
 def any_of(text: str, words: list[str]) -> str:
@@ -136,7 +144,7 @@ edges AS (SELECT 'C' || c_custkey AS a, 'N' || c_nationkey AS b, 'supports' AS t
 APPLICANTS = """orders_of AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS late FROM orders GROUP BY 1),
 applicants AS (SELECT c_custkey AS applicant_id, CASE WHEN c_custkey % 9 <> 0 THEN CAST(abs(floor(c_acctbal)) + 1 AS BIGINT) END AS income, coalesce(n, 0) * 97 AS debt, c_custkey * 37 % 400 + 450 AS score,
   coalesce(late, 0) AS delinquencies, c_custkey % 60 AS employment_months FROM customer LEFT JOIN orders_of ON c_custkey = o_custkey),
-ratios AS (SELECT *, CAST(CASE WHEN coalesce(income, 0) = 0 THEN 0 WHEN 8 * debt % income = 0 AND 8 * debt // income % 8 IN (1, 5) THEN 100 * debt // income ELSE (200 * debt + income) // (2 * income) END AS BIGINT) AS dti_percent FROM applicants),
+ratios AS (SELECT *, CAST(CASE WHEN coalesce(income, 0) = 0 THEN '0' ELSE replace(printf('%.2f', CAST(debt AS DOUBLE) / income), '.', '') END AS BIGINT) AS dti_percent FROM applicants),
 credit AS (SELECT applicant_id, dti_percent, CASE WHEN dti_percent <= 55 THEN 'pass' ELSE 'fail' END AS dti_status, CASE WHEN delinquencies > 0 THEN 'caution' ELSE 'pass' END AS delinquency_status,
   CASE WHEN score < 640 THEN 'caution' ELSE 'pass' END AS score_status, CASE WHEN employment_months >= 24 THEN 'pass' ELSE 'caution' END AS employment_status,
   CASE WHEN score < 640 THEN 'subprime_tier3' ELSE 'prime_tier1' END AS risk_tier, CASE WHEN dti_percent <= 55 THEN 'approved_conditional' ELSE 'denied' END AS decision,
@@ -157,15 +165,11 @@ _fan = """SELECT case_id, event_id, (SELECT count(*) FROM world b WHERE b.case_i
 _both = lambda columns, old, new: f"o AS (SELECT {columns} FROM ({old})), n AS (SELECT {columns} FROM ({new})) SELECT *, 'removed' AS status FROM (FROM o EXCEPT FROM n) UNION ALL SELECT *, 'added' FROM (FROM n EXCEPT FROM o)"
 _conflicts = lambda source: f"SELECT case_id, object, value, array_to_string(list_sort(list(DISTINCT state)), ',') AS states FROM {source} WHERE kind <> 'unknown' AND state IS NOT NULL GROUP BY case_id, object, value HAVING {_torn}"
 _relations = lambda source: f"SELECT case_id, from_id, to_id, CASE WHEN value = to_value THEN 'same_time' ELSE 'before' END AS relation FROM (SELECT case_id, event_id AS from_id, value, lead(event_id) OVER w AS to_id, lead(value) OVER w AS to_value FROM {source} WHERE kind <> 'unknown' WINDOW w AS (PARTITION BY case_id ORDER BY value, event_id)) WHERE to_id IS NOT NULL"
-_words = "regexp_replace(lower(text), '[^a-zäöüßàâçéèêëîïôûùñáíóú0-9_]+', '  ', 'g')"
-_votes = ", ".join(f"len(regexp_extract_all(' ' || {_words} || ' ', ' ({p}) ', 1)) AS n_{k}" for k, p in VOTES.items())
-_best = "greatest(" + ", ".join(f"n_{k}" for k in VOTES) + ")"
-_pick = " ".join(f"WHEN n_{k} = {_best} THEN '{k}'" for k in VOTES)
-_escape = lambda p: p.replace("'", "''")
+_votes = ", ".join(f"len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: list_contains([{', '.join(repr(w) for w in words)}], x))) AS n_{k}" for k, words in LANGUAGE_WORDS.items())
+_best = "greatest(" + ", ".join(f"n_{k}" for k in LANGUAGE_WORDS) + ")"
+_pick = " ".join(f"WHEN n_{k} = {_best} THEN '{k}'" for k in LANGUAGE_WORDS)
 _clauses = " UNION ALL ".join(
-    f"SELECT doc_id, lang, '{name}' AS clause, min(position) AS sentence FROM sentences WHERE lang = '{lang}' AND {' AND '.join(f'''regexp_matches(sentence, '{_escape(p)}')''' for p in patterns)} GROUP BY doc_id, lang"
-    for lang, rules in CLAUSES.items()
-    for name, patterns in rules.items()
+    f"SELECT doc_id, lang, '{name}' AS clause, min(position) AS sentence FROM sentences WHERE lang = '{lang}' AND regexp_matches(sentence, '{first}') AND regexp_matches(sentence, '{second}') GROUP BY doc_id, lang" for lang, rules in RULES.items() for name, first, second in rules
 )
 
 _verdicts = f"""{CYCLES}, secure AS (SELECT DISTINCT case_id FROM f WHERE (kind = 'unknown' OR actor IS NULL) AND {any_of('lower(action)', SECURITY_WORDS)}),
@@ -272,6 +276,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom.plans import causal_oracles, contract_queries  # they build on the parts above
+    from factloom.plans import causal_oracles, contract_queries, domain_queries  # they build on the parts above
 
-    return dict(SQL) | causal_oracles.oracle_sql() | contract_queries.oracle_sql()
+    return dict(SQL) | causal_oracles.oracle_sql() | contract_queries.oracle_sql() | domain_queries.oracle_sql()

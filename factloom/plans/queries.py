@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from factloom.functions.text import rendered
 from factloom.operators import claims, domains, evidence, extraction, graph, patches, proposal, reports, service, versions, world
-from factloom.plans import causal_queries, contract_queries
+from factloom.plans import causal_queries, contract_queries, domain_queries
 from factloom.sources import records
 from factloom.sources.shared import stored
 from pyspark.sql import DataFrame, SparkSession
@@ -387,7 +387,7 @@ ALL += [constraint_violations, constraint_counts, repair_hints, verify_cases, wo
 ALL += [world_proposed_entities, world_proposed_events, world_mentions, patch_faults, patched_entities, patched_events, patched_relations]
 ALL += [credit_decisions, clinical_screen, clinical_symptoms, language_votes, nda_clauses, contract_fields, contract_obligations, fact_validation, answer_faults, placeholder_render, seal_cases, replay_verify, audit_page, retention_purge, rate_limit_admission]
 ALL += [text_sentences, text_clauses, text_references, text_frames, text_utterances, text_time_markers, constraint_narrative, casefile_summary, repair_actions]
-ALL += causal_queries.ALL + contract_queries.ALL
+ALL += causal_queries.ALL + contract_queries.ALL + domain_queries.ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

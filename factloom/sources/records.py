@@ -301,3 +301,33 @@ def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, value in values.items():
         text = F.replace(text, F.lit(f"{{{name}}}"), value)
     return o.select(key.alias("contract_id"), text.alias("text"))
+
+
+#: Sentences of agreements on secrecy, by language; the last of each meets no rule.
+SECRECY = {
+    "en": ["Each party shall keep it confidential.", "The term is two years.", "There is one exception.", "Return all copies!", "It is governed by local rules.", "Courts of the city have jurisdiction.", "Confidential information means drafts.", "This agreement is a law to each party."],
+    "fr": ["La partie doit garder le secret confidentiel.", "La durée est de deux ans.", "Il y a une exception.", "Restituer ou détruire les copies.", "La loi applicable est locale.", "La juridiction est celle de la ville.", "Information confidentielle désigne les brouillons.", "Cet accord est la loi de chaque partie."],
+    "de": ["Die Partei muss vertraulich handeln.", "Die Laufzeit ist kurz.", "Es gibt eine Ausnahme.", "Kopien vernichten!", "Es gilt deutsches Recht.", "Gerichtsstand ist die Stadt.", "Vertrauliche Informationen sind Entwürfe.", "Diese Vereinbarung ist Recht für jede Partei."],
+    "es": ["La parte deberá mantenerlo confidencial.", "La vigencia es de dos años.", "Hay una excepcion.", "Devolver las copias.", "La ley aplicable es local.", "La jurisdicción es de la ciudad.", "Información confidencial significa borradores.", "Este acuerdo es ley para cada parte."],
+}
+
+
+def secrecy_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An agreement (doc_id, text) for each order, in one of four languages: some of its sentences, with a line break or a blank between."""
+    key = F.col("o_orderkey")
+    by_lang = F.array(*[F.array(*map(F.lit, s)) for s in SECRECY.values()])
+    chosen = F.filter(F.get(by_lang, (key % 4).cast("int")), lambda _, i: (F.call_function("shiftright", key * 37, i) % 2 == 1) | (i == 7))
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.when(key % 3 == 0, F.array_join(chosen, "\n\n")).otherwise(F.array_join(chosen, " ")).alias("text"))
+
+
+def enrichments(events: DataFrame) -> DataFrame:
+    """Enrichments of some whole events; those of some cases have faults."""
+    n = F.col("event_id")
+    texts, none = "array<string>", F.lit(None)
+    actors = F.when(n % 8 == 0, F.array(F.lit("entity:auditor"), F.lit(""), F.lit("entity:auditor"))).when((n % 401 == 0), F.array(F.lit(""))).otherwise(none.cast(texts))
+    objects = F.when(n % 6 == 0, F.array(F.lit("entity:OBJ_9"), F.lit("entity:OBJ_1"))).otherwise(none.cast(texts))
+    kind = F.element_at(F.array(*map(F.lit, ["date", "datetime", "relative", "unknown"])), (n % 4 + 1).cast("int"))
+    rows = events.where("event_id % 2 = 0 OR event_id % 401 = 0").select(
+        "case_id", "event_id", actors.alias("actors"), objects.alias("objects"), F.when(n % 397 == 0, "instant").when(n % 10 < 7, kind).alias("time_kind"), F.when(kind == "date", "2024-02-01").when(kind == "datetime", "2024-02-01T00:00:00Z").alias("time_value")
+    )
+    return rows.union(rows.where("event_id % 398 = 0"))

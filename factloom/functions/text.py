@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,6 +16,12 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+def composed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a text column composed. Rows whose text is ASCII, as most are, stay on the JVM; the others go through nfc."""
+    other = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return rows.where(~other).unionByName(rows.where(other).withColumn(column, nfc(F.col(column))))
+
+
 def lf(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 

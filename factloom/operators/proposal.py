@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from factloom.functions.text import identity, lf, nfc
+from factloom.functions.text import composed, identity, lf
 from factloom.operators.world import SECURITY_WORDS, any_of, event_type
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ LEAD = 8
 
 
 def stripped(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line", F.regexp_replace(nfc(F.col("line")), EDGES, "")).where("line <> ''")
+    return composed(lines, "line").withColumn("line", F.regexp_replace("line", EDGES, "")).where("line <> ''")
 
 
 def proposed_entities(lines: DataFrame) -> DataFrame:
@@ -50,11 +50,11 @@ def proposed_entities(lines: DataFrame) -> DataFrame:
     return typed.select("case_id", identity("entity", F.col("type"), F.col("name"), F.lit("")).alias("entity_id"), "type", "name")
 
 
-def leads(text: Column) -> Column:
-    """All different pieces of a text of 1 to LEAD characters."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    of_size = lambda k: F.filter(F.transform(places, lambda i: F.substring(text, i, F.lit(k))), lambda p: F.length(p) == k)
-    return F.array_distinct(F.concat(*[of_size(k) for k in range(1, LEAD + 1)]))
+def leads(text: Column, sizes: Column) -> Column:
+    """All different pieces of a text of LEAD characters, and of those smaller sizes that names have."""
+    of_size = lambda k: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(F.array_contains(sizes, k), of_size(k)).otherwise(none) for k in range(1, LEAD + 1)]))
 
 
 def bullet_actions(lines: DataFrame, tokens: list[str] | None = None) -> DataFrame:
@@ -67,11 +67,13 @@ def bullet_actions(lines: DataFrame, tokens: list[str] | None = None) -> DataFra
 
 def mentioned(actions: DataFrame, entities: DataFrame) -> DataFrame:
     """(case_id, action, entity_id, type, name): entities whose name stands in an action, whatever the case of letters. A name meets
-    only the actions that hold its first characters."""
-    low = actions.select("case_id", "action").distinct().withColumn("low", F.lower("action"))
-    names = entities.select("case_id", "entity_id", "type", "name", F.lower("name").alias("low_name"))
-    met = low.select("*", F.explode(leads(F.col("low"))).alias("lead")).join(names.withColumn("lead", F.substring("low_name", 1, LEAD)), ["case_id", "lead"])
-    return met.where(F.contains("low", "low_name")).select("case_id", "action", "entity_id", "type", "name")
+    only the actions that hold its first characters; a row for each of their pieces carries the action's hash, not its text."""
+    low = actions.select("case_id", "action").distinct().withColumn("low", F.lower("action")).withColumn("key", F.md5("action"))
+    names = entities.select("case_id", "entity_id", "type", "name", F.lower("name").alias("low_name")).withColumn("lead", F.substring("low_name", 1, LEAD))
+    sizes = names.groupBy("case_id").agg(F.collect_set(F.length("lead")).alias("sizes"))  # LEAD of them at most
+    pieces = low.join(sizes, "case_id").select("case_id", "key", F.explode(leads(F.col("low"), F.col("sizes"))).alias("lead"))
+    near = pieces.join(names, ["case_id", "lead"]).drop("lead")
+    return near.join(low, ["case_id", "key"]).where(F.contains("low", "low_name")).select("case_id", "action", "entity_id", "type", "name")
 
 
 def proposed_events(actions: DataFrame, entities: DataFrame) -> DataFrame:

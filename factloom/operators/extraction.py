@@ -117,3 +117,49 @@ def utterances(docs: DataFrame) -> DataFrame:
     before = docs.select("doc_id", "text").join(found, "doc_id").withColumn("window", F.substring("text", F.greatest(F.col("start") - 120, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(120)).cast("int")))
     speaker = F.try_element_at(F.regexp_extract_all("window", F.lit(MENTION), 0), F.lit(-1))
     return before.select("doc_id", "start", "end", F.trim("surface").alias("quote"), F.coalesce(speaker, F.lit("unknown")).alias("speaker"), F.trim("surface").endswith("?").alias("asks"))
+
+
+#: Gender and number of pronouns (others are neuter, singular), and names of characters with theirs.
+PRONOUN_KINDS = {"he": ("M", "S"), "him": ("M", "S"), "his": ("M", "S"), "she": ("F", "S"), "her": ("F", "S"), "they": ("P", "P"), "them": ("P", "P"), "their": ("P", "P"), "it": ("N", "S"), "its": ("N", "S")}
+CHARACTERS = {
+    "Jesus": (r"\bJesus\b", "M", "S"),
+    "John": (r"\bJohn\b", "M", "S"),
+    "disciples": (r"\bdisciples\b", "P", "P"),
+    "woman_of_Samaria": (r"\bwoman of Samaria\b|\bSamaritan woman\b", "F", "S"),
+}
+
+
+def character_mentions(docs: DataFrame, characters: dict[str, tuple[str, str, str]] = CHARACTERS) -> DataFrame:
+    """find_all's spans of characters, with gender and number."""
+    found = find_all(docs, {label: pattern for label, (pattern, _, _) in characters.items()})
+    kinds = F.create_map(*[x for label, (_, gender, number) in characters.items() for x in (F.lit(label), F.struct(F.lit(gender).alias("gender"), F.lit(number).alias("number")))])
+    return found.withColumn("kind", kinds[F.col("label")]).select(*found.columns, "kind.gender", "kind.number")
+
+
+def characters(mentions: DataFrame) -> DataFrame:
+    """(doc_id, char_id, label, n_mentions, first_start, position): who is named in a text, in order of the first mention."""
+    found = mentions.groupBy("doc_id", "label").agg(F.count("*").alias("n_mentions"), F.min("start").alias("first_start"))
+    order = Window.partitionBy("doc_id").orderBy("first_start", "label")
+    return found.select("doc_id", F.concat(F.lit("char_"), F.lower("label")).alias("char_id"), "label", "n_mentions", "first_start", (F.row_number().over(order) - 1).cast("bigint").alias("position"))
+
+
+def agreeing_references(pronouns: DataFrame, mentions: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+    """Each pronoun (doc_id, start, surface, sentence) with a mention (doc_id, start, label, gender, number, sentence) that agrees with it, of its own
+    or the `lookback` sentences before: of the nearest sentence the last one. He and she want their gender, they a plural, it takes any; a mention of
+    unknown gender or number agrees with all. Without any: unknown_G_N, counted for each gender in the order of the text.
+
+    A mention stands under each kind of pronoun that it agrees with, in each sentence that it reaches; so a pronoun looks up one row.
+    """
+    kinds = F.create_map(*[x for p, (gender, number) in PRONOUN_KINDS.items() for x in (F.lit(p), F.struct(F.lit(gender).alias("gender"), F.lit(number).alias("number")))])
+    gender_fits = lambda g: F.col("gender").isNull() | (F.col("gender") == g)
+    fits = {"M": gender_fits("M"), "F": gender_fits("F"), "P": F.col("number").isNull() | (F.col("number") == "P"), "N": F.lit(True)}
+    agreeing = F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in fits.items()])))
+    last = mentions.select("doc_id", "sentence", "start", "label", agreeing.alias("kind")).groupBy("doc_id", "sentence", "kind").agg(F.max_by("label", F.struct("start", "label")).alias("label"))
+    reach = last.select("doc_id", "kind", "label", "sentence", F.explode(F.sequence(F.lit(0), F.lit(lookback))).alias("distance"))
+    best = reach.groupBy("doc_id", (F.col("sentence") + F.col("distance")).alias("sentence"), "kind").agg(F.min_by("label", "distance").alias("label"))
+    asked = pronouns.select("doc_id", "start", "surface", "sentence").withColumn("kind", F.coalesce(kinds[F.lower("surface")]["gender"], F.lit("N")))
+    joined = asked.join(best, ["doc_id", "sentence", "kind"], "left")
+    scan = Window.partitionBy("doc_id", "kind").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    unknown = F.concat(F.lit("unknown_"), "kind", F.lit("_"), F.count(F.when(F.col("label").isNull(), 1)).over(scan).cast("string"))
+    position = (F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).cast("bigint")
+    return joined.select("doc_id", position.alias("position"), "start", "surface", F.coalesce("label", unknown).alias("refers_to"), F.when(F.col("label").isNull(), "lookback_limit").otherwise("recency").alias("rule"))

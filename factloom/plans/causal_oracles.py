@@ -118,8 +118,20 @@ rest AS MATERIALIZED (SELECT w.* REPLACE (list_filter(actors, lambda x: NOT list
   FROM w LEFT JOIN lost USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.case_id = w.case_id AND op = 'REMOVE_EVENT' AND target = CAST(event_id AS VARCHAR)))"""
 
 
+_list = lambda x: f"CASE WHEN len({x}) = 0 THEN '[]' ELSE '[\"' || array_to_string({x}, '\",\"') || '\"]' END"
+_text = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
+_refs = """'[' || array_to_string(list_transform(evidence, lambda r: '{"chunk_id":"' || r.chunk_id || '","offset_end":' || r.offset_end || ',"offset_start":' || r.offset_start || ',"source_id":"' || r.source_id || '","text_sha256":"' || r.text_sha256 || '"}'), ',') || ']'"""
+_state = """coalesce('{' || array_to_string(list_transform(state, lambda s: '"' || s.k || '":"' || s.v || '"'), ',') || '}', 'null')"""
+_event = f"""'{{"action":"' || action || '","actors":' || {_list('actors')} || ',"event_id":' || event_id || ',"evidence":' || {_refs} || ',"kind":"' || kind || '","objects":' || {_list('objects')} || ',"state":' || {_state} || ',"type":"' || type || '","value":' || {_text('value')} || '}}'"""
+WORLDS = f"""WITH {WHOLE}, worlds AS (SELECT case_id, '{{"events":[' || string_agg({_event}, ',' ORDER BY coalesce(value, '~'), event_id) || '],"world_sha256":"","world_version":"1.0"}}' AS json FROM w GROUP BY 1)
+SELECT case_id, sha256(json) AS world_sha256, CAST(length(json) AS BIGINT) AS n_chars FROM worlds"""
+LEDGER = """SELECT DISTINCT sha256('{"doc_id":' || doc_id || ',"relpath":"d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt","sha256":"' || sha256(coalesce(text, '')) || '"}') AS bundle_sha256, true AS ok, '' AS errors FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "world_hashes": WORLDS,
+        "ledger_replay": LEDGER,
         "event_tokens": f"WITH {WHOLE}, {edges('w', 'e')} SELECT case_id, event_id, text, array_to_string(tokens, ',') AS tokens, array_to_string(terms, ',') AS terms FROM e_x",
         "event_edges": f"WITH {WHOLE}, {edges('w', 'e')} SELECT case_id, a, b, type, reason, confidence, {REFS.format('evidence')} AS evidence FROM e",
         "blocked_inferences": f"WITH {WHOLE}, {edges('w', 'e')}, {blocked('e_x')} SELECT * FROM blocks",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import fields
 
+from factloom.functions.canonical import flat_json, with_canonical
 from factloom.operators import causal, counterfactual, graph, references, rules
-from factloom.sources import records
-from factloom.sources.shared import stored
+from factloom.sources import ledger, records
+from factloom.sources.shared import shared_folder, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,5 +164,27 @@ def counterfactual_conflicts(s, d):
     return without_parts(s, d).conflicts.select("case_id", "entity_id", F.array_join("states", ",").alias("states"), "n_events", "first_event", "last_event")
 
 
-ALL = [event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
+def world_hashes(s, d):
+    """The hash of each case's whole world, as canonical JSON with events in order of time. A world is one record, so a row."""
+    rows = records.whole_events(s, d)
+    event = F.struct(*[c for c in rows.columns if c != "case_id"])
+    at = lambda e: F.struct(F.coalesce(e["value"], F.lit("~")).alias("value"), e["event_id"].alias("event_id"))
+    events = F.array_sort(F.collect_list(event), lambda a, b: F.when(at(a) < at(b), -1).when(at(b) < at(a), 1).otherwise(0))
+    worlds = rows.groupBy("case_id").agg(F.struct(events.alias("events"), F.lit("").alias("world_sha256"), F.lit("1.0").alias("world_version")).alias("world"))
+    return with_canonical(worlds, "world", "json").select("case_id", F.sha2("json", 256).alias("world_sha256"), F.length("json").cast("bigint").alias("n_chars"))
+
+
+def ledger_replay(s, d):
+    """Cases sealed into a ledger, read from it and checked."""
+    s.dataSource.register(ledger.Ledger)
+    docs = records.documents(s, d)
+    bundle = flat_json(doc_id=F.col("doc_id"), relpath=F.col("relpath"), sha256=F.sha2("text", 256))
+    output = flat_json(doc_id=F.col("doc_id"), n_chars=F.length("text"))
+    folder = f"{shared_folder(s)}/ledger-{uuid.uuid4().hex}"
+    sealed = docs.select(bundle.alias("bundle"), output.alias("output"), ledger.attested(bundle, output).alias("attestation"))
+    ledger.files_of(sealed).write.format("ledger").mode("append").save(folder)
+    return ledger.verified(s.read.format("ledger").load(folder))
+
+
+ALL = [world_hashes, ledger_replay, event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
 ALL += [case_reasons, case_required_info, case_verdicts, counterfactual_faults, counterfactual_events, counterfactual_relations, counterfactual_missing, counterfactual_conflicts]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import counterfactual, domains, enrichment
+from factloom.operators import counterfactual, domains, enrichment, extraction
 from factloom.plans.causal_oracles import WHOLE, secrets, unknowns
 from factloom.plans.oracles import LANGUAGE_WORDS, RULES
 from factloom.sources import records
@@ -48,7 +48,18 @@ def enriched_conflicts(s, d):
     return enriched_world(s, d)[0].conflicts.select("case_id", "entity_id", F.array_join("states", ",").alias("states"), "n_events")
 
 
-ALL = [secrecy_clauses, enrichment_faults, enriched_events, enrichment_conflicts, enriched_unknowns, enriched_relations, enriched_conflicts]
+def story_characters(s, d):
+    return extraction.characters(extraction.character_mentions(records.stories(s, d)))
+
+
+def story_references(s, d):
+    docs = stored(records.stories(s, d), "stories")
+    spans = stored(extraction.sentences(docs), "sentences")
+    pronouns = extraction.in_spans(extraction.find_all(docs, {"pronoun": extraction.PRONOUN}), spans, "start")
+    return extraction.agreeing_references(pronouns, extraction.in_spans(extraction.character_mentions(docs), spans, "start"))
+
+
+ALL = [story_characters, story_references, secrecy_clauses, enrichment_faults, enriched_events, enrichment_conflicts, enriched_unknowns, enriched_relations, enriched_conflicts]
 
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _lists = ", ".join("[" + ", ".join(map(_quoted, x)) + "]" for x in records.SECRECY.values())
@@ -71,8 +82,21 @@ en AS (SELECT w.* REPLACE (CASE WHEN m.actors IS NULL THEN w.actors ELSE list_so
   FROM w LEFT JOIN (SELECT * FROM more WHERE case_id NOT IN (SELECT case_id FROM faults)) m ON m.case_id = w.case_id AND m.event_id = w.event_id)"""
 
 
+_story = ", ".join(map(_quoted, records.STORY))
+#: Texts are cut into names, pronouns and single characters, whose summed lengths are their places.
+STORIES = f"""stories AS (SELECT o_orderkey AS doc_id, array_to_string(list_transform(list_filter(range(12), lambda i: (o_orderkey * 31 + i * i) % 3 <> 0), lambda i: list_extract([{_story}], CAST((i * 5 + o_orderkey) % 12 AS BIGINT) + 1)), ' ') AS text FROM orders),
+pieces AS (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '(?is)\\b(?:woman of Samaria|Samaritan woman|Jesus|John|disciples|he|she|they|him|her|them|his|their|its?)\\b|.') AS x FROM stories)),
+placed AS MATERIALIZED (SELECT doc_id, piece, CAST(coalesce(sum(length(piece)) OVER w, 0) AS BIGINT) AS start, coalesce(count(*) FILTER (piece IN ('.', '!', '?')) OVER w, 0) AS sentence FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+who(piece, label, gender, plural) AS (VALUES ('woman of Samaria', 'woman_of_Samaria', 'F', false), ('Samaritan woman', 'woman_of_Samaria', 'F', false), ('Jesus', 'Jesus', 'M', false), ('John', 'John', 'M', false), ('disciples', 'disciples', 'P', true)),
+named AS MATERIALIZED (SELECT doc_id, start, sentence, label, gender, plural FROM placed JOIN who USING (piece)),
+asked AS (SELECT doc_id, start, sentence, piece AS surface, CASE WHEN lower(piece) IN ('he', 'him', 'his') THEN 'M' WHEN lower(piece) IN ('she', 'her') THEN 'F' WHEN lower(piece) IN ('they', 'them', 'their') THEN 'P' ELSE 'N' END AS kind FROM placed WHERE length(piece) > 1 AND piece NOT IN (SELECT piece FROM who)),
+met AS (SELECT a.doc_id, a.start, arg_min(label, (a.sentence - n.sentence) * 1000000 - n.start) AS label FROM asked a JOIN named n ON n.doc_id = a.doc_id AND a.sentence - n.sentence BETWEEN 0 AND 2 AND (kind = 'N' OR (kind = 'P' AND plural) OR kind = gender) GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "story_characters": f"WITH {STORIES} SELECT doc_id, 'char_' || lower(label) AS char_id, label, count(*) AS n_mentions, min(start) AS first_start, row_number() OVER (PARTITION BY doc_id ORDER BY min(start), label) - 1 AS position FROM named GROUP BY doc_id, label",
+        "story_references": f"WITH {STORIES} SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.start) - 1 AS position, a.start, surface, coalesce(label, 'unknown_' || kind || '_' || (count(*) FILTER (label IS NULL) OVER (PARTITION BY a.doc_id, kind ORDER BY a.start))) AS refers_to, CASE WHEN label IS NULL THEN 'lookback_limit' ELSE 'recency' END AS rule FROM asked a LEFT JOIN met m ON m.doc_id = a.doc_id AND m.start = a.start",
         "secrecy_clauses": CLAUSES,
         "enrichment_faults": f"WITH {ENRICHED} SELECT * FROM faults",
         "enriched_events": f"WITH {ENRICHED} SELECT case_id, event_id, kind, value, array_to_string(actors, ',') AS actors, array_to_string(objects, ',') AS objects FROM en",

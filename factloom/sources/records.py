@@ -331,3 +331,18 @@ def enrichments(events: DataFrame) -> DataFrame:
         "case_id", "event_id", actors.alias("actors"), objects.alias("objects"), F.when(n % 397 == 0, "instant").when(n % 10 < 7, kind).alias("time_kind"), F.when(kind == "date", "2024-02-01").when(kind == "datetime", "2024-02-01T00:00:00Z").alias("time_value")
     )
     return rows.union(rows.where("event_id % 398 = 0"))
+
+
+#: Sentences of stories.
+STORY = [
+    "Jesus spoke to the disciples.", "He asked the woman of Samaria for water!", "It was noon.", "She answered him, and her jar stood there.", "They went away.", "Was it John?", "His words stayed with the Samaritan woman.",
+    "Nobody saw its light.", "John and Jesus told them.", "The disciples and their friends left.", "He and she and they heard it.", "THEIR day ended.",
+]
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A story (doc_id, text) for each order: twelve sentences in an order of its own, some left out."""
+    key = F.col("o_orderkey")
+    places = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda i: (key * 31 + i * i) % 3 != 0)
+    text = F.array_join(F.transform(places, lambda i: F.get(F.array(*map(F.lit, STORY)), ((i * 5 + key) % 12).cast("int"))), " ")
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), text.alias("text"))

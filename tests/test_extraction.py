@@ -74,3 +74,36 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     batch = service.admissions(spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")), 3, 60)
     get = lambda df: {(r["tenant_id"], r["event_id"], r["admitted"]) for r in df.collect()}
     assert get(spark.table("admitted")) == get(batch) and len(get(batch)) == 60
+
+
+def test_references_that_agree(spark):
+    """Random sentences of names and pronouns against a scan of all candidates, with names of unknown gender or number."""
+    import random
+    import re
+
+    from factloom.operators import extraction
+
+    rng = random.Random(3)
+    people = {"Ann": (r"\bAnn\b", "F", "S"), "Bob": (r"\bBob\b", "M", "S"), "Crew": (r"\bCrew\b", "P", "P"), "Dee": (r"\bDee\b", None, None)}
+    words = [*people, "he", "She", "THEY", "it", "his", "them", "its", "went", "home"]
+    texts = {k: " ".join(" ".join(rng.choices(words, k=rng.randrange(1, 5))) + rng.choice(".!?") for _ in range(7)) for k in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (99, None), (98, "")], "doc_id bigint, text string")
+    spans = extraction.sentences(docs)
+    pronouns = extraction.in_spans(extraction.find_all(docs, {"pronoun": extraction.PRONOUN}), spans, "start")
+    mentions = extraction.in_spans(extraction.character_mentions(docs, people), spans, "start")
+    found = {(r["doc_id"], r["start"]): (r["refers_to"], r["rule"], r["position"]) for r in extraction.agreeing_references(pronouns, mentions).collect()}
+    expected = {}
+    for k, text in texts.items():
+        sentence = lambda at, text=text: sum(text[:at].count(c) for c in ".!?")
+        named = [(m.start(), n) for n, (p, _, _) in people.items() for m in re.finditer(p, text)]
+        unknown, position = {}, 0
+        for m in re.finditer(extraction.PRONOUN, text):
+            gender, number = extraction.PRONOUN_KINDS[m.group().lower()]
+            fits = [(sentence(m.start()) - sentence(at), -at, n) for at, n in named if 0 <= sentence(m.start()) - sentence(at) <= 2 and not (gender in "MF" and people[n][1] not in (None, gender)) and not (number == "P" and people[n][2] not in (None, "P"))]
+            if fits:
+                expected[k, m.start()] = (min(fits)[2], "recency", position)
+            else:
+                unknown[gender] = unknown.get(gender, 0) + 1
+                expected[k, m.start()] = (f"unknown_{gender}_{unknown[gender]}", "lookback_limit", position)
+            position += 1
+    assert len(expected) > 300 and found == expected

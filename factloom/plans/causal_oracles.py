@@ -128,8 +128,23 @@ SELECT case_id, sha256(json) AS world_sha256, CAST(length(json) AS BIGINT) AS n_
 LEDGER = """SELECT DISTINCT sha256('{"doc_id":' || doc_id || ',"relpath":"d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt","sha256":"' || sha256(coalesce(text, '')) || '"}') AS bundle_sha256, true AS ok, '' AS errors FROM documents"""
 
 
+_asked = "['1', 'access', 'before', 'came', 'obj', 'of', 'rotation', 'secret', 'the', 'which']"
+FOCUS = f"""WITH RECURSIVE {CASE_REASONS}, scored AS (SELECT case_id, event_id, value,
+  5 * len(list_intersect({_asked}, list_transform(objects, lambda x: lower(x)))) + 3 * len(list_intersect({_asked}, list_distinct(list_concat(list_transform(objects, lambda x: lower(x)), list_transform(tokens, lambda x: lower(x)), regexp_extract_all(text, '[a-z0-9]+'))))) + CASE WHEN type IN ('Access', 'PolicyChange', 'Config', 'Leak', 'Rotation') THEN 2 ELSE 0 END AS score FROM e_x),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, value ASC NULLS LAST, event_id) AS rank FROM scored),
+odd AS (SELECT case_id, event_id FROM e_said JOIN e_torn USING (case_id, entity_id, key) UNION SELECT case_id, unnest(events) FROM v UNION SELECT case_id, a FROM reach WHERE a = b)
+SELECT r.case_id, r.event_id, score, rank, o.event_id IS NOT NULL AS forced FROM ranked r LEFT JOIN odd o ON o.case_id = r.case_id AND o.event_id = r.event_id WHERE rank <= 10 OR o.event_id IS NOT NULL"""
+ORDERS = """facts AS (SELECT o_orderkey AS id, '{"key":' || o_orderkey || ',"customer":' || CASE WHEN o_orderkey % 5 <> 0 THEN '{"key":' || o_custkey || ',"name":"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'c ' || o_custkey END || '"}' ELSE 'null' END || ',"items":[' ||
+  coalesce(array_to_string(list_transform(range(1, CAST(o_orderkey % 4 AS BIGINT) + 1), lambda i: '{"id":"item_' || i || '","count":' || CASE WHEN i % 2 = 0 THEN CAST(i * o_orderkey AS VARCHAR) ELSE 'null' END || ',"flags":[' || CASE WHEN i > 2 THEN 'true' ELSE 'false' END || ']}'), ','), '') || '],"status":' || CASE WHEN o_orderkey % 7 = 0 THEN '"' || o_orderstatus || '"' ELSE 'null' END || '}' AS json FROM orders),
+tree AS (SELECT f.id, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left(t.atom, 1)) || substr(t.atom, 2) WHEN 'VARCHAR' THEN json_extract_string(t.atom, '$') ELSE CAST(t.atom AS VARCHAR) END AS value FROM facts f, json_tree(f.json) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "event_focus": FOCUS,
+        "nested_facts": f"WITH {ORDERS} SELECT * FROM tree",
+        "missing_facts": f"WITH {ORDERS} SELECT id, unnest(list_filter([CASE WHEN status_absent THEN 'status' END, CASE WHEN items_absent THEN 'items' END, CASE WHEN name_absent THEN 'customer.name' END, CASE WHEN key_absent THEN 'customer.key' END, 'note'], lambda x: x IS NOT NULL)) AS field FROM (SELECT id, coalesce(json_extract_string(json, '$.status'), '') = '' AS status_absent, json_array_length(json, '$.items') = 0 AS items_absent, coalesce(json_extract_string(json, '$.customer.name'), '') = '' AS name_absent, json_extract_string(json, '$.customer.key') IS NULL AS key_absent FROM facts)",
+        "cited_facts": f"WITH {ORDERS} SELECT id, value AS evidence_id FROM tree WHERE regexp_full_match(path, 'items.[0-9]+..id')",
         "world_hashes": WORLDS,
         "ledger_replay": LEDGER,
         "event_tokens": f"WITH {WHOLE}, {edges('w', 'e')} SELECT case_id, event_id, text, array_to_string(tokens, ',') AS tokens, array_to_string(terms, ',') AS terms FROM e_x",

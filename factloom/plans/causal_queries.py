@@ -6,13 +6,14 @@ import uuid
 from dataclasses import fields
 
 from factloom.functions.canonical import flat_json, with_canonical
-from factloom.operators import causal, counterfactual, graph, references, rules
+from factloom.operators import causal, counterfactual, facts, focus, graph, references, rules
 from factloom.sources import ledger, records
 from factloom.sources.shared import shared_folder, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULESETS = ("core.v1", "lenient.v1")
+QUESTION = "Which secret access came before the rotation of OBJ 1?"
 
 
 def worlds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -186,5 +187,31 @@ def ledger_replay(s, d):
     return ledger.verified(s.read.format("ledger").load(folder))
 
 
-ALL = [world_hashes, ledger_replay, event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
+def event_focus(s, d):
+    """Few events by score, so that those at odds show."""
+    return focus.focused(*worlds(s, d), QUESTION, max_chunks=5, max_events=12).select("case_id", "event_id", "score", "rank", "forced")
+
+
+def order_facts(s: SparkSession, d: str) -> DataFrame:
+    """Orders as nested JSON: customers, items, and much that is missing."""
+    key = F.col("o_orderkey")
+    items = F.transform(F.sequence(F.lit(1), (key % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("id"), F.when(i % 2 == 0, i * key).alias("count"), F.array(i > 2).alias("flags")))
+    customer = F.struct(F.col("o_custkey").alias("key"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("c "), F.col("o_custkey").cast("string"))).alias("name"))
+    said = F.struct(key.alias("key"), F.when(key % 5 != 0, customer).alias("customer"), F.when(key % 4 != 0, items).otherwise(F.array().cast("array<struct<id:string,count:bigint,flags:array<boolean>>>")).alias("items"), F.when(key % 7 == 0, F.col("o_orderstatus")).alias("status"))
+    return records.table(s, d, "orders").select(key.alias("id"), F.to_json(said, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def nested_facts(s, d):
+    return facts.flattened(order_facts(s, d)).select("id", "path", "value")
+
+
+def missing_facts(s, d):
+    return facts.missing(order_facts(s, d), ["key", "status", "items", "customer.name", "customer.key", "note"])
+
+
+def cited_facts(s, d):
+    return facts.evidence_ids(order_facts(s, d)).select("id", "evidence_id")
+
+
+ALL = [event_focus, nested_facts, missing_facts, cited_facts, world_hashes, ledger_replay, event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
 ALL += [case_reasons, case_required_info, case_verdicts, counterfactual_faults, counterfactual_events, counterfactual_relations, counterfactual_missing, counterfactual_conflicts]

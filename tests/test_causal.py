@@ -189,3 +189,19 @@ def test_removal_equals_computing_anew(spark):
     anew = counterfactual.computed(spark.createDataFrame(left, EVENTS).withColumn("state", F.col("state")), fewer)
     assert content(after)[1:] == content(anew)[1:]
     assert sorted((r["case_id"], r["event_id"], tuple(r["actors"]), tuple(r["objects"])) for r in after.events.collect()) == sorted((r[0], r[1], tuple(r[5]), tuple(r[6])) for r in left)
+
+
+def test_focus(spark):
+    """Scores by object, word, label and type; events at odds stay whatever their score."""
+    from factloom.operators import focus
+
+    rows = [event(k, "Other", "nothing", ["queue"] if k == 1 else [], f"2026-01-{k + 1:02d}") for k in range(12)]
+    rows[2] = event(2, "Leak", "the secret queue", ["entity:c"], None, {"QUEUE": "x"})
+    rows[3] = event(3, "Other", "x", ["entity:a"], "2026-03-01", {"API_KEY": "on"})
+    rows[4] = event(4, "Other", "y", ["entity:a"], "2026-03-02", {"API_KEY": "off"})
+    events, entities = world(spark, rows)
+    score = {r["event_id"]: r["score"] for r in focus.scored(events, entities, "Secret QUEUE? secret").collect()}
+    assert (score[1], score[2], score[3], score[5]) == (5 + 3, 3 + 3 + 1 + 2, 0, 0)
+    found = {r["event_id"]: r["forced"] for r in focus.focused(events, entities, "secret queue", max_chunks=1, max_events=3).collect()}
+    assert found == {2: False, 1: False, 0: False, 3: True, 4: True}
+    assert focus.focused(events, entities, "?!").count() == 12

@@ -3,8 +3,8 @@
 A component x becomes the integer floor(SCALE * x); a vector is cut into PARTS equal parts, and each is coded as the nearest
 of ENTRIES entries of that part's codebook. For a block of b components with sum S and root R = sqrt(b * sum of squares - S * S),
 b times the squared distance to an entry is at least (S - S')^2 + (R - R')^2: the means differ by (S - S') / b, and the norms of the residuals from
-the means by (R - R') / sqrt(b). The whole part is one block first, then halves, then quarters; what a bound excludes isn't looked at
-again, and the survivors' distances are computed exactly. The bounds are integers, and roots are given 2 of tolerance, so nothing
+the means by (R - R') / sqrt(b). The whole part is one block first, then halves, then quarters; each time the entry of the least bound gives an exact
+distance that no bound may exceed, points with one entry left are done, and at the end the survivors' distances are computed exactly. The bounds are integers, and roots are given 2 of tolerance, so nothing
 nearest is lost. Distances and sums are exact for components up to 1e30: values too large for 64 bits are Python integers.
 
 Rows whose vector is null, or holds null or non-finite components, have no code and are left out. Vectors are padded with zeros to the longest
@@ -63,7 +63,7 @@ def roots(values: np.ndarray) -> np.ndarray:
 
 def profile(points: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """S and R of each block of each point."""
-    cut = points.reshape(len(points), blocks, -1)
+    cut = points.reshape(len(points), blocks, points.shape[1] // blocks)
     sums = cut.sum(2)
     return sums, roots(cut.shape[2] * (cut * cut).sum(2) - sums * sums)
 
@@ -73,17 +73,19 @@ def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.nda
     n, m, width = len(points), len(entries), points.shape[1]
     if not width or not n:
         return np.zeros(n, int), np.zeros(n, np.int64)
-    row, entry = (x.ravel() for x in np.indices((n, m)))
-    best = None
+    alive, best = np.ones((n, m), bool), None
     for blocks in (1, 2, 4):
         if width % blocks:
             break
-        (s, r), (t, q) = profile(points, blocks), profile(entries, blocks)
-        bound = ((s[row] - t[entry]) ** 2 + np.maximum(np.abs(r[row] - q[entry]) - 2, 0) ** 2).sum(1)
-        if best is None:  # all pairs are there still
-            best = ((points - entries[bound.reshape(n, m).argmin(1)]) ** 2).sum(1)
-        left = np.asarray(bound <= best[row] * (width // blocks), bool)
-        row, entry = row[left], entry[left]
+        left = np.arange(n) if best is None else np.flatnonzero(alive.sum(1) > 1)  # points with more than one entry left
+        (s, r), (t, q) = profile(points[left], blocks), profile(entries, blocks)
+        bound = sum((s[:, b, None] - t[:, b]) ** 2 + np.maximum(np.abs(r[:, b, None] - q[:, b]) - 2, 0) ** 2 for b in range(blocks))
+        likely = np.where(alive[left], bound, bound.max(initial=0) + 1).argmin(1)
+        exact = ((points[left] - entries[likely]) ** 2).sum(1)
+        best = exact if best is None else best
+        best[left] = np.minimum(best[left], exact)
+        alive[left] &= np.asarray(bound <= best[left][:, None] * (width // blocks), bool)
+    row, entry = np.nonzero(alive)
     exact = np.repeat(best[:, None], m, 1) + 1
     exact[row, entry] = ((points[row] - entries[entry]) ** 2).sum(1)
     found = exact.argmin(1)
@@ -124,6 +126,14 @@ def fit(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", roun
     return books
 
 
+def sums_of(points: np.ndarray, entry: np.ndarray) -> list[list[int]]:
+    """For each entry up to the last that is used: how many points have it, and the sum of each of their components."""
+    if points.dtype == object:
+        return [[int((entry == e).sum()), *points[entry == e].sum(0).tolist()] for e in range(entry.max(initial=-1) + 1)]
+    # doubles hold these sums exactly: a batch has fewer than 2^29 rows of components below SMALL
+    return np.column_stack([np.bincount(entry), *[np.bincount(entry, points[:, k]) for k in range(points.shape[1])]]).astype(np.int64).tolist()
+
+
 def summed(books: Books, width: int):
     """A function for mapInArrow: a task's sums by part, entry and place; the count has place -1."""
 
@@ -132,9 +142,8 @@ def summed(books: Books, width: int):
         for batch in batches:
             for piece in slices([batch], "v"):
                 for part, (points, entry, _) in enumerate(in_parts(integers(piece.column("v"), width), books)):
-                    for e in np.unique(entry).tolist():
-                        chosen = points[entry == e]
-                        for place, total in enumerate([len(chosen), *chosen.sum(0).tolist()], -1):
+                    for e, found in enumerate(sums_of(points, entry)):
+                        for place, total in enumerate(found if found[0] else (), -1):
                             totals[part, e, place] = totals.get((part, e, place), 0) + int(total)
         if totals:
             keys = [pa.array(column, pa.int32()) for column in zip(*totals, strict=True)]

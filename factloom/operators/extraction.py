@@ -115,7 +115,7 @@ def utterances(docs: DataFrame) -> DataFrame:
     """Quoted texts, whether each asks, and the last mention in the 120 characters before it."""
     found = find_all(docs, {"quote": QUOTE})
     before = docs.select("doc_id", "text").join(found, "doc_id").withColumn("window", F.substring("text", F.greatest(F.col("start") - 120, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(120)).cast("int")))
-    speaker = F.try_element_at(F.regexp_extract_all("window", F.lit(MENTION), 0), F.lit(-1))
+    speaker = F.try_element_at(F.regexp_extract_all("window", F.lit("(?U)" + MENTION), 0), F.lit(-1))
     return before.select("doc_id", "start", "end", F.trim("surface").alias("quote"), F.coalesce(speaker, F.lit("unknown")).alias("speaker"), F.trim("surface").endswith("?").alias("asks"))
 
 

@@ -276,6 +276,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom.plans import causal_oracles, contract_queries, domain_queries  # they build on the parts above
+    from factloom.plans import causal_oracles, contract_queries, domain_queries, text_oracles  # they build on the parts above
 
-    return dict(SQL) | causal_oracles.oracle_sql() | contract_queries.oracle_sql() | domain_queries.oracle_sql()
+    return dict(SQL) | causal_oracles.oracle_sql() | contract_queries.oracle_sql() | domain_queries.oracle_sql() | text_oracles.oracle_sql()

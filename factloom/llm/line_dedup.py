@@ -31,7 +31,7 @@ from factloom.llm.near_dedup import estimated_classes
 
 #: Leading tokens on the way to a leaf, fields of the rest of a line, and tokens besides the variable field.
 DEPTH, FIELDS, MIN_CONSTANT = 1, 3, 3
-#: Texts in which a template must occur to recur, near copies counted once; for whole lines of LONG tokens or more, two will do.
+#: Texts in which a template must occur to recur, near copies counted once; and whole lines of LONG tokens or more: defaults of parameters.
 MIN_TEXTS, MIN_TEXTS_LONG, LONG = 3, 2, 16
 VARIABLE = re.compile(r"[0-9@]|://")
 WILD = "<*>"
@@ -115,7 +115,7 @@ def near_copies(docs: DataFrame, text_col: str, carriers: DataFrame) -> DataFram
     return estimated_classes(rows.join(carriers, "text_key", "left_semi").dropDuplicates(["text_key"]), "text_key")
 
 
-def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_texts: int = MIN_TEXTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_texts: int = MIN_TEXTS, min_texts_long: int = MIN_TEXTS_LONG) -> DataFrame:
     """For each text that loses lines: id, text_key and dropped, the sorted places of those lines.
 
     Texts are told apart by their content, so exact copies count once, and so do near copies. Names of templates are counted
@@ -124,7 +124,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     spark = docs.sparkSession
     parsed = stored(parse_lines(docs, text_col, id_col), "lines")
-    need = F.when(F.col("need") == MIN_TEXTS, F.lit(min_texts)).otherwise(F.least(F.lit(min_texts), "need"))
+    need = F.when(F.col("need") == MIN_TEXTS, F.lit(min_texts)).otherwise(F.lit(min(min_texts, min_texts_long)))
     keys = F.array_distinct(F.transform("templates", lambda t: F.struct(t["key"].alias("key"), t["need"].alias("need"))))
     counted = parsed.select(F.inline(keys)).groupBy("key").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     often = stored(counted.where(F.col("n") >= need).select("key"), "templates")
@@ -139,14 +139,17 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return lost.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_texts: int = MIN_TEXTS, min_texts_long: int = MIN_TEXTS_LONG) -> DataFrame:
     """docs with recurring lines taken out of text_col, and n_lines, n_dropped (bigint; columns with these names are replaced).
 
+    A template recurs if min_texts texts have it; a whole line of LONG tokens or more, which no two texts say alike by chance, if
+    min_texts_long do. Equal counts treat all lines alike.
+
     n_lines counts lines that are not blank; blank lines stay. A null text stays null and has no lines. Rows with one id
     and text fare alike; several rows with the least id and different texts all keep the line. A null id never comes first,
     unless only null ids have a template, and then all keep it. Other columns stay; an empty table gives an empty one.
     """
-    lost = stored(dropped_lines(docs, text_col, id_col, min_texts), "lost-lines")
+    lost = stored(dropped_lines(docs, text_col, id_col, min_texts, min_texts_long), "lost-lines")
     release(docs.sparkSession)
     return without_lines(docs, lost, text_col, id_col)
 

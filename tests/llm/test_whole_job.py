@@ -29,6 +29,15 @@ def test_op7_long_line_in_two_texts(spark):
     assert dropped(spark, [passage + "\n" + words(1, 40), passage + "\n" + words(2, 40)]) == {0: 0, 1: 1}
 
 
+def test_op7_counts_are_parameters(spark):
+    """With equal counts a long line needs as many texts as a short one."""
+    long, short = " ".join(f"word{chr(97 + k)}" for k in range(20)), "five words of a line"
+    own = lambda k: " ".join(f"{chr(97 + k)}{chr(97 + j)}own" for j in range(12))
+    docs = spark.createDataFrame([(k, f"{own(k)}\n{long}\n{short}") for k in range(2)] + [(k, own(k)) for k in range(2, 5)], "doc_id bigint, text string")
+    dropped = lambda **n: sum(r["n_dropped"] for r in line_dedup.drop_recurring_lines(docs, **n).collect())
+    assert (dropped(), dropped(min_texts_long=3), dropped(min_texts=2), dropped(min_texts=3, min_texts_long=9)) == (1, 0, 2, 0)
+
+
 def test_op7_near_copies_count_once(spark):
     lines = [words(k, 12) for k in range(40)]
     copies = ["\n".join(lines[:k] + [words(500 + k, 12)] + lines[k + 1 :]) for k in range(6)]

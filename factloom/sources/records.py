@@ -9,6 +9,7 @@ from functools import reduce
 
 from factloom.functions.text import identity, proposition
 from factloom.operators.world import event_type
+from factloom.sources.inputs import text_files  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Markdown and text files below a folder: relpath, text, sha256, bytes. Bytes that are not UTF-8 are an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.(md|txt)$"))
-    return files.select(F.col("path").alias("relpath"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.withColumn("relpath", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")))

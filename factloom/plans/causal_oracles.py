@@ -142,6 +142,9 @@ tree AS (SELECT f.id, substr(t.fullkey, 3) AS path, CASE t.type WHEN 'NULL' THEN
 def oracle_sql() -> dict[str, str]:
     return {
         "event_focus": FOCUS,
+        "template_fill": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'f' ELSE 'generic' END AS name, CASE WHEN o_orderstatus = 'F'
+  THEN 'First ' || CASE WHEN o_orderkey % 4 >= 1 THEN 'item_1' ELSE '{missing:item_1.id}' END || ', second ' || CASE WHEN o_orderkey % 4 >= 2 THEN CAST(2 * o_orderkey AS VARCHAR) ELSE '{missing:item_2.count}' END || ', of ' || o_orderkey || '. {missing:note}'
+  ELSE 'Order ' || o_orderkey || ': ' || CASE WHEN o_orderkey % 5 = 0 THEN '{missing:customer.name}' WHEN o_orderkey % 3 = 0 THEN '' ELSE 'c ' || o_custkey END || ' (' || CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE '{missing:status}' END || ').' END AS text FROM orders""",
         "nested_facts": f"WITH {ORDERS} SELECT * FROM tree",
         "missing_facts": f"WITH {ORDERS} SELECT id, unnest(list_filter([CASE WHEN status_absent THEN 'status' END, CASE WHEN items_absent THEN 'items' END, CASE WHEN name_absent THEN 'customer.name' END, CASE WHEN key_absent THEN 'customer.key' END, 'note'], lambda x: x IS NOT NULL)) AS field FROM (SELECT id, coalesce(json_extract_string(json, '$.status'), '') = '' AS status_absent, json_array_length(json, '$.items') = 0 AS items_absent, coalesce(json_extract_string(json, '$.customer.name'), '') = '' AS name_absent, json_extract_string(json, '$.customer.key') IS NULL AS key_absent FROM facts)",
         "cited_facts": f"WITH {ORDERS} SELECT id, value AS evidence_id FROM tree WHERE regexp_full_match(path, 'items.[0-9]+..id')",

@@ -6,13 +6,14 @@ import uuid
 from dataclasses import fields
 
 from factloom.functions.canonical import flat_json, with_canonical
-from factloom.operators import causal, counterfactual, facts, focus, graph, references, rules
+from factloom.operators import causal, counterfactual, facts, focus, graph, references, rules, templates
 from factloom.sources import ledger, records
 from factloom.sources.shared import shared_folder, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULESETS = ("core.v1", "lenient.v1")
+TEMPLATES = {"generic": "Order {key}: {customer.name} ({status}).", "f": "First {item_1.id}, second {item_2.count}, of {key}. {note}"}
 QUESTION = "Which secret access came before the rotation of OBJ 1?"
 
 
@@ -213,5 +214,13 @@ def cited_facts(s, d):
     return facts.evidence_ids(order_facts(s, d)).select("id", "evidence_id")
 
 
-ALL = [event_focus, nested_facts, missing_facts, cited_facts, world_hashes, ledger_replay, event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
+def template_fill(s, d):
+    """Orders told by the template of their status, or the generic one."""
+    told = order_facts(s, d)
+    refs = records.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("ref"))
+    chosen = stored(templates.chosen(refs, s.createDataFrame(list(TEMPLATES.items()), "name string, template string")), "chosen")
+    return templates.filled(chosen, told).join(chosen.select("id", "name"), "id")
+
+
+ALL = [template_fill, event_focus, nested_facts, missing_facts, cited_facts, world_hashes, ledger_replay, event_edges, event_tokens, blocked_inferences, causal_needed_info, event_unknowns, secret_conflicts, evidenced_violations, violation_changes, claim_evidence, claim_scope_breaches, claim_verdicts]
 ALL += [case_reasons, case_required_info, case_verdicts, counterfactual_faults, counterfactual_events, counterfactual_relations, counterfactual_missing, counterfactual_conflicts]

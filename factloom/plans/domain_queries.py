@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.operators import counterfactual, domains, enrichment, extraction
+from factloom.operators import counterfactual, domains, enrichment, extraction, packs
 from factloom.plans.causal_oracles import WHOLE, secrets, unknowns
 from factloom.plans.oracles import LANGUAGE_WORDS, RULES
 from factloom.sources import records
@@ -59,7 +59,23 @@ def story_references(s, d):
     return extraction.agreeing_references(pronouns, extraction.in_spans(extraction.character_mentions(docs), spans, "start"))
 
 
-ALL = [story_characters, story_references, secrecy_clauses, enrichment_faults, enriched_events, enrichment_conflicts, enriched_unknowns, enriched_relations, enriched_conflicts]
+def packed(s, d):
+    return stored(packs.normalized(records.packed_documents(s, d)), "packed")
+
+
+def pack_documents(s, d):
+    return packs.documents(packed(s, d))
+
+
+def pack_chunks(s, d):
+    return packs.chunks(packed(s, d)).drop("text")
+
+
+def pack_hashes(s, d):
+    return packs.hashes(packed(s, d), "documents")
+
+
+ALL = [pack_documents, pack_chunks, pack_hashes, story_characters, story_references, secrecy_clauses, enrichment_faults, enriched_events, enrichment_conflicts, enriched_unknowns, enriched_relations, enriched_conflicts]
 
 _quoted = lambda text: "'" + text.replace("'", "''") + "'"
 _lists = ", ".join("[" + ", ".join(map(_quoted, x)) + "]" for x in records.SECRECY.values())
@@ -93,8 +109,19 @@ asked AS (SELECT doc_id, start, sentence, piece AS surface, CASE WHEN lower(piec
 met AS (SELECT a.doc_id, a.start, arg_min(label, (a.sentence - n.sentence) * 1000000 - n.start) AS label FROM asked a JOIN named n ON n.doc_id = a.doc_id AND a.sentence - n.sentence BETWEEN 0 AND 2 AND (kind = 'N' OR (kind = 'P' AND plural) OR kind = gender) GROUP BY 1, 2)"""
 
 
+PACKS = """docs AS (SELECT doc_id // 10 AS pack_id, 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS relpath, CASE WHEN doc_id % 3 = 0 THEN replace(t, chr(10), chr(13) || chr(10)) WHEN doc_id % 7 = 0 THEN replace(t, chr(10), chr(13)) ELSE t END
+  || CASE WHEN doc_id % 4 = 0 THEN chr(13) || chr(10) || 'cafe' || chr(769) || ' "x" ' || chr(92) || ' ' || chr(9) ELSE '' END AS raw FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+normal AS MATERIALIZED (SELECT pack_id, relpath, replace(replace(nfc_normalize(raw), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM docs),
+pieces AS (SELECT pack_id, relpath, 'doc:' || sha256(text) AS doc_id, i AS "index", i * 1080 AS offset_start, least(i * 1080 + 1200, length(text)) AS offset_end, substr(text, i * 1080 + 1, 1200) AS text FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(length(text) - 1200, 0) / 1080) AS BIGINT) + 1)) AS i FROM normal)),
+dj AS (SELECT pack_id, count(*) AS n_documents, string_agg('{"bytes":' || strlen(text) || ',"doc_id":"doc:' || sha256(text) || '","relpath":"' || relpath || '","sha256":"' || sha256(text) || '"}', ',' ORDER BY relpath) AS j FROM normal GROUP BY 1),
+cj AS (SELECT pack_id, count(*) AS n_chunks, string_agg('{"chunk_id":"chunk:' || sha256(text) || '","doc_id":"' || doc_id || '","index":' || "index" || ',"offset_end":' || offset_end || ',"offset_start":' || offset_start || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"text_sha256":"' || sha256(text) || '"}', ',' ORDER BY relpath, "index") AS j FROM pieces GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "pack_documents": f"WITH {PACKS} SELECT pack_id, 'doc:' || sha256(text) AS doc_id, relpath, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM normal",
+        "pack_chunks": f'WITH {PACKS} SELECT pack_id, relpath, doc_id, \'chunk:\' || sha256(text) AS chunk_id, "index", offset_start, offset_end, sha256(text) AS text_sha256 FROM pieces',
+        "pack_hashes": f"""WITH {PACKS} SELECT pack_id, sha256('{{"chunks":[' || cj.j || '],"documents":[' || dj.j || '],"pack_sha256":"","pack_version":"1.0","root_hint":"documents"}}') AS pack_sha256, n_documents, n_chunks FROM dj JOIN cj USING (pack_id)""",
         "story_characters": f"WITH {STORIES} SELECT doc_id, 'char_' || lower(label) AS char_id, label, count(*) AS n_mentions, min(start) AS first_start, row_number() OVER (PARTITION BY doc_id ORDER BY min(start), label) - 1 AS position FROM named GROUP BY doc_id, label",
         "story_references": f"WITH {STORIES} SELECT a.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.start) - 1 AS position, a.start, surface, coalesce(label, 'unknown_' || kind || '_' || (count(*) FILTER (label IS NULL) OVER (PARTITION BY a.doc_id, kind ORDER BY a.start))) AS refers_to, CASE WHEN label IS NULL THEN 'lookback_limit' ELSE 'recency' END AS rule FROM asked a LEFT JOIN met m ON m.doc_id = a.doc_id AND m.start = a.start",
         "secrecy_clauses": CLAUSES,

@@ -341,3 +341,10 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda i: (key * 31 + i * i) % 3 != 0)
     text = F.array_join(F.transform(places, lambda i: F.get(F.array(*map(F.lit, STORY)), ((i * 5 + key) % 12).cast("int"))), " ")
     return table(spark, sf_dir, "orders").select(key.alias("doc_id"), text.alias("text"))
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in packs of ten (pack_id, relpath, text), some with carriage returns, some with an accent apart from its letter."""
+    n = F.col("doc_id")
+    ends = F.when(n % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(n % 7 == 0, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select(F.floor(n / 10).alias("pack_id"), "relpath", F.concat(ends, F.when(n % 4 == 0, F.lit("\r\ncafe\u0301 \"x\" \\ \t")).otherwise("")).alias("text"))

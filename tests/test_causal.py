@@ -7,6 +7,7 @@ import re
 
 import pytest
 from factloom.operators import causal, counterfactual, references, rules
+from factloom.plans import causal_queries
 from factloom.sources.records import REFERENCE
 from pyspark.sql import functions as F
 
@@ -205,3 +206,12 @@ def test_focus(spark):
     found = {r["event_id"]: r["forced"] for r in focus.focused(events, entities, "secret queue", max_chunks=1, max_events=3).collect()}
     assert found == {2: False, 1: False, 0: False, 3: True, 4: True}
     assert focus.focused(events, entities, "?!").count() == 12
+
+
+@pytest.mark.parametrize("query", ["event_edges", "violation_changes", "case_reasons"])
+def test_exploded_tables_are_not_broadcast(spark, query):
+    """A small file may hold many rows once it is exploded: whatever its size, it goes to no join by way of the driver."""
+    found = causal_queries.ALL[[q.__name__ for q in causal_queries.ALL].index(query)](spark, "/root/testdata/sf0.001")
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) > 3
+    assert not [line for line in joins if "Broadcast" in line and "rule_id" not in line]  # the rules' own table is small by definition

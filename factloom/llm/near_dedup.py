@@ -186,11 +186,23 @@ def differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return members.join(right, "node").join(left, "ref").select("ref", "node", "component", "x", "y").mapInArrow(run, "ref binary, node binary, component binary, n bigint, away array<bigint>")
 
 
+def from_majority(rows: DataFrame) -> DataFrame:
+    """rows of differences() with away taken from the set that most of a cluster agree on, instead of ref's: what ref has for itself, or
+    lacks, is no longer a difference of all the others, which share it. An element in which more than half differ from ref changes
+    sides; there are fewer of these than twice the mean size of away."""
+    all_of = rows.groupBy("ref").agg(F.count("*").alias("n_ref"))
+    told = rows.select("ref", F.explode("away").alias("e")).groupBy("ref", "e").agg(F.count("*").alias("n_e"))
+    turned = told.join(all_of, "ref").where("2 * n_e > n_ref").groupBy("ref").agg(F.collect_list("e").alias("turned"))
+    away = F.when(F.col("turned").isNull(), F.col("away")).otherwise(F.concat(F.array_except("away", "turned"), F.array_except("turned", "away")))
+    return rows.join(turned, "ref", "left").withColumn("away", away).drop("turned")
+
+
 def close_pairs(grouped: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a key and are in different components: none is left out that is linked, and few others are in.
 
-    Nodes that keys tie together are a cluster, and all of a cluster are described by how they differ from its least node, the
-    reference, so that each node is described once: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+    Nodes that keys tie together are a cluster, and all of a cluster are described by how they differ from one set, the reference, so
+    that each node is described once: |x ^ y| = |dx| + |dy| - 2 |dx & dy|. The reference is what most of the cluster have; it is found
+    from the differences from the cluster's least node (ref), whose own parts would otherwise be shared by the differences of all.
     With q = (100 - similarity) / (100 + similarity), x and y are linked if that is at most q (|x| + |y|), that is, if dx and dy
     share (fx + fy) / 2 elements, where f = |d| - q n is how far a node is beyond its allowance. If fx + fy <= 0 they are linked
     anyway; then both are linked with the node of the least f, so pairs with that one will do. Otherwise elements are put in
@@ -205,7 +217,7 @@ def close_pairs(grouped: DataFrame, texts: DataFrame, shingle: int, similarity:
     members = grouped.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "ref"), "node").select("ref", "node", "component")
     sizes = members.groupBy("ref", "component").count().groupBy("ref").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     far = F.size("away") - F.lit(q) * F.col("n")
-    rows = stored(differences(members, texts, shingle).withColumn("far", far - 1e-6), "differences")
+    rows = stored(from_majority(stored(differences(members, texts, shingle), "differences")).withColumn("far", far - 1e-6), "differences")
     width = F.greatest(F.lit(4.0), F.max("n") / 20)
     heads = rows.groupBy("ref").agg(F.min("far").alias("nearest"), F.min_by(F.struct("node", "component"), "far").alias("head"), width.alias("width"))
     placed = rows.join(heads, "ref").join(sizes, "ref").withColumn("part", F.floor(F.col("far") / F.col("width"))).withColumn("small", F.col("component") != F.col("main"))

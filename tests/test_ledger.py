@@ -79,3 +79,17 @@ def test_canonical_of_nested_rows(spark):
     assert with_canonical(rows.limit(1), "v", "j")._jdf.queryExecution().toString().count("ArrowEvalPython") <= 2
     with pytest.raises(TypeError):
         with_canonical(spark.range(1).selectExpr("struct(1.5D AS x) AS v"), "v", "j")
+
+
+def test_names_stay_off_the_driver(tmp_path):
+    """What a task tells the driver has one size, whatever the number of its files; a job that fails still takes them all back."""
+    import pickle
+
+    writer = ledger.LedgerWriter(str(tmp_path))
+    rows = [{"bundle_sha256": f"{k:064x}", "name": ledger.BUNDLE, "content": b"x"} for k in range(300)]
+    few, many, none = writer.write(iter(rows[:1])), writer.write(iter(rows[1:])), writer.write(iter([]))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(few)) and len(contents(tmp_path)) == 303
+    writer.abort([few, None, many, none])
+    assert not contents(tmp_path)
+    writer.commit([writer.write(iter(rows))])
+    assert len(contents(tmp_path)) == 300 and not (tmp_path / ledger.LISTINGS).exists()

@@ -59,3 +59,17 @@ def test_enrichment(spark):
     assert found[1, 1] == ("instant", "2024-05-01T00:00:00Z", ["p", "q", "q\n"], ["o"])
     assert found[1, 4] == ("unknown", None, ["p"], []) and found[2, 1][0] == "unknown" and found[3, 1][0] == "unknown"
     assert [(r["event_id"], r["told_kind"], r["told_value"]) for r in conflicts.collect()] == [(3, "unknown", None)]
+
+
+def test_clauses_are_read_where_the_text_is(spark):
+    """Language, clauses and their sentences come from one row's text: no text is shuffled or broadcast."""
+    from factloom.plans import domain_queries
+
+    found = domain_queries.secrecy_clauses(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    docs = spark.createDataFrame([(1, "An agreement. The term is short."), (2, "Laufzeit; recht und partei."), (3, None), (4, "lawparty x-law")], "doc_id bigint, text string")
+    told = domains.with_language(docs)
+    assert [tuple(r) for r in told.select("doc_id", "language", "n_en", "n_de").orderBy("doc_id").collect()] == [(1, "en", 1, 0), (2, "de", 0, 2), (3, "en", 0, 0), (4, "en", 1, 0)]
+    rows = domains.clause_texts(told.withColumnRenamed("language", "lang")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "en", "term_duration", 2, "The term is short."), (2, "de", "laufzeit", 1, "Laufzeit; recht und partei.")]

@@ -215,3 +215,9 @@ def test_exploded_tables_are_not_broadcast(spark, query):
     joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
     assert len(joins) > 3
     assert not [line for line in joins if "Broadcast" in line and "rule_id" not in line]  # the rules' own table is small by definition
+
+
+def test_events_are_indexed_once(spark):
+    """The rules read a stored index; none of them makes texts and tokens of events anew."""
+    plan = causal.edges(*world(spark, SIX))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "`([^`]+)`" not in plan

@@ -221,3 +221,11 @@ def test_events_are_indexed_once(spark):
     """The rules read a stored index; none of them makes texts and tokens of events anew."""
     plan = causal.edges(*world(spark, SIX))._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and "`([^`]+)`" not in plan
+
+
+@pytest.mark.parametrize("query", ["counterfactual_missing", "counterfactual_conflicts", "counterfactual_relations"])
+def test_what_went_is_not_broadcast(spark, query):
+    """Removed events are a share of all events, so a table of them is shuffled, however small its file."""
+    found = causal_queries.ALL[[q.__name__ for q in causal_queries.ALL].index(query)](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -101,3 +101,20 @@ def test_precedence(tables):
     duties = {r["sentence"]: r["party"] for r in tables["duties"] if r["contract_id"] == 8}
     assert (duties["X shall go."], duties["Vendor will call Al."]) == ("Bo", "Al")
     assert "Y must stay." not in duties  # its line comes after Al is settled
+
+
+def test_names_begin_at_the_first_letter_of_a_run(spark):
+    """Patterns that try a run's first letter only find what they would find if they tried each letter."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    pieces = ["Ann Co", "7", " ", ", a firm (", ", an ", '")', "x", "ſ", "é", "\n", ".", "('A')", ' (the "Goods")', "(", ")", "  ", " 12 345 678 9 ", "-", "'", "and B", "\t", ", a  big co(x", "K.", '"']
+    draw = random.Random(5)
+    texts = spark.createDataFrame([(k, "".join(draw.choices(pieces, k=draw.randint(1, 14)))) for k in range(4000)], "id bigint, text string")
+    for before in (contracts.PARTY, contracts.SO_CALLED):
+        new = contracts.quick(before)
+        assert new != before
+        pairs = texts.select("text", *[F.regexp_extract_all("text", F.lit(p), 0).alias(n) for p, n in ((new, "x"), (before, "y"))])
+        assert pairs.where(F.size("y") > 0).count() > 200
+        assert pairs.where("x <> y").limit(3).collect() == []

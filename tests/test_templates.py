@@ -5,6 +5,7 @@ import random
 import re
 
 from factloom.operators import templates
+from pyspark.sql import functions as F
 
 
 def plain_slug(text):
@@ -55,3 +56,23 @@ def test_places(spark):
         value = lambda m, c=json.loads(context): f"{{missing:{m[1]}}}" if (v := lookup(m[1], c)) is None else str(v)
         assert found[k] == re.sub(r"\{([^{}]+)\}", value, template), (template, context)
     assert (found[900], found[901]) == ("{missing:a} {b", "")
+
+
+def test_places_hold_what_the_reference_finds(spark):
+    """Empty objects and lists are there as well, a part is one key, and a number beyond all lists is none."""
+    contexts = ['{"item_1":{},"items":[{"p":1}]}', '{"item":[],"items":["x"]}', '{"a":{"p.q":1,"it\'s \\"so\\"":2},"it\'s":3}', '{"items":["x"]}', '{"a":[1],"b":{}}', "[1]", "none", None, '{"":{"":"e"}}', '{"items":[{},{"p":7}]}']
+    places = ["{item_1.p}", "{item_1}", "{a.p.q}{a.it's \"so\"}{it's}", "{item_99999999999}", "{a}{b}", "{a}", "{a}", "{a}", "{.}", "{item_1.p}{item_2.p}"]
+    told = ["{missing:item_1.p}", "x", "123", "{missing:item_99999999999}", "{missing:a}{missing:b}", "{missing:a}", "{missing:a}", "{missing:a}", "e", "{missing:item_1.p}7"]
+    rows = spark.createDataFrame(list(enumerate(places)), "id bigint, template string")
+    found = templates.filled(rows, spark.createDataFrame(list(enumerate(contexts)), "id bigint, json string"))
+    assert [r["text"] for r in found.orderBy("id").collect()] == told
+
+
+def test_rows_are_told_where_they_are(spark):
+    """Rows with their context aren't shuffled, and nothing of theirs is gathered, whatever their number."""
+    table = spark.createDataFrame([("generic", "{a}"), ("generic", "{b}"), ("x", "x {a}")], "name string, template string")
+    rows = spark.range(40).select("id", F.when(F.col("id") % 2 == 0, "X").otherwise("y").alias("ref"), F.lit('{"a":1}').alias("json"))
+    found = templates.told(templates.chosen(rows, table))
+    assert {tuple(r) for r in found.collect()} == {(k, "generic" if k % 2 else "x", "1" if k % 2 else "x 1") for k in range(40)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == plan.count("Join") and "Generate" not in plan

@@ -4,6 +4,7 @@ import json
 import random
 
 from factloom.operators import facts
+from factloom.sources.shared import stored
 
 SHAPES = ["{}", "[]", "null", '"x"', "5", "not json", None, '{"a":{"b":[{"c":1},[2,[]],null,true]},"d":"","é":"ü"}', '[[["deep"]]]', '{"a":null,"b":[],"c":{"d":""},"e":{"f":0},"g":false}']
 
@@ -57,3 +58,15 @@ def test_evidence_ids(spark):
     assert {r["evidence_id"] for r in rows} == {"a", "b", "d"} and {r["id"] for r in rows} == {1}
     many = [r["evidence_id"] for r in sorted(rows, key=lambda r: r["position"]) if r["evidence_id"] != "a"]
     assert many == ["b", "d"]
+
+
+def test_shallow_facts_take_one_pass(spark, monkeypatch):
+    """Facts of LEVELS levels or less are stored once, deeper ones once for each LEVELS more."""
+    made = []
+    monkeypatch.setattr(facts, "stored", lambda df, name: made.append(df) or stored(df, name))
+    for depth, passes in ((facts.LEVELS, 1), (facts.LEVELS + 1, 2), (2 * facts.LEVELS + 1, 3)):
+        made.clear()
+        texts = ["[" * depth + "7" + "]" * depth, "[[]]", "{}", "null", '{"a":{}}']
+        found = facts.flattened(spark.createDataFrame(list(enumerate(texts)), "id bigint, json string")).collect()
+        assert sorted(map(tuple, found)) == [(0, "[0]" * depth, "7", "BIGINT"), (3, "", "None", "VOID")]
+        assert len(made) == passes

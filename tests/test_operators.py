@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 from factloom.functions import canonical, text
-from factloom.operators import claims, domains, evidence, graph, service, versions, world
+from factloom.operators import claims, domains, evidence, graph, reports, service, versions, world
 from pyspark.sql import functions as F
 
 
@@ -219,3 +219,15 @@ def test_answers(spark):
 def test_set_differences(spark):
     old, new = (spark.createDataFrame(rows, "a bigint, b string") for rows in ([(1, "x"), (1, "x"), (2, None)], [(2, None), (3, "y")]))
     assert {tuple(r) for r in versions.diff_sets(old, new, ["a", "b"]).collect()} == {(1, "x", "removed"), (3, "y", "added")}
+
+
+def test_casefile_counts_without_joins(spark):
+    """What a case holds is counted in one grouping; only the verdicts are joined. Cycles are those of arranged()."""
+    events = spark.createDataFrame([(c, 10 * c + k, "Other", "unknown" if k == 2 else "date", None if k == 2 else str(k), "o", None if k else "p", "x", s) for c in (1, 2) for k, s in enumerate(["active", "enabled", None])], "case_id bigint, event_id bigint, type string, kind string, value string, object string, actor string, action string, state string")
+    edges = spark.createDataFrame([(1, 11, 10), (1, 12, 12)], "case_id bigint, a bigint, b bigint").withColumn("type", F.lit("before"))
+    verdicts = spark.createDataFrame([(1, "FAIL"), (2, "OK")], "case_id bigint, status string")
+    made = reports.casefile(events, edges, world.violations(events, edges).where("type = 'TEMPORAL_CONFLICT'"), verdicts)
+    assert [tuple(r)[:-1] for r in made.orderBy("case_id").collect()] == [(1, "FAIL", 2, 3, 1, 1, 1, 2), (2, "OK", 2, 3, 1, 1, 0, 0)]
+    alone = reports.casefile(events, edges, edges.select("case_id"), verdicts)
+    assert alone._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {tuple(r) for r in graph.cycles(events, edges).collect()} == {(1, 10), (1, 11), (1, 12)}
